@@ -14,7 +14,7 @@ EVIDENCE = (
 # Custody is kept one row per record: its length grows with every copy of the
 # same bytes, so an array inside the evidence row would have no bound.
 CUSTODY = (
-    "evidence_id STRING, seq BIGINT, actor STRING, action STRING, timestamp TIMESTAMP, "
+    "evidence_id STRING, seq STRING, actor STRING, action STRING, timestamp TIMESTAMP, "
     "source_locator STRING, source_id STRING"
 )
 BLOBS = "id STRING, raw BINARY"
