@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenir.operators.lookups import kinds_of
-from provenir.session import cut
+from provenir.session import cut, cut_counted
 
 
 def root_map(events: DataFrame, evidence: DataFrame, refs: DataFrame | None = None) -> DataFrame:
@@ -29,8 +29,8 @@ def root_map(events: DataFrame, evidence: DataFrame, refs: DataFrame | None = No
         nxt = open_ends.join(parents, "at").select("ref_id", F.col("next").alias("at")).distinct()
         for level in seen:
             nxt = nxt.join(level, ["ref_id", "at"], "left_anti")
-        frontier = cut(nxt, "lineage")
-        if frontier.isEmpty():
+        frontier, n = cut_counted(nxt, "lineage")
+        if n == 0:
             break
         seen.append(frontier)
         roots.append(frontier.join(known, "at", "left_semi").select("ref_id", F.col("at").alias("root_id")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.session import cut
+from provenir.session import cut_counted
 
 # A key list this long is at most a few tens of MB.
 MAX_BROADCAST_KEYS = 200_000
@@ -23,8 +23,7 @@ def hot_keys(df: DataFrame, keys: list[str], more_than: int) -> DataFrame | None
 def hot_of_counts(counts: DataFrame, keys: list[str], more_than: int) -> DataFrame | None:
     """The same from rows that already carry a partial count ``n``."""
     heavy = counts.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") > more_than)
-    hot = cut(heavy.select(*keys), "hot")
-    found = hot.limit(MAX_BROADCAST_KEYS + 1).count()
+    hot, found = cut_counted(heavy.select(*keys), "hot")
     if found == 0:
         return None
     return F.broadcast(hot) if found <= MAX_BROADCAST_KEYS else hot

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.checks import require_depth, require_direction, require_limit, reverse_direction
-from provenir.session import cut
+from provenir.session import cut, cut_counted
 
 DEFAULT_NEIGHBORS_DEPTH = 1
 DEFAULT_PATH_DEPTH = 10
@@ -82,8 +82,9 @@ def _search(
             .agg(F.min("path").alias("path"))
         )
         seen = _union([f.select("query_id", "node") for f in frontiers])
-        new = cut(reached.join(seen, ["query_id", "node"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
-        if new.isEmpty():
+        fresh = reached.join(seen, ["query_id", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        new, n = cut_counted(fresh, "frontier")
+        if n == 0:
             break
         frontiers.append(new)
     return frontiers

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _RUNS: dict[str, str] = {}
 
@@ -65,6 +66,13 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
+    """``cut`` plus the number of rows written, without a second job."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this run's scratch folder; call when no result is pending."""
     root = _RUNS.pop(spark.sparkContext.applicationId, None)
