@@ -32,10 +32,10 @@ def json_text(c: Column) -> Column:
     evaluated for rows that need it.
     """
     plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+    units = F.regexp_extract_all(F.lower(F.hex(F.encode(c, "UTF-16BE"))), F.lit("(.{4})"), F.lit(1))
 
-    def escape_unit(i: Column) -> Column:
-        unit = F.substr(units, i * 4 + 1, F.lit(4))
+    # Refers to its argument only: anything else would be evaluated per character.
+    def escape_unit(unit: Column) -> Column:
         out = F.when(
             unit.between("0020", "007e") & ~unit.isin("0022", "005c"),
             F.chr(F.conv(unit, 16, 10).cast("int")),
@@ -44,8 +44,7 @@ def json_text(c: Column) -> Column:
             out = out.when(unit == code, text)
         return out.otherwise(F.concat(F.lit("\\u"), unit))
 
-    last = (F.length(units) / 4).cast("int") - 1
-    escaped = F.array_join(F.transform(F.sequence(F.lit(0), last), escape_unit), "")
+    escaped = F.array_join(F.transform(units, escape_unit), "")
     body = F.when(c.rlike(r"[^ -~]"), escaped).otherwise(plain)
     return F.concat(F.lit('"'), body, F.lit('"'))
 
