@@ -212,7 +212,12 @@ def ground_truth_matches(
     summary: DataFrame, chains: DataFrame, roots: DataFrame, expected: DataFrame
 ) -> DataFrame:
     """Compare with ``expected(query_id, expected_paths, expected_root_sets, expected_direct_sets)``."""
-    same = lambda a, b: F.sort_array(F.transform(a, F.sort_array)) == F.sort_array(F.transform(b, F.sort_array))
+    def in_order(sets: Column) -> Column:
+        return F.sort_array(F.transform(sets, lambda s: F.sort_array(s)))
+
+    def same(a: str, b: str) -> Column:
+        return in_order(F.col(a)) == in_order(F.col(b))
+
     return (
         expected.join(summary.select("query_id", "n_chains"), "query_id", "left")
         .join(_sets(chains, roots, "root_id", "root_sets"), "query_id", "left")
@@ -220,8 +225,8 @@ def ground_truth_matches(
         .select(
             "query_id",
             (F.col("n_chains") == F.col("expected_paths")).alias("path_count_matches"),
-            same(F.col("root_sets"), F.col("expected_root_sets")).alias("root_sets_match"),
-            same(F.col("direct_sets"), F.col("expected_direct_sets")).alias("direct_sets_match"),
+            same("root_sets", "expected_root_sets").alias("root_sets_match"),
+            same("direct_sets", "expected_direct_sets").alias("direct_sets_match"),
         )
     )
 

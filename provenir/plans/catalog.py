@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.functions import hashing, text, times
+from provenir.functions import checks, hashing, text, times
 from provenir.functions.times import micros
 from provenir.operators import (
     components,
@@ -24,9 +24,11 @@ from provenir.operators import (
     traversal,
 )
 from provenir.plans import views
+from provenir.schemas import Case
 from provenir.session import cut, scratch_path
 from provenir.sources import lines as line_source
 from provenir.sources import parsers
+from provenir.sources.packages import export_objects, resolve_packages
 from provenir.sources.records import derive_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,8 +51,13 @@ def joined(c: Column | str) -> Column:
 # --- contradictions -----------------------------------------------------------
 
 
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    """The order claims as a stored table."""
+    return cut(views.order_claims(spark, d), "claims")
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return contradictions.detect(views.order_claims(spark, d))
+    return contradictions.detect(_claims(spark, d))
 
 
 @query
@@ -70,7 +77,7 @@ def contradictions_report(spark, d):
 
 @query
 def contradiction_tracking(spark, d):
-    rows = tracking.contradiction_rows(views.order_claims(spark, d))
+    rows = tracking.contradiction_rows(_claims(spark, d))
     return rows.select("id", "subject_event_id", joined("assertion_ids").alias("assertion_ids"), "status")
 
 
@@ -409,7 +416,7 @@ def gap_still_reproduced(spark, d):
 @query
 def contradiction_annotations(spark, d):
     """Annotate every tracked contradiction twice; the later note stands."""
-    tracked = cut(tracking.contradiction_rows(views.order_claims(spark, d)), "tracked")
+    tracked = cut(tracking.contradiction_rows(_claims(spark, d)), "tracked")
     marks = tracked.select(
         "id",
         F.explode(F.array(*[
@@ -424,12 +431,17 @@ def contradiction_annotations(spark, d):
 # --- graph --------------------------------------------------------------------------------------
 
 
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    """The trade graph as a stored table."""
+    return cut(views.trade_graph(spark, d), "graph")
+
+
 def _origin(spark: SparkSession, node: str) -> DataFrame:
     return spark.createDataFrame([("q", node)], "query_id string, origin string")
 
 
 def _neighbors(spark: SparkSession, d: str, node: str, depth: int, direction: str) -> DataFrame:
-    found = traversal.neighbors(views.trade_graph(spark, d), _origin(spark, node), max_depth=depth, direction=direction)
+    found = traversal.neighbors(_graph(spark, d), _origin(spark, node), max_depth=depth, direction=direction)
     return found.select("entity_id", "hop_count", "rel_id", "from_id", "to_id", "walked_direction")
 
 
@@ -450,26 +462,26 @@ def neighbors_both(spark, d):
 
 @query
 def distance_map(spark, d):
-    return traversal.distances(views.trade_graph(spark, d), _origin(spark, "C2"), max_depth=4, direction="both").select("entity_id", "hop_count")
+    return traversal.distances(_graph(spark, d), _origin(spark, "C2"), max_depth=4, direction="both").select("entity_id", "hop_count")
 
 
 @query
 def shortest_path_batch(spark, d):
     """From every customer and supplier to one region: found, hops."""
-    found = traversal.shortest_path(views.trade_graph(spark, d), views.to_region_queries(spark, d), max_depth=2)
+    found = traversal.shortest_path(_graph(spark, d), views.to_region_queries(spark, d), max_depth=2)
     return found.summary
 
 
 @query
 def shortest_path_steps(spark, d):
-    found = traversal.shortest_path(views.trade_graph(spark, d), views.to_region_queries(spark, d), max_depth=2)
+    found = traversal.shortest_path(_graph(spark, d), views.to_region_queries(spark, d), max_depth=2)
     return found.chains.select("query_id", "position", "rel_id", "from_id", "to_id", "walked_direction")
 
 
 def _chains(spark: SparkSession, d: str) -> tuple[traversal.Paths, DataFrame]:
     """Every customer's shortest chains to one supplier, written once."""
     queries = views.customer_to_supplier_queries(spark, d)
-    found = traversal.all_shortest_paths(views.trade_graph(spark, d), queries, max_depth=3)
+    found = traversal.all_shortest_paths(_graph(spark, d), queries, max_depth=3)
     return traversal.Paths(cut(found.chains, "chains"), cut(found.summary, "summary")), queries
 
 
@@ -489,7 +501,7 @@ def all_shortest_summary(spark, d):
 def all_shortest_both_ways(spark, d):
     """Chains between two customers in either direction; many ties, a low limit."""
     pair = spark.createDataFrame([("q", "C1", "C2")], "query_id string, source string, target string")
-    found = traversal.all_shortest_paths(views.trade_graph(spark, d), pair, max_depth=4, direction="both", limit=7)
+    found = traversal.all_shortest_paths(_graph(spark, d), pair, max_depth=4, direction="both", limit=7)
     return found.chains.select("chain_index", "position", "rel_id", "from_id", "to_id", "walked_direction")
 
 
@@ -525,13 +537,13 @@ def evidence_overlap(spark, d):
 
 @query
 def components_of_orders(spark, d):
-    found = components.find_components(views.as_relationships(views.placed(spark, d)), min_size=8)
+    found = components.find_components(cut(views.as_relationships(views.placed(spark, d)), "graph"), min_size=8)
     return found.members.select("component_index", "component", "entity_id")
 
 
 @query
 def components_of_trade(spark, d):
-    found = components.find_components(views.trade_graph(spark, d))
+    found = components.find_components(_graph(spark, d))
     return found.members.select("component_index", "component", "entity_id")
 
 
@@ -543,7 +555,7 @@ def component_totals(spark, d):
 
 @query
 def component_relationships(spark, d):
-    found = components.find_components(views.as_relationships(views.placed(spark, d)), min_size=8)
+    found = components.find_components(cut(views.as_relationships(views.placed(spark, d)), "graph"), min_size=8)
     return found.relationships.select("component_index", "rel_id")
 
 
@@ -576,7 +588,7 @@ def overview(spark, d):
 
     case = replace(
         views.event_case(spark, d), entities=views.trade_entities(spark, d), relationships=views.trade_graph(spark, d),
-        tracked_contradictions=tracking.contradiction_rows(views.order_claims(spark, d)),
+        tracked_contradictions=tracking.contradiction_rows(_claims(spark, d)),
     )
     manifest = provenance.tree_manifest(case)
     return provenance.overview(case, manifest, manifest).drop("manifest_hash")
@@ -682,3 +694,123 @@ def answer_key(spark, d):
 def neutral_chain_labels(spark, d):
     _, roots, _ = _overlap(spark, d)
     return study.neutral_labels(roots, "E", "root_id")
+
+
+# --- packages, claims and checks ---------------------------------------------------------------------
+
+
+@query
+def package_errors(spark, d):
+    return resolve_packages(views.customer_packages(spark, d)).errors
+
+
+@query
+def package_events(spark, d):
+    case = resolve_packages(views.customer_packages(spark, d)).case
+    return case.events.select("id", "event_type", joined("derived_from").alias("derived_from"))
+
+
+@query
+def exported_evidence(spark, d):
+    """Documents exported as package objects, text as text."""
+    from dataclasses import replace
+
+    rows = views.document_rows(spark, d)
+    texts = views.table(spark, d, "documents").select(F.sha2("text", 256).alias("id"), F.col("text").cast("binary").alias("raw"))
+    case = replace(
+        Case.empty(spark),
+        evidence=merge.keep_first(rows).select(
+            "id", "source_adapter", "adapter_version", "source_locator", F.col("id").alias("raw_content_hash"), "raw_size_bytes",
+            F.lit("2026-01-01 00:00:00").cast("timestamp").alias("collected_at"), F.lit(None).cast("timestamp").alias("observed_at"),
+            F.create_map().cast("map<string,string>").alias("ingest_parameters"),
+        ),
+        custody=views.document_custody(spark, d),
+        blobs=texts.dropDuplicates(["id"]),
+    )
+    body = F.from_json("json", "local_id string, content string, source_locator string, source_id string").alias("o")
+    return export_objects(case).where("collection = 'evidence_items'").select("local_id", body).select(
+        "local_id", F.sha2("o.content", 256).alias("content_hash"), "o.source_locator", "o.source_id"
+    )
+
+
+@query
+def claimed_relationships(spark, d):
+    """All trade edges claimed anew over a store that holds the located_in edges."""
+    graph = cut(views.trade_graph(spark, d), "graph")
+    stored = graph.where("relationship_type = 'located_in'")
+    problems = merge.missing_references(graph, F.col("derived_from"), views.trade_evidence(spark, d), views.trade_events(spark, d))
+    _, report = merge.create_claims(stored, graph.withColumn("seq", F.col("id")), problems)
+    return report
+
+
+@query
+def hypothesis_updates(spark, d):
+    """One hypothesis per customer; its orders support or contradict it in turn."""
+    ref = lambda c: F.array(F.struct(F.lit("evidence_item").alias("kind"), c.alias("id")))
+    none = F.array().cast("array<struct<kind:string,id:string>>")
+    hypotheses = views.table(spark, d, "customer").select(
+        views.key("h", "c_custkey").alias("id"), F.lit("pays").alias("statement"), F.lit("proposed").alias("status"),
+        ref(views.key("ev-c", "c_custkey")).alias("supporting_evidence"), none.alias("contradicting_evidence"),
+        F.lit("ana").alias("inferred_by"), F.lit("2026-01-01 00:00:00").cast("timestamp").alias("created_at"),
+    )
+    good = F.col("o_orderstatus") != "F"
+    changes = views.table(spark, d, "orders").select(
+        views.key("h", "o_custkey").alias("id"), F.col("o_orderkey").alias("seq"),
+        F.when(good, "supported").otherwise("contradicted").alias("status"),
+        F.when(good, ref(views.key("ev-o", "o_orderkey"))).alias("add_supporting"),
+        F.when(~good, ref(views.key("ev-o", "o_orderkey"))).alias("add_contradicting"),
+    )
+    return merge.update_hypotheses(hypotheses, changes).select(
+        "id", "status", joined("supporting_evidence.id").alias("supporting"), joined("contradicting_evidence.id").alias("contradicting")
+    )
+
+
+@query
+def relationship_checks(spark, d):
+    """Nation pairs of customer and supplier per line as edges, judged by the record rules."""
+    lines = views.table(spark, d, "lineitem").join(views.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = (
+        lines.join(views.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(views.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .select(
+            F.when(F.col("l_returnflag") == "R", " ").otherwise("ships").alias("relationship_type"),
+            views.key("N", "c_nationkey").alias("source_entity_id"), views.key("N", "s_nationkey").alias("target_entity_id"),
+            F.when(F.col("l_linestatus") == "O", F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("derived_from"),
+        )
+    )
+    return edges.withColumn("reason", F.coalesce(checks.relationship_problem(), F.lit("valid"))).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query
+def condition_views(spark, d):
+    """Chains of the study cases as each condition shows them."""
+    found, roots, _ = _overlap(spark, d)
+    direct = evaluation.direct_references(found.chains).groupBy("query_id", "chain_index").agg(
+        joined(F.sort_array(F.collect_set("ref_id"))).alias("direct_labels")
+    )
+    rooted = roots.groupBy("query_id", "chain_index").agg(joined(F.sort_array(F.collect_set("root_id"))).alias("root_labels"))
+    return study.condition_view(direct.join(rooted, ["query_id", "chain_index"], "left"))
+
+
+@query
+def ground_truth_match(spark, d):
+    """Chain counts and root sets against what the tables say directly."""
+    found, roots, _ = _overlap(spark, d)
+    orders = views.table(spark, d, "orders").select("o_orderkey", views.key("C", "o_custkey").alias("query_id"))
+    lines = views.table(spark, d, "lineitem").where("l_suppkey = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").distinct()
+    per_chain = orders.join(lines, "o_orderkey").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("expected_paths"),
+        F.collect_list(F.array(views.key("ev-o", "o_orderkey"))).alias("expected_root_sets"),
+        F.collect_list(
+            F.concat(
+                F.array(
+                    F.concat(views.key("ne-l", "o_orderkey"), F.lit("-"), F.col("l_linenumber").cast("string")),
+                    views.key("ev-o", "o_orderkey"),
+                ),
+                F.when(F.col("o_orderkey") % 11 == 0, F.array(views.key("dangling-", "o_orderkey"))).otherwise(F.array().cast("array<string>")),
+            )
+        ).alias("expected_direct_sets"),
+    )
+    return evaluation.ground_truth_matches(found.summary, found.chains, roots, per_chain)

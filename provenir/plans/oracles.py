@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from provenir.functions.text import HIDDEN_CODE_POINTS
 
 ORACLES: dict[str, str] = {}
@@ -409,9 +411,7 @@ SELECT {_GAP_ID} AS id, source AS absent_source, present AS present_source, gap_
   before_id || ',' || after_id AS bounding, CAST({_DAY2} AS DOUBLE) AS min_gap_seconds, 2 AS min_corroborating_events, 'open' AS status FROM findings"""
 _QUIET = (_points(_DAY2).strip() + " " + _MATCHED)
 for _name in ("event_claims", "located", "points", "ranked", "open_gaps", "gaps", "matched", "findings"):
-    import re as _re
-
-    _QUIET = _re.sub(rf"\b{_name}\b", f"q_{_name}", _QUIET)
+    _QUIET = re.sub(rf"\b{_name}\b", f"q_{_name}", _QUIET)
 _QUIET = _QUIET.replace("AND event_id % 5 = 0)", "AND event_id % 5 = 0) AND event_type <> 'error'", 1)
 ORACLES["gap_still_reproduced"] = f"""WITH {_points(_DAY2).strip()} {_MATCHED}, {_QUIET}
 SELECT {_GAP_ID} AS id, source AS absent_source, present AS present_source,
@@ -602,3 +602,47 @@ UNION ALL SELECT q, q || '-q-single', 'indeterminate' FROM overlap WHERE n_chain
 ORACLES["neutral_chain_labels"] = _CHAINS + """
 SELECT q AS query_id, root_id, 'E-' || lpad(CAST(rank AS VARCHAR), 2, '0') AS label
 FROM (SELECT q, root_id, row_number() OVER (PARTITION BY q ORDER BY root_id) AS rank FROM (SELECT DISTINCT q, root_id FROM roots))"""
+
+# --- packages, claims and checks ---------------------------------------------------------------------
+
+_PACKAGES = """
+pk_lines AS MATERIALIZED (
+  SELECT l_orderkey AS o, l_linenumber AS ln, 'p' || any_value(o_custkey) AS pkg, any_value(o_orderstatus) AS st, l_orderkey * 10 + l_linenumber AS pos,
+    sha256('order ' || l_orderkey || ' ' || any_value(o_orderstatus)) AS ev
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, l_linenumber),
+bad AS MATERIALIZED (SELECT * FROM pk_lines x WHERE st = 'P' AND ln = 2 AND NOT EXISTS (SELECT 1 FROM pk_lines y WHERE y.o = x.o AND y.ln = 1))
+"""
+ORACLES["package_errors"] = f"""WITH {_PACKAGES}
+SELECT pkg AS package_id, 'normalized_events[' || pos || '] (l' || o || '-2)' AS path, 'derived_from references unknown local_id l' || o || '-1' AS message FROM bad
+UNION ALL SELECT pkg, 'time_assertions[' || pos || ']', 'subject_event references unknown local_id l' || o || '-2' FROM bad"""
+_PLAIN_LINE = """sha256('{"_type":"NormalizedEvent","attributes":{},"derived_from":["' || ev || '"],"event_type":"line"}')"""
+ORACLES["package_events"] = f"""WITH {_PACKAGES.strip()},
+refs AS (SELECT DISTINCT ev || CASE WHEN st = 'P' AND ln = 2 THEN ',' || {_PLAIN_LINE} ELSE '' END AS r FROM pk_lines WHERE pkg NOT IN (SELECT pkg FROM bad))
+SELECT sha256('{{"_type":"NormalizedEvent","attributes":{{}},"derived_from":["' || replace(r, ',', '","') || '"],"event_type":"line"}}') AS id,
+  'line' AS event_type, r AS derived_from FROM refs"""
+ORACLES["exported_evidence"] = """
+SELECT sha256(text) AS local_id, sha256(text) AS content_hash, 'documents:' || min(doc_id) AS source_locator, min(source) AS source_id
+FROM documents GROUP BY 1"""
+ORACLES["claimed_relationships"] = f"""WITH {_TRADE.strip()}, {_KNOWN.strip()},
+broken AS (SELECT DISTINCT id FROM (SELECT id, unnest(refs) AS ref_id FROM rels)
+  WHERE ref_id NOT IN (SELECT id FROM known_ev) AND ref_id NOT IN (SELECT id FROM known_ne))
+SELECT id, CASE WHEN id IN (SELECT id FROM broken) THEN 'rejected' WHEN kind = 'located_in' THEN 'already existing' ELSE 'created' END AS status FROM rels"""
+ORACLES["hypothesis_updates"] = """
+SELECT 'h' || c_custkey AS id, coalesce(CASE WHEN arg_max(o_orderstatus, o_orderkey) <> 'F' THEN 'supported' WHEN count(o_orderkey) > 0 THEN 'contradicted' END, 'proposed') AS status,
+  'ev-c' || c_custkey || coalesce(',' || string_agg('ev-o' || o_orderkey, ',' ORDER BY o_orderkey) FILTER (WHERE o_orderstatus <> 'F'), '') AS supporting,
+  coalesce(string_agg('ev-o' || o_orderkey, ',' ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'F'), '') AS contradicting
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"""
+ORACLES["relationship_checks"] = """
+SELECT CASE WHEN l_returnflag = 'R' THEN 'relationship_type is blank' WHEN c_nationkey = s_nationkey THEN 'endpoints are equal'
+  WHEN l_linestatus <> 'O' THEN 'derived_from is empty' ELSE 'valid' END AS reason, count(*) AS n
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1"""
+ORACLES["condition_views"] = _CHAINS + """,
+labels AS (SELECT d.q, d.chain_index, d.direct_labels, r.root_labels
+  FROM (SELECT q, chain_index, string_agg(ref_id, ',' ORDER BY ref_id) AS direct_labels FROM direct_sets GROUP BY ALL) d
+  LEFT JOIN (SELECT q, chain_index, string_agg(root_id, ',' ORDER BY root_id) AS root_labels FROM roots GROUP BY ALL) r
+  ON r.q = d.q AND r.chain_index = d.chain_index)
+SELECT q AS query_id, chain_index, condition, CASE WHEN condition <> 'path_only' THEN direct_labels END AS direct_labels,
+  CASE WHEN condition = 'root_evidence' THEN root_labels END AS root_labels
+FROM labels, (SELECT unnest(['path_only', 'direct_evidence', 'root_evidence']) AS condition)"""
+ORACLES["ground_truth_match"] = _CHAINS + """
+SELECT DISTINCT q AS query_id, total <= 10 AS path_count_matches, total <= 10 AS root_sets_match, total <= 10 AS direct_sets_match FROM two JOIN summary USING (q)"""

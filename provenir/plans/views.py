@@ -388,3 +388,50 @@ def _lines(df: DataFrame, line: Column, path: Column) -> DataFrame:
     return df.select(
         path.alias("path"), (F.col("event_id") + 1).alias("line_no"), line.cast("binary").alias("raw"), line.alias("text")
     )
+
+
+# --- customers as case packages ---------------------------------------------------------
+
+
+def customer_packages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """One package per customer: orders as evidence, lines as events and claims.
+
+    In open orders the second line cites the first, which is not always there.
+    """
+    from provenir.sources.packages import LAYOUTS
+
+    when = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    orders = table(spark, sf_dir, "orders").withColumn("package_id", key("p", "o_custkey"))
+    lines = (
+        table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line"))
+        .agg(F.min("l_shipdate").cast("timestamp").alias("shipped")).join(orders, "o_orderkey")
+        .withColumn("position", F.col("o_orderkey") * 10 + F.col("line"))
+        .withColumn("name", F.concat(key("l", "o_orderkey"), F.lit("-"), F.col("line").cast("string")))
+    )
+    own = key("o", "o_orderkey")
+    first = F.concat(key("l", "o_orderkey"), F.lit("-1"))
+    chained = (F.col("o_orderstatus") == "P") & (F.col("line") == 2)
+    made = {
+        "evidence_items": orders.select(
+            "package_id", F.col("o_orderkey").alias("position"), own.alias("local_id"),
+            F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_orderstatus")).alias("content"),
+            key("orders:", "o_orderkey").alias("source_locator"), when.alias("collected_at"),
+        ),
+        "normalized_events": lines.select(
+            "package_id", "position", F.col("name").alias("local_id"), F.lit("line").alias("event_type"),
+            F.when(chained, F.array(own, first)).otherwise(F.array(own)).alias("derived_from"), when.alias("created_at"),
+        ),
+        "entities": orders.groupBy("package_id", "o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")).select(
+            "package_id", F.lit(0).cast("bigint").alias("position"), key("c", "o_custkey").alias("local_id"),
+            F.lit("customer").alias("entity_type"), F.array(own).alias("derived_from"),
+        ),
+        "time_assertions": lines.select(
+            "package_id", "position", F.col("name").alias("subject_event"), F.col("shipped").alias("value"),
+            F.lit("day").alias("precision"), own.alias("source_evidence"), F.lit("carrier").alias("asserted_by"), when.alias("created_at"),
+        ),
+    }
+    out = {}
+    for kind, ddl in LAYOUTS.items():
+        empty = spark.createDataFrame([], f"package_id STRING, position BIGINT, {ddl}")
+        out[kind] = empty.unionByName(made[kind], allowMissingColumns=True) if kind in made else empty
+    return out

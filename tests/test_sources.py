@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from provenir.operators import merge
 from provenir.schemas import Case
+from provenir.session import cut
 from provenir.sources import parsers
 from provenir.sources.lines import lines_of_texts, read_lines
 from provenir.sources.records import derive_records, read_records
@@ -190,16 +191,20 @@ def test_blank_event_type_is_rejected(spark, tmp_path):
         read_records(spark, path, collected_at=NOW, strict=True).events.collect()
 
 
+def stored(case):
+    return Case(**{name: cut(df, name) for name, df in case.tables().items()})
+
+
 def test_reingest_and_merge(spark, tmp_path):
     same = '{"event_type": "k", "timestamp": "2026-01-15T09:00:00Z"}'
     one = write(tmp_path, "one.jsonl", f"{same}\n{same}\nbroken")
     two = write(tmp_path, "two.jsonl", same)
-    case = merge.merge_records(Case.empty(spark), read_records(spark, one, collected_at=NOW, source_id="A"))
-    again = merge.merge_records(case, read_records(spark, one, collected_at=NOW, source_id="A", batch=1))
+    case = stored(merge.merge_records(Case.empty(spark), read_records(spark, one, collected_at=NOW, source_id="A")))
+    again = stored(merge.merge_records(case, read_records(spark, one, collected_at=NOW, source_id="A", batch=1)))
     for name, df in case.tables().items():
         assert df.count() == again.tables()[name].count(), name
     assert (case.evidence.count(), case.custody.count(), case.events.count(), case.assertions.count()) == (2, 3, 1, 1)
-    both = merge.merge_records(again, read_records(spark, two, collected_at=NOW, source_id="B", batch=2))
+    both = stored(merge.merge_records(again, read_records(spark, two, collected_at=NOW, source_id="B", batch=2)))
     assert both.evidence.count() == 2 and both.custody.count() == 4
     ev = both.evidence.where(F.col("id") == hashlib.sha256(same.encode()).hexdigest()).first()
     assert ev.source_locator == f"{one}:1"
