@@ -63,14 +63,16 @@ def distinct_custody(custody: DataFrame) -> DataFrame:
     return custody.groupBy(*CUSTODY_VALUE).agg(F.min("seq").alias("seq")).select(*custody.columns)
 
 
+def _new_custody(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    condition = F.col("n.evidence_id") == F.col("o.evidence_id")
+    for c in CUSTODY_VALUE[1:]:
+        condition = condition & F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
+    return incoming.alias("n").join(existing.alias("o"), condition, "left_anti")
+
+
 def merge_custody(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Add the records whose full value, time included, is not there yet."""
-    new = distinct_custody(incoming)
-    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in CUSTODY_VALUE[1:]]
-    condition = F.col("n.evidence_id") == F.col("o.evidence_id")
-    for clause in same:
-        condition = condition & clause
-    return existing.unionByName(new.alias("n").join(existing.alias("o"), condition, "left_anti"))
+    return existing.unionByName(_new_custody(existing, distinct_custody(incoming)))
 
 
 def append_custody(custody: DataFrame, records: DataFrame) -> DataFrame:
@@ -144,6 +146,38 @@ def merge_records(case: Case, records: Records) -> Case:
     )
 
 
+def fresh_rows(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
+    """The first incoming row of every key that ``existing`` does not hold.
+
+    The existing keys are first cut down to those the batch names. The batch is
+    written, so its size is known: a small one is broadcast, and a large table
+    is scanned for its key column only, not shuffled.
+    """
+    first = cut(keep_first(incoming, key), "fresh")
+    known = existing.select(key).join(first.select(key), key, "left_semi")
+    return first.join(known, key, "left_anti")
+
+
+def delta_records(case: Case, records: Records) -> Case:
+    """Only the rows one batch adds to ``case``, for stores that append."""
+    empty = Case.empty(case.evidence.sparkSession)
+    events = cut(records.events, "events")
+    touched = case.events.join(events.select("id").distinct(), "id", "left_semi")
+    hits = [r.id for r in event_conflicts(touched, events).orderBy("id").limit(5).collect()]
+    if hits:
+        raise EventConflict(f"events differ under one id, for example {hits}")
+    custody = cut(distinct_custody(records.custody), "custody")
+    known = case.custody.join(custody.select("evidence_id").distinct(), "evidence_id", "left_semi")
+    return replace(
+        empty,
+        evidence=fresh_rows(case.evidence, records.evidence),
+        custody=_new_custody(known, custody),
+        blobs=fresh_rows(case.blobs, records.blobs.withColumn("seq", F.lit(0))),
+        events=fresh_rows(case.events, events),
+        assertions=fresh_rows(case.assertions, records.assertions),
+    )
+
+
 def ingest_counts(records: Records) -> DataFrame:
     """Rows the source yielded, before any merge, as one row."""
     tagged = (

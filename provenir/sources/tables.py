@@ -58,6 +58,20 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     return Case(**{name: spark.read.schema(ddl).parquet(f"{folder}/{name}") for name, ddl in SCHEMAS.items()})
 
 
+def read_deltas(spark: SparkSession, root: str, before: int | None = None) -> Case:
+    """All complete versions together, for stores whose versions hold only new rows."""
+    done = [v for v in versions(spark, root) if before is None or v < before]
+    if not done:
+        return Case.empty(spark)
+    base = root.rstrip("/")
+    return Case(
+        **{
+            name: spark.read.schema(ddl).parquet(*[f"{base}/v={v:09d}/{name}" for v in done])
+            for name, ddl in SCHEMAS.items()
+        }
+    )
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """A result as JSON lines, nested shapes kept."""
     df.write.option("ignoreNullFields", "false").json(path)

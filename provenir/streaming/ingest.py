@@ -1,4 +1,4 @@
-"""Continuous ingest of a log folder into case snapshots."""
+"""Continuous ingest of a log folder into an append-only case store."""
 
 from __future__ import annotations
 
@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from provenir.operators.merge import merge_records
+from provenir.operators.merge import delta_records
 from provenir.sources.lines import _plain_path, _with_text, number_lines
 from provenir.sources.parsers import get_parser
 from provenir.sources.records import derive_records, require_source_id
-from provenir.sources.tables import read_snapshot, versions, write_snapshot
+from provenir.sources.tables import read_deltas, versions, write_snapshot
 
 
 def start_ingest(
@@ -26,11 +26,12 @@ def start_ingest(
     source_id: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Stream new files of one kind into the snapshots under ``root``.
+    """Stream new files of one kind into the store under ``root``.
 
-    Each micro-batch becomes one snapshot, numbered by the batch. A batch that
-    runs again after a failure finds its snapshot complete and does nothing, or
-    writes it anew; content ids make a repeated line a no-op either way.
+    Each micro-batch writes only the rows it adds, as a version numbered by the
+    batch; ``read_deltas`` reads all versions as one case. A batch that runs
+    again after a failure finds its version complete and does nothing, or writes
+    it anew; content ids make a repeated line a no-op either way.
     """
     require_source_id(spark, source_id)
     parser = get_parser(kind)
@@ -44,7 +45,7 @@ def start_ingest(
             parsed, adapter=parser.name, version=parser.version, collected_at=F.lit(collected_at),
             source_id=F.lit(source_id), locator_column=parser.locator_column, batch=batch_id,
         )
-        write_snapshot(merge_records(read_snapshot(session, root), records), root, batch_id)
+        write_snapshot(delta_records(read_deltas(session, root, before=batch_id), records), root, batch_id)
 
     stream = (
         spark.readStream.format("text").option("lineSep", "\n").load(folder)

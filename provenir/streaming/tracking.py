@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from provenir.operators.merge import insert_if_absent
+from provenir.operators.merge import fresh_rows
 from provenir.operators.tracking import contradiction_rows
 from provenir.schemas import ASSERTIONS, TRACKED_CONTRADICTIONS
 from provenir.session import cut
 from provenir.sources.tables import _fs
 
 
-def latest(spark: SparkSession, root: str, ddl: str) -> tuple[DataFrame, int]:
-    """The newest complete table under ``root`` and its number (-1 for none)."""
+def all_versions(spark: SparkSession, root: str, ddl: str) -> tuple[DataFrame, int]:
+    """The rows of all complete versions under ``root``, and the last number (-1 for none)."""
     fs, path = _fs(spark, root)
     done = []
     if fs.exists(path):
         for status in fs.listStatus(path):
             if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                done.append(int(status.getPath().getName()[2:]))
+                done.append(status.getPath())
     if not done:
         return spark.createDataFrame([], ddl), -1
-    return spark.read.schema(ddl).parquet(f"{root}/v={max(done):09d}"), max(done)
+    return spark.read.schema(ddl).parquet(*[str(p) for p in done]), max(int(p.getName()[2:]) for p in done)
 
 
 def start_tracking(
@@ -30,25 +30,25 @@ def start_tracking(
 ) -> StreamingQuery:
     """Stream assertion files; recompute only the events a batch touches.
 
-    Keeps all assertions under ``root/assertions`` and the tracked findings
-    under ``root/tracked``, a numbered table per batch. Findings are inserted
-    once by content id, so annotations made meanwhile are never overwritten and
-    a repeated batch changes nothing.
+    A batch appends its new assertions under ``root/assertions`` and its new
+    findings under ``root/tracked``, each as a version numbered by the batch.
+    Findings are inserted once by content id, so annotations made meanwhile are
+    never overwritten and a repeated batch changes nothing.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        known, at = latest(session, f"{root}/assertions", ASSERTIONS)
+        known, at = all_versions(session, f"{root}/assertions", ASSERTIONS)
         if at < batch_id:
-            merged = insert_if_absent(known, batch.selectExpr("*", "0 AS seq"))
-            merged.write.mode("overwrite").parquet(f"{root}/assertions/v={batch_id:09d}")
-            known, _ = latest(session, f"{root}/assertions", ASSERTIONS)
-        tracked, tracked_at = latest(session, f"{root}/tracked", TRACKED_CONTRADICTIONS)
+            fresh = fresh_rows(known, batch.selectExpr("*", "0 AS seq"))
+            fresh.write.mode("overwrite").parquet(f"{root}/assertions/v={batch_id:09d}")
+            known, _ = all_versions(session, f"{root}/assertions", ASSERTIONS)
+        tracked, tracked_at = all_versions(session, f"{root}/tracked", TRACKED_CONTRADICTIONS)
         if tracked_at >= batch_id:
             return
         touched = cut(batch.select("subject_event_id").distinct(), "touched")
         found = contradiction_rows(known.join(touched, "subject_event_id", "left_semi"))
-        insert_if_absent(tracked, found.selectExpr("*", "0 AS seq")).write.mode("overwrite").parquet(
+        fresh_rows(tracked, found.selectExpr("*", "0 AS seq")).write.mode("overwrite").parquet(
             f"{root}/tracked/v={batch_id:09d}"
         )
 

@@ -15,7 +15,7 @@ from provenir.sources import tables
 from provenir.sources.packages import export_objects, read_packages, resolve_packages
 from provenir.sources.responses import append_responses, read_responses
 from provenir.streaming.ingest import start_ingest
-from provenir.streaming.tracking import latest, start_tracking
+from provenir.streaming.tracking import all_versions, start_tracking
 
 NOW = datetime(2026, 1, 1, tzinfo=UTC)
 T = "2026-01-01T00:00:00Z"
@@ -182,7 +182,8 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     start_ingest(spark, str(folder), **args).awaitTermination()
     (folder / "b.jsonl").write_text(f"{line}\n\n" + '{"event_type": "j"}\n')
     start_ingest(spark, str(folder), **args).awaitTermination()
-    case = tables.read_snapshot(spark, root)
+    case = tables.read_deltas(spark, root)
+    assert tables.versions(spark, root) == [0, 1]
     assert (case.evidence.count(), case.custody.count(), case.events.count(), case.assertions.count()) == (3, 4, 2, 1)
     assert {r.source_locator.split("/")[-1] for r in case.custody.collect()} == {"a.jsonl:1", "a.jsonl:2", "b.jsonl:1", "b.jsonl:3"}
 
@@ -195,7 +196,7 @@ def test_stream_tracking(spark, tmp_path):
     start_tracking(spark, incoming, **args).awaitTermination()
     rows(("a1", "s", 0), ("b2", "u", 9)).write.mode("append").parquet(incoming)
     start_tracking(spark, incoming, **args).awaitTermination()
-    tracked, at = latest(spark, f"{root}/tracked", TRACKED_CONTRADICTIONS)
+    tracked, at = all_versions(spark, f"{root}/tracked", TRACKED_CONTRADICTIONS)
     assert at == 1 and {tuple(r.assertion_ids) for r in tracked.collect()} == {("a1", "a2"), ("b1", "b2")}
 
 
