@@ -198,9 +198,9 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     return batch.append_column(name, values) if at < 0 else batch.set_column(at, name, values)
 
 
-def schema_with(df: DataFrame, name: str, kind: str) -> str:
-    """The frame's schema with column ``name`` of type ``kind`` set or added, as DDL."""
-    fields = {f.name: f.dataType.simpleString() for f in df.schema} | {name: kind}
+def schema_with(df: DataFrame, **kinds: str) -> str:
+    """The frame's schema with the named columns set or added, as DDL."""
+    fields = {f.name: f.dataType.simpleString() for f in df.schema} | kinds
     return ", ".join(f"`{k.replace('`', '``')}` {v}" for k, v in fields.items())
 
 
@@ -213,7 +213,7 @@ def encode_texts(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out:
             found = [encode(x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             yield with_column(batch, out, pa.array(found, type=pa.binary()))
 
-    return df.mapInArrow(run, schema_with(df, out, "binary"))
+    return df.mapInArrow(run, schema_with(df, **{out: "binary"}))
 
 
 def decode_ids(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -225,4 +225,4 @@ def decode_ids(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str
             found = [decode(x or b"") for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield with_column(batch, out, pa.array(found, type=pa.binary()))
 
-    return df.mapInArrow(run, schema_with(df, out, "binary"))
+    return df.mapInArrow(run, schema_with(df, **{out: "binary"}))

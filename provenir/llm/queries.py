@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import bpe, chat, fingerprints, minhash, mixing, topk, toxicity, warc
+from provenir.llm import bpe, chat, fingerprints, lm, minhash, mixing, substrings, topk, toxicity, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -69,6 +69,12 @@ FROM c GROUP BY conv_id
 """
 
 
+def op4_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trained = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 1
+    return lm.score_texts(docs, trained).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -94,6 +100,11 @@ FROM c
 """
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -124,7 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_warc": op2_warc,
     "op3_chat": op3_chat,
+    "op4_class_scores": op4_class_scores,
     "op5_mixing": op5_mixing,
+    "op6_substrings": op6_substrings,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_fingerprints": op8_fingerprints,
     "op9_toxicity": op9_toxicity,

@@ -128,7 +128,7 @@ def with_measures(df: DataFrame, lexicons: list[dict[bytes, float]], text: str =
             found = [measures(t, lexicons[k], kept[k]) for t, k in zip(texts, own, strict=True)]
             yield batch.append_column("measures", pa.array(found, type=pa.list_(pa.float64())))
 
-    return df.mapInArrow(run, schema_with(df, "measures", "array<double>"))
+    return df.mapInArrow(run, schema_with(df, measures="array<double>"))
 
 
 def learn_lexicons(labelled: DataFrame, most: int = LEXICON_TERMS) -> list[dict[bytes, float]]:
