@@ -165,7 +165,7 @@ def _confirm(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+    """doc_id, n_shingles, component_id, kept and text_key (digest of the text) of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.md5("text"))
     sketches = cut(sketched(rows), "minhash-sketches")
@@ -192,6 +192,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = ends.groupBy("component").agg(F.min("own_id").alias("component_id"))
     found = ends.join(least, "component").select("node", "component_id")
     by_set = cut(nodes.join(found, "node", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id")), "minhash-found")
-    out = sketches.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = sketches.select("doc_id", "n_shingles", "set_key", "text_key").join(by_set, "set_key", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_key")
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), "text_key")

@@ -106,7 +106,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
