@@ -149,7 +149,8 @@ def _packed(rows: DataFrame, per: int, name: str) -> DataFrame:
 
 
 def _unpacked(ids: bytes, points: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, dtype=np.int64), np.frombuffer(points, dtype=np.float64).reshape(-1, dims)
+    found = np.frombuffer(ids, dtype=np.int64)
+    return found, np.frombuffer(points, dtype=np.float64).reshape(len(found), dims)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
