@@ -9,8 +9,6 @@ from provenir.functions import hashing
 from provenir.functions.text import is_blank, source_id_problem
 from provenir.functions.times import TOLERANCE_SECONDS
 
-MAX_DEPTH = 50
-MAX_PATHS_LIMIT = 500
 REF_KINDS = ("evidence_item", "normalized_event")
 HYPOTHESIS_STATUSES = ("proposed", "supported", "contradicted", "withdrawn")
 FINDING_STATUSES = ("open", "reviewed", "dismissed")
@@ -112,14 +110,14 @@ def annotation_problem() -> Column:
     )
 
 
-def require_depth(max_depth: int) -> None:
-    if not 1 <= max_depth <= MAX_DEPTH:
-        raise ValueError(f"max_depth must lie in 1..{MAX_DEPTH}, got {max_depth}")
+def require_depth(max_depth: int | None) -> None:
+    if max_depth is not None and max_depth < 1:
+        raise ValueError(f"max_depth must be at least 1 or None, got {max_depth}")
 
 
-def require_limit(limit: int) -> None:
-    if not 1 <= limit <= MAX_PATHS_LIMIT:
-        raise ValueError(f"limit must lie in 1..{MAX_PATHS_LIMIT}, got {limit}")
+def require_limit(limit: int | None) -> None:
+    if limit is not None and limit < 1:
+        raise ValueError(f"limit must be at least 1 or None, got {limit}")
 
 
 def require_direction(direction: str) -> None:

@@ -1,8 +1,10 @@
-"""Bounded breadth-first traversal and shortest chains, many queries at once.
+"""Breadth-first traversal and shortest chains, many queries at once.
 
 Each hop is one join of the frontier with the steps and one grouping. A node
 keeps the smallest path key (direction flag and relationship id per hop), which
-is the chain a queue-based search in relationship order discovers first.
+is the chain a queue-based search in relationship order discovers first. A hub's
+steps are dealt out over several join keys, so that no task holds them all.
+Without ``max_depth`` a search ends when it finds nothing new.
 """
 
 from __future__ import annotations
@@ -13,12 +15,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.functions.checks import require_depth, require_direction, require_limit, reverse_direction
+from provenir.functions.checks import require_depth, require_direction, require_limit
+from provenir.operators.components import number_in_order
+from provenir.operators.skew import MAX_BROADCAST_KEYS
 from provenir.session import cut, cut_counted
 
-DEFAULT_NEIGHBORS_DEPTH = 1
-DEFAULT_PATH_DEPTH = 10
-DEFAULT_PATHS_LIMIT = 10
+# Steps of one node that share a join key; a node with more has several keys.
+HUB_STEPS = 50_000
 
 _PATH = "array<struct<flag:int,rel_id:string>>"
 
@@ -52,8 +55,50 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+@dataclass(frozen=True)
+class Walk:
+    """Written steps; ``hubs`` tells over how many keys the steps of a hub are dealt."""
+
+    steps: DataFrame
+    hubs: DataFrame | None
+
+    def expand(self, frontier: DataFrame) -> DataFrame:
+        """The frontier joined with the steps that leave its nodes."""
+        if self.hubs is None:
+            return frontier.join(self.steps, frontier.node == self.steps.from_id)
+        dealt = frontier.join(self.hubs, F.col("node") == F.col("hub"), "left").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        )
+        steps = self.steps.withColumnRenamed("part", "_part")
+        return dealt.join(steps, (F.col("node") == F.col("from_id")) & (F.col("part") == F.col("_part"))).drop(
+            "hub", "parts", "part", "_part"
+        )
+
+
+def _walk(relationships: DataFrame, direction: str) -> Walk:
+    every = cut(steps(relationships, direction), "steps")
+    counts = every.groupBy(F.col("from_id").alias("hub")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_STEPS)
+    hubs, n = cut_counted(counts.select("hub", F.ceil(F.col("n") / HUB_STEPS).cast("int").alias("parts")), "hubs")
+    if n == 0:
+        return Walk(every, None)
+    hubs = F.broadcast(hubs) if n <= MAX_BROADCAST_KEYS else hubs
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rel_id", "to_id"), F.col("parts"))).otherwise(0)
+    dealt = every.join(hubs, F.col("from_id") == F.col("hub"), "left").withColumn("part", part.cast("int"))
+    return Walk(cut(dealt.drop("hub", "parts"), "steps"), hubs)
+
+
+def _open_queries(frontier: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """The frontier without the queries that have reached their target."""
+    if targets is None:
+        return frontier
+    done = frontier.join(
+        targets, (frontier.query_id == targets.query_id) & (frontier.node == targets.target), "left_semi"
+    ).select("query_id")
+    return frontier.join(done, "query_id", "left_anti")
+
+
 def _search(
-    walk: DataFrame, origins: DataFrame, max_depth: int, targets: DataFrame | None = None
+    walk: Walk, origins: DataFrame, max_depth: int | None, targets: DataFrame | None = None
 ) -> list[DataFrame]:
     """Frontiers by hop: ``query_id, node, path, hop``; hop 0 holds the origins.
 
@@ -64,15 +109,9 @@ def _search(
         "query_id", F.col("origin").alias("node"), F.array().cast(_PATH).alias("path"), F.lit(0).alias("hop")
     )
     frontiers = [cut(start, "frontier")]
-    for hop in range(1, max_depth + 1):
-        frontier = frontiers[-1]
-        if targets is not None:
-            done = frontier.join(
-                targets, (frontier.query_id == targets.query_id) & (frontier.node == targets.target), "left_semi"
-            ).select("query_id")
-            frontier = frontier.join(done, "query_id", "left_anti")
+    while max_depth is None or len(frontiers) <= max_depth:
         reached = (
-            frontier.join(walk, frontier.node == walk.from_id)
+            walk.expand(_open_queries(frontiers[-1], targets))
             .select(
                 "query_id",
                 F.col("to_id").alias("node"),
@@ -82,7 +121,7 @@ def _search(
             .agg(F.min("path").alias("path"))
         )
         seen = _union([f.select("query_id", "node") for f in frontiers])
-        fresh = reached.join(seen, ["query_id", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        fresh = reached.join(seen, ["query_id", "node"], "left_anti").withColumn("hop", F.lit(len(frontiers)))
         new, n = cut_counted(fresh, "frontier")
         if n == 0:
             break
@@ -90,6 +129,34 @@ def _search(
     return frontiers
 
 
+def _levels(
+    walk: Walk, queries: DataFrame, targets: DataFrame, max_depth: int | None
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Hop count of every query that reaches its target, and the edges between levels.
+
+    Level ``n`` holds the edges that lead from a node first met at hop ``n`` to one first
+    met at hop ``n + 1``: all edges that any shortest chain can use, and no others.
+    """
+    frontiers = [cut(queries.select("query_id", F.col("source").alias("node"), F.lit(0).alias("hop")), "frontier")]
+    levels: list[DataFrame] = []
+    while max_depth is None or len(levels) < max_depth:
+        seen = _union([f.select("query_id", F.col("node").alias("next_id")) for f in frontiers])
+        grown = walk.expand(_open_queries(frontiers[-1], targets)).select(
+            "query_id", F.col("node").alias("prev_id"), F.col("to_id").alias("next_id"), "rel_id", "flag"
+        )
+        edges, n = cut_counted(grown.join(seen, ["query_id", "next_id"], "left_anti"), "level")
+        if n == 0:
+            break
+        levels.append(edges)
+        reached = edges.select("query_id", F.col("next_id").alias("node")).distinct()
+        frontiers.append(cut(reached.withColumn("hop", F.lit(len(levels))), "frontier"))
+    every = _union(frontiers)
+    length = every.join(
+        targets, (every.query_id == targets.query_id) & (every.node == targets.target), "left_semi"
+    ).select("query_id", F.col("hop").alias("hop_count"))
+    return cut(length, "length"), levels
+
+
 def _attach_steps(hops: DataFrame, relationships: DataFrame) -> DataFrame:
     """Resolve ``flag, rel_id`` to the walked endpoints; the stored edge is never flipped."""
     edges = relationships.select(
@@ -110,16 +177,16 @@ def neighbors(
     relationships: DataFrame,
     origins: DataFrame,
     *,
-    max_depth: int = DEFAULT_NEIGHBORS_DEPTH,
+    max_depth: int | None,
     direction: str = "out",
 ) -> DataFrame:
-    """Entities within ``max_depth`` hops of each ``(query_id, origin)``.
+    """Entities within ``max_depth`` hops (None: any number) of each ``(query_id, origin)``.
 
     One row per query and entity with its hop count and the step that found it;
     the origin itself is left out.
     """
     require_depth(max_depth)
-    walk = cut(steps(relationships, direction), "steps")
+    walk = _walk(relationships, direction)
     found = _union(_search(walk, origins, max_depth)).where("hop > 0")
     via = found.select(
         "query_id",
@@ -132,11 +199,11 @@ def neighbors(
 
 
 def distances(
-    relationships: DataFrame, origins: DataFrame, *, max_depth: int, direction: str = "out"
+    relationships: DataFrame, origins: DataFrame, *, max_depth: int | None, direction: str = "out"
 ) -> DataFrame:
     """Hop count per query and entity, the origin included with 0."""
     require_depth(max_depth)
-    walk = cut(steps(relationships, direction), "steps")
+    walk = _walk(relationships, direction)
     return _union(_search(walk, origins, max_depth)).select(
         "query_id", F.col("node").alias("entity_id"), F.col("hop").alias("hop_count")
     )
@@ -151,7 +218,7 @@ def shortest_path(
     relationships: DataFrame,
     queries: DataFrame,
     *,
-    max_depth: int = DEFAULT_PATH_DEPTH,
+    max_depth: int | None = None,
     direction: str = "out",
 ) -> Paths:
     """One shortest chain per ``(query_id, source, target)``.
@@ -161,7 +228,7 @@ def shortest_path(
     """
     require_depth(max_depth)
     queries, targets = _ends(queries)
-    walk = cut(steps(relationships, direction), "steps")
+    walk = _walk(relationships, direction)
     reached = _union(_search(walk, queries.withColumnRenamed("source", "origin"), max_depth, targets))
     hit = reached.join(
         targets, (reached.query_id == targets.query_id) & (reached.node == targets.target), "left_semi"
@@ -181,69 +248,41 @@ def all_shortest_paths(
     relationships: DataFrame,
     queries: DataFrame,
     *,
-    max_depth: int = DEFAULT_PATH_DEPTH,
+    max_depth: int | None = None,
     direction: str = "out",
-    limit: int = DEFAULT_PATHS_LIMIT,
+    limit: int | None = None,
 ) -> Paths:
-    """Every chain tied for shortest, ordered, the first ``limit`` per query.
+    """Every chain tied for shortest, ordered; with ``limit`` the first so many per query.
 
-    A forward search gives distances; a backward one, held to nodes at the
-    matching forward distance, leaves only edges on some shortest chain. On
-    those, chains grow hop by hop and only the ``limit + 1`` lowest prefixes
-    are kept, which is exact because every prefix completes.
+    A forward search keeps the edges between its levels. From the target back, level
+    by level, only edges that lead on to it stay. On those, chains grow hop by hop;
+    with a limit only the ``limit + 1`` lowest prefixes are kept, which is exact
+    because every prefix completes, and ``truncated`` tells that there are more.
     """
     require_depth(max_depth)
     require_limit(limit)
     queries, targets = _ends(queries)
-    walk = cut(steps(relationships, direction), "steps")
-    frontiers = _search(walk, queries.withColumnRenamed("source", "origin"), max_depth, targets)
-    reached = _union(frontiers)
-    length = cut(
-        reached.join(
-            targets, (reached.query_id == targets.query_id) & (reached.node == targets.target), "left_semi"
-        ).select("query_id", F.col("hop").alias("hop_count")),
-        "length",
-    )
-    longest = length.agg(F.max("hop_count")).first()[0] or 0
-
-    # Backward from the target, level by level.
-    back = cut(steps(relationships, reverse_direction(direction)), "steps")
-    frontier = targets.join(length, "query_id").select("query_id", F.col("target").alias("node"), "hop_count")
-    on_chain: dict[int, DataFrame] = {}
-    for left in range(1, longest + 1):
-        arrivals = frontier.join(back, frontier.node == back.from_id).select(
-            "query_id",
-            "hop_count",
-            F.col("to_id").alias("prev_id"),
-            F.col("node").alias("next_id"),
-            "rel_id",
-            # The step as walked from source to target.
-            (1 - F.col("flag")).alias("flag"),
-        )
-        nodes = reached.select("query_id", F.col("node").alias("prev_id"), F.col("hop").alias("prev_hop"))
-        edges = cut(
-            arrivals.join(nodes, ["query_id", "prev_id"]).where(F.col("prev_hop") == F.col("hop_count") - left),
-            "dag",
-        )
-        on_chain[left] = edges
-        frontier = edges.select("query_id", F.col("prev_id").alias("node"), "hop_count").distinct()
-    return _grow_chains(relationships, queries, length, on_chain, longest, limit)
+    length, levels = _levels(_walk(relationships, direction), queries, targets, max_depth)
+    ends = cut(targets.join(length, "query_id").select("query_id", F.col("target").alias("next_id"), "hop_count"), "ends")
+    needed = ends.where("hop_count < 0").select("query_id", "next_id")
+    on_chain: list[DataFrame] = []
+    for hop in range(len(levels), 0, -1):
+        arriving = ends.where(F.col("hop_count") == hop).select("query_id", "next_id").unionByName(needed)
+        edges = cut(levels[hop - 1].join(arriving, ["query_id", "next_id"], "left_semi"), "on_chain")
+        on_chain.insert(0, edges)
+        needed = edges.select("query_id", F.col("prev_id").alias("next_id")).distinct()
+    return _grow_chains(relationships, queries, length, on_chain, limit)
 
 
 def _grow_chains(
-    relationships: DataFrame,
-    queries: DataFrame,
-    length: DataFrame,
-    on_chain: dict[int, DataFrame],
-    longest: int,
-    limit: int,
+    relationships: DataFrame, queries: DataFrame, length: DataFrame, on_chain: list[DataFrame], limit: int | None
 ) -> Paths:
     link = "array<struct<to_id:string,rel_id:string,flag:int>>"
     prefixes = queries.join(length, "query_id").select(
         "query_id", "hop_count", F.col("source").alias("node"), F.array().cast(link).alias("chain")
     )
-    for hop in range(longest):
-        edges = _union([on_chain[n] for n in range(1, longest + 1)]).where(F.col("prev_hop") == hop)
+    best = Window.partitionBy("query_id").orderBy("chain")
+    for hop, edges in enumerate(on_chain):
         grown = (
             prefixes.where(F.col("hop_count") > hop).alias("p")
             .join(
@@ -260,12 +299,19 @@ def _grow_chains(
                 ).cast(link).alias("chain"),
             )
         )
-        best = Window.partitionBy("query_id").orderBy("chain")
-        kept = grown.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit + 1).drop("_n")
-        prefixes = cut(kept.unionByName(prefixes.where(F.col("hop_count") <= hop)), "prefixes")
-    order = Window.partitionBy("query_id").orderBy("chain")
-    ranked = prefixes.withColumn("chain_index", F.row_number().over(order) - 1)
-    counts = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        if limit is not None:
+            grown = grown.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit + 1).drop("_n")
+        prefixes = cut(grown.unionByName(prefixes.where(F.col("hop_count") <= hop)), "prefixes")
+    # Numbered over all queries at once, so that a query with very many chains is spread too.
+    numbered = cut(number_in_order(prefixes, ["query_id", "chain"], "_n"), "numbered")
+    counts = cut(
+        numbered.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("_n").alias("first")), "counts"
+    )
+    ranked = numbered.join(counts.select("query_id", "first"), "query_id").withColumn(
+        "chain_index", (F.col("_n") - F.col("first")).cast("int")
+    )
+    n = F.coalesce("n", F.lit(0))
+    shown = n if limit is None else F.least(n, F.lit(limit))
     summary = (
         queries.join(length, "query_id", "left")
         .join(counts, "query_id", "left")
@@ -273,14 +319,13 @@ def _grow_chains(
             "query_id", "source", "target",
             F.col("hop_count").isNotNull().alias("found"),
             "hop_count",
-            F.least(F.coalesce("n", F.lit(0)), F.lit(limit)).alias("n_chains"),
-            (F.coalesce("n", F.lit(0)) > limit).alias("truncated"),
+            shown.alias("n_chains"),
+            (n > shown).alias("truncated"),
         )
     )
-    hops = (
-        ranked.where(F.col("chain_index") < limit)
-        .select("query_id", "chain_index", F.posexplode("chain").alias("position", "s"))
-        .select("query_id", "chain_index", "position", "s.flag", "s.rel_id")
+    kept = ranked if limit is None else ranked.where(F.col("chain_index") < limit)
+    hops = kept.select("query_id", "chain_index", F.posexplode("chain").alias("position", "s")).select(
+        "query_id", "chain_index", "position", "s.flag", "s.rel_id"
     )
     chains = _attach_steps(hops, relationships).orderBy("query_id", "chain_index", "position")
     return Paths(chains, summary.orderBy("query_id"))

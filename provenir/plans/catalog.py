@@ -468,20 +468,20 @@ def distance_map(spark, d):
 @query
 def shortest_path_batch(spark, d):
     """From every customer and supplier to one region: found, hops."""
-    found = traversal.shortest_path(_graph(spark, d), views.to_region_queries(spark, d), max_depth=2)
+    found = traversal.shortest_path(_graph(spark, d), views.to_region_queries(spark, d))
     return found.summary
 
 
 @query
 def shortest_path_steps(spark, d):
-    found = traversal.shortest_path(_graph(spark, d), views.to_region_queries(spark, d), max_depth=2)
+    found = traversal.shortest_path(_graph(spark, d), views.to_region_queries(spark, d))
     return found.chains.select("query_id", "position", "rel_id", "from_id", "to_id", "walked_direction")
 
 
 def _chains(spark: SparkSession, d: str) -> tuple[traversal.Paths, DataFrame]:
     """Every customer's shortest chains to one supplier, written once."""
     queries = views.customer_to_supplier_queries(spark, d)
-    found = traversal.all_shortest_paths(_graph(spark, d), queries, max_depth=3)
+    found = traversal.all_shortest_paths(_graph(spark, d), queries)
     return traversal.Paths(cut(found.chains, "chains"), cut(found.summary, "summary")), queries
 
 
@@ -499,12 +499,29 @@ def all_shortest_summary(spark, d):
 
 @query
 def all_shortest_both_ways(spark, d):
-    """Chains between two customers in either direction; many ties, a low limit."""
+    """All chains between two customers in either direction."""
     pair = spark.createDataFrame([("q", "C1", "C2")], "query_id string, source string, target string")
-    found = traversal.all_shortest_paths(_graph(spark, d), pair, max_depth=4, direction="both", limit=7)
+    found = traversal.all_shortest_paths(_graph(spark, d), pair, direction="both")
     return found.chains.select("chain_index", "position", "rel_id", "from_id", "to_id", "walked_direction")
 
 
+@query
+def limited_chains(spark, d):
+    """The first three chains of every customer, and whether there are more."""
+    found = traversal.all_shortest_paths(_graph(spark, d), views.customer_to_supplier_queries(spark, d), limit=3)
+    counts = found.chains.groupBy("query_id").agg(
+        F.count_distinct("chain_index").alias("shown"), F.min(F.when(F.col("position") == 0, F.col("rel_id"))).alias("least_rel")
+    )
+    return found.summary.select("query_id", "n_chains", "truncated").join(counts, "query_id", "left")
+
+
+@query
+def distance_to_target(spark, d):
+    """How many hops every node is from one supplier, walking against the steps."""
+    back = checks.reverse_direction("out")
+    return traversal.distances(_graph(spark, d), _origin(spark, "S1"), max_depth=None, direction=back).select("entity_id", "hop_count")
+
+
 @query
 def explained_chains(spark, d):
     found, _ = _chains(spark, d)

@@ -150,26 +150,25 @@ FROM (SELECT node, hop, {_steps_of('path')} FROM reached WHERE hop > 0) v JOIN r
 
 _TO_REGION = _bfs(
     "SELECT 'C' || c_custkey AS q, 'C' || c_custkey AS node, '' AS path, 0 AS hop FROM customer "
-    "UNION ALL SELECT 'S' || s_suppkey, 'S' || s_suppkey, '', 0 FROM supplier", 2, "out", stop="'R0'",
+    "UNION ALL SELECT 'S' || s_suppkey, 'S' || s_suppkey, '', 0 FROM supplier", 4, "out", stop="'R0'",
 )
 
 # Customer - order - S1 is always two hops, so a chain is one placed edge and one supplied_by edge.
 _CHAINS = "WITH " + _TRADE.strip() + """,
 two AS (SELECT a.src AS q, a.id AS r1, b.id AS r2, a.dst AS mid, a.refs AS refs1, b.refs AS refs2
   FROM rels a JOIN rels b ON a.kind = 'placed' AND b.kind = 'supplied_by' AND b.src = a.dst AND b.dst = 'S1'),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY mid, r1, r2) - 1 AS chain_index, count(*) OVER (PARTITION BY q) AS total FROM two),
-chains AS MATERIALIZED (SELECT * FROM numbered WHERE chain_index < 10),
+chains AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY q ORDER BY mid, r1, r2) - 1 AS chain_index, count(*) OVER (PARTITION BY q) AS total FROM two),
 hops AS MATERIALIZED (
   SELECT q, chain_index, 0 AS position, r1 AS rel_id, q AS f, mid AS t, refs1 AS refs FROM chains
   UNION ALL SELECT q, chain_index, 1, r2, mid, 'S1', refs2 FROM chains),
 summary AS MATERIALIZED (
-  SELECT 'C' || c_custkey AS q, coalesce(n, 0) AS total FROM customer LEFT JOIN (SELECT q, any_value(total) AS n FROM numbered GROUP BY q) x ON x.q = 'C' || c_custkey),
+  SELECT 'C' || c_custkey AS q, coalesce(n, 0) AS total FROM customer LEFT JOIN (SELECT q, any_value(total) AS n FROM chains GROUP BY q) x ON x.q = 'C' || c_custkey),
 cited AS MATERIALIZED (SELECT q, chain_index, position, rel_id, unnest(refs) AS ref_id, generate_subscripts(refs, 1) - 1 AS ref_position FROM hops),
 known_orders AS (SELECT 'o' || o_orderkey AS k FROM orders),
 roots AS MATERIALIZED (SELECT DISTINCT q, chain_index, 'ev-' || k AS root_id FROM cited JOIN known_orders
   ON ref_id = 'ev-' || k OR ref_id LIKE 'ne-l%' AND 'o' || split_part(substr(ref_id, 5), '-', 1) = k),
 shared_roots AS (SELECT q, root_id FROM roots GROUP BY ALL HAVING count(*) > 1),
-overlap AS MATERIALIZED (SELECT s.q, least(s.total, 10) AS n_chains, coalesce(string_agg(r.root_id, ',' ORDER BY r.root_id), '') AS shared,
+overlap AS MATERIALIZED (SELECT s.q, s.total AS n_chains, coalesce(string_agg(r.root_id, ',' ORDER BY r.root_id), '') AS shared,
   CASE WHEN s.total >= 2 THEN count(r.root_id) = 0 END AS verdict
   FROM summary s LEFT JOIN shared_roots r ON r.q = s.q GROUP BY s.q, s.total),
 members AS (
@@ -232,7 +231,7 @@ ORACLES["contradiction_annotations"] = f"""WITH {_PAIRS}
 SELECT {_PAIR_ID} AS id, subject AS subject_event_id, 'dismissed' AS status, 'bo' AS annotated_by, 'second' AS note FROM pairs"""
 ORACLES["evidence_dedup_custody"] = """
 SELECT sha256(text) AS id, 'documents:' || min(doc_id) AS source_locator, any_value(octet_length(encode(text))) AS raw_size_bytes,
-  count(*) AS n_custody, least(count(DISTINCT source), 2) AS n_sources
+  count(*) AS n_custody, count(DISTINCT source) AS n_sources
 FROM documents GROUP BY 1"""
 ORACLES["ambiguous_sources"] = """
 SELECT DISTINCT sha256(text) AS evidence_id, source AS source_id FROM documents
@@ -434,7 +433,7 @@ ORACLES["all_shortest_paths"] = _CHAINS + """
 SELECT q AS query_id, chain_index, position, rel_id, f AS from_id, t AS to_id, 'forward' AS walked_direction FROM hops"""
 ORACLES["all_shortest_summary"] = _CHAINS + """
 SELECT q AS query_id, q AS source, 'S1' AS target, total > 0 AS found, CASE WHEN total > 0 THEN 2 END AS hop_count,
-  least(total, 10) AS n_chains, total > 10 AS truncated FROM summary"""
+  total AS n_chains, false AS truncated FROM summary"""
 ORACLES["all_shortest_both_ways"] = "WITH " + _TRADE.strip() + """,
 walk AS (SELECT src AS f, dst AS t, id, 'forward' AS way FROM rels UNION ALL SELECT dst, src, id, 'backward' FROM rels),
 h1 AS (SELECT [{'f': f, 't': t, 'id': id, 'way': way}] AS c, t FROM walk WHERE f = 'C1' AND t <> 'C1'),
@@ -447,8 +446,12 @@ found AS (SELECT c FROM h2 WHERE t = 'C2'
   UNION ALL SELECT list_concat(h.c, b.c) FROM half h JOIN b2 b ON b.f = h.t WHERE h.c[2].t <> 'C2'),
 shortest AS (SELECT c FROM found WHERE len(c) = (SELECT min(len(c)) FROM found)),
 numbered AS (SELECT c, row_number() OVER (ORDER BY list_transform(c, lambda x: [x.t, x.id])) - 1 AS chain_index FROM shortest),
-hops AS (SELECT chain_index, generate_subscripts(c, 1) - 1 AS position, unnest(c) AS s FROM numbered WHERE chain_index < 7)
+hops AS (SELECT chain_index, generate_subscripts(c, 1) - 1 AS position, unnest(c) AS s FROM numbered)
 SELECT chain_index, position, s.id AS rel_id, s.f AS from_id, s.t AS to_id, s.way AS walked_direction FROM hops"""
+ORACLES["limited_chains"] = _CHAINS + """
+SELECT s.q AS query_id, least(s.total, 3) AS n_chains, s.total > 3 AS truncated, nullif(least(s.total, 3), 0) AS shown, x.least_rel
+FROM summary s LEFT JOIN (SELECT q, min(r1) AS least_rel FROM chains WHERE chain_index < 3 GROUP BY q) x ON x.q = s.q"""
+ORACLES["distance_to_target"] = _bfs(_one("S1"), 4, "in") + " SELECT node AS entity_id, hop AS hop_count FROM reached"
 ORACLES["explained_chains"] = _CHAINS + f""", {_KNOWN.strip()}
 SELECT q AS query_id, chain_index, position, rel_id, ref_position, ref_id, {_KIND} FROM cited"""
 ORACLES["chain_entities"] = _CHAINS + """
@@ -593,7 +596,8 @@ ORACLES["case_order"] = f"""WITH {_PEOPLE}, cases AS (SELECT DISTINCT 'case-' ||
 SELECT participant_id, case_id, row_number() OVER (PARTITION BY participant_id ORDER BY sha256('study-v1-seed:' || participant_id || ':' || case_id)) - 1 AS position
 FROM people, cases"""
 ORACLES["answer_key"] = _CHAINS + """,
-asked AS (SELECT o.q, a.i, b.i AS j FROM overlap o, range(10) a(i), range(10) b(i) WHERE a.i < b.i AND b.i < o.n_chains),
+firsts AS (SELECT q, n_chains, unnest(range(n_chains)) AS i FROM overlap),
+asked AS (SELECT q, i, unnest(range(i + 1, n_chains)) AS j FROM firsts),
 shared_pairs AS (SELECT DISTINCT a.q, a.chain_index AS i, b.chain_index AS j FROM roots a JOIN roots b ON a.q = b.q AND a.root_id = b.root_id AND a.chain_index < b.chain_index)
 SELECT k.q AS query_id, k.q || '-q-' || (k.i + 1) || '-' || (k.j + 1) AS question_id,
   CASE WHEN s.q IS NULL THEN 'disjoint_root_evidence' ELSE 'shared_root_evidence' END AS correct_answer
@@ -645,4 +649,4 @@ SELECT q AS query_id, chain_index, condition, CASE WHEN condition <> 'path_only'
   CASE WHEN condition = 'root_evidence' THEN root_labels END AS root_labels
 FROM labels, (SELECT unnest(['path_only', 'direct_evidence', 'root_evidence']) AS condition)"""
 ORACLES["ground_truth_match"] = _CHAINS + """
-SELECT DISTINCT q AS query_id, total <= 10 AS path_count_matches, total <= 10 AS root_sets_match, total <= 10 AS direct_sets_match FROM two JOIN summary USING (q)"""
+SELECT DISTINCT q AS query_id, true AS path_count_matches, true AS root_sets_match, true AS direct_sets_match FROM two"""
