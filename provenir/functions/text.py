@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The record rule's default; a stricter or looser rule is an argument.
 MAX_SOURCE_ID_LENGTH = 256
 
 # Bidirectional controls, zero-width characters, the C0 controls
@@ -48,13 +49,13 @@ def neutralize(c: Column) -> Column:
     return F.when(has_hidden(c), shown).otherwise(doubled)
 
 
-def source_id_problem(c: Column) -> Column:
+def source_id_problem(c: Column, max_length: int = MAX_SOURCE_ID_LENGTH) -> Column:
     """Why a declared source id is not acceptable; null when it is."""
     return (
         F.when(c.isNull(), None)
         .when(c == "", "source_id is empty")
         .when(c.rlike(rf"(?U)\A{_SPACE}|{_SPACE}\z"), "source_id has outer white space")
-        .when(F.length(c) > MAX_SOURCE_ID_LENGTH, "source_id is too long")
+        .when(F.length(c) > max_length, "source_id is too long")
         .when(has_hidden(c), "source_id holds hidden characters")
     )
 

@@ -99,10 +99,9 @@ def custody_array(evidence: DataFrame, custody: DataFrame) -> DataFrame:
 
 
 def _event_value() -> Column:
-    """Everything of an event but ``created_at``, as one comparable hash."""
-    return F.xxhash64(
-        "event_type", F.to_json("entity_ids"), json_string_map(F.col("attributes")), F.to_json("derived_from")
-    )
+    """Everything of an event but ``created_at``, as one comparable digest."""
+    parts = ("event_type", F.to_json("entity_ids"), json_string_map(F.col("attributes")), F.to_json("derived_from"))
+    return F.sha2(F.to_json(F.array(*parts)), 256)
 
 
 def event_conflicts(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.checks import first_problem
-from provenir.functions.hashing import hash_mod3, json_list, json_object, json_strings, json_text, sha256_hex
-from provenir.functions.text import is_pairwise_question, neutral_label
+from provenir.functions.hashing import hash_mod3, json_object, json_strings, json_text
+from provenir.functions.text import is_pairwise_question, neutral_label, strip
+from provenir.operators.digest import ordered_digest
 from provenir.operators.evaluation import ratio
 
 # Fixed values of the study design.
@@ -18,11 +19,33 @@ REQUIRED = (
     "participant_id", "condition", "case_id", "question_id", "answer", "correct_answer",
     "response_time_ms", "timestamp", "study_version", "is_developer_validation",
 )
-# A study lists its cases by hand.
-MAX_CASES = 1_000
 KEY = ["participant_id", "case_id", "question_id"]
 
 
+def _written_time(responses: DataFrame) -> Column:
+    """The whole number that ``response_time_ms`` stands for, as digits; null if it stands for none.
+
+    Text is a signed whole number, white space around and single underscores between
+    digits allowed. A number loses its fraction; true and false are 1 and 0.
+    """
+    raw = F.col("response_time_ms").cast("string")
+    text = F.regexp_replace(strip(raw), "_(?=[0-9])", "")
+    as_text = F.when(strip(raw).rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"), F.regexp_replace(text, r"\A\+", ""))
+    plain = F.when(raw.rlike(r"\A-?[0-9]+(\.[0-9]*)?\z"), F.regexp_extract(raw, r"\A-?[0-9]+", 0))
+    double = F.expr("try_cast(response_time_ms AS DOUBLE)")
+    cut_off = F.when(double < 0, F.ceil(double)).otherwise(F.floor(double)).cast("string")
+    far = F.when(double < 0, "-").otherwise("")
+    other = F.when(F.abs(double) < 9e18, cut_off).when(F.abs(double) < float("inf"), F.concat(far, F.lit("9" * 20)))
+    as_number = F.coalesce(plain, other)
+    if dict(responses.dtypes)["response_time_ms"] != "string":
+        return as_number
+    if "response_time_kind" not in responses.columns:
+        return as_text
+    kind = F.col("response_time_kind")
+    as_boolean = F.when(raw == "true", "1").when(raw == "false", "0")
+    return F.when(kind == "text", as_text).when(kind == "number", as_number).when(kind == "boolean", as_boolean)
+
+
 def validate_responses(
     responses: DataFrame,
     *,
@@ -31,23 +54,34 @@ def validate_responses(
 ) -> tuple[DataFrame, DataFrame]:
     """Split responses into valid rows and rejects with the first failing ``reason``.
 
-    ``responses`` carries ``index``, the input position. A repeat of a
-    (participant, case, question) is rejected only after an earlier valid row:
-    the first valid index per key is a plain minimum, so a key with any number
-    of rows is folded before the shuffle.
+    ``responses`` carries ``index``, the input position. Where it also has ``fields``, the
+    names that the record holds, a null of one of them is a value and not a missing
+    field; ``response_time_kind`` tells how a time was written (``text``, ``number`` or
+    ``boolean``; without the column a string is text). A repeat of a (participant,
+    case, question) is rejected only after an earlier valid row: the first valid
+    index per key is a plain minimum, so a key with any number of rows is folded
+    before the shuffle.
     """
-    time_text = F.trim(F.col("response_time_ms").cast("string"))
-    time_ms = F.when(time_text.rlike(r"\A[+-]?\d+(\.\d*)?\z"), F.regexp_extract(time_text, r"\A[+-]?\d+", 0).cast("bigint"))
-    rows = responses.withColumn("_ms", time_ms)
-    missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED])), ", ")
+    rows = responses.withColumn("_written", _written_time(responses)).withColumn("_ms", F.expr("try_cast(_written AS BIGINT)"))
+    present = {c: F.col(c).isNotNull() for c in REQUIRED}
+    if "fields" in responses.columns:
+        present = {c: F.array_contains("fields", c) for c in REQUIRED}
+        for c in KEY:
+            rows = rows.withColumn(c, F.when(present[c], F.coalesce(F.col(c), F.lit("None"))))
+    missing = F.array_join(F.array_compact(F.array(*[F.when(~present[c], F.lit(c)) for c in REQUIRED])), ", ")
+
+    def other(c: str, known: tuple[str, ...]) -> Column:
+        return F.col(c).isNull() | ~F.col(c).isin(*known)
+
     rules = [
         (missing != "", "missing required field"),
-        (F.col("study_version") != study_version, "study_version mismatch"),
-        (~F.col("condition").isin(*CONDITIONS), "unknown condition"),
-        (~F.col("answer").isin(*ANSWERS), "malformed answer"),
-        (~F.col("correct_answer").isin(*ANSWERS), "malformed correct_answer"),
-        (F.col("_ms").isNull(), "non-integer response_time_ms"),
-        (F.col("_ms") < 0, "negative response_time_ms"),
+        (~F.col("study_version").eqNullSafe(F.lit(study_version)), "study_version mismatch"),
+        (other("condition", CONDITIONS), "unknown condition"),
+        (other("answer", ANSWERS), "malformed answer"),
+        (other("correct_answer", ANSWERS), "malformed correct_answer"),
+        (F.col("_written").isNull(), "non-integer response_time_ms"),
+        (F.col("_written").startswith("-") & ~F.col("_written").rlike(r"\A-0+\z"), "negative response_time_ms"),
+        (F.col("_ms").isNull(), "response_time_ms out of range"),
     ]
     if known_questions is not None:
         cases = known_questions.select("case_id").distinct().withColumn("_case", F.lit(True))
@@ -66,7 +100,7 @@ def validate_responses(
         .withColumn("response_time_ms", F.col("_ms"))
         .select(*responses.columns)
     )
-    return valid, final.where("reason IS NOT NULL").select(*responses.columns, "reason")
+    return valid.drop("fields", "response_time_kind"), final.where("reason IS NOT NULL").select(*responses.columns, "reason")
 
 
 def condition_metrics(responses: DataFrame, *, expected_per_condition: int | None = None) -> DataFrame:
@@ -137,22 +171,14 @@ def case_orders(participants: DataFrame, cases: DataFrame, seed: str) -> DataFra
     """A fixed order of all cases for every participant.
 
     Cases are ordered by the hash of seed, participant and case: deterministic
-    and different per participant. ``cases`` is the study's short case list.
+    and different per participant. Every participant sees every case, so the
+    result has a row for each pair; a participant's cases are sorted together.
     """
-    ids = sorted(r.case_id for r in cases.select("case_id").distinct().limit(MAX_CASES + 1).collect())
-    if len(ids) > MAX_CASES:
-        raise ValueError(f"a study shows at most {MAX_CASES} cases")
-
-    def place(case_id: Column) -> Column:
-        return F.struct(
-            F.sha2(F.concat(F.lit(f"{seed}:"), F.col("participant_id"), F.lit(":"), case_id), 256).alias("k"),
-            case_id.alias("case_id"),
-        )
-
-    shuffled = F.array_sort(F.transform(F.array(*[F.lit(i) for i in ids]), place))
-    return participants.select("participant_id", F.posexplode(shuffled).alias("position", "c")).select(
-        "participant_id", "position", "c.case_id"
-    )
+    listed = cases.select("case_id").distinct()
+    pairs = participants.select("participant_id").crossJoin(listed)
+    key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("participant_id"), F.lit(":"), F.col("case_id")), 256)
+    place = F.row_number().over(Window.partitionBy("participant_id").orderBy(key, "case_id")) - 1
+    return pairs.select("participant_id", place.alias("position"), "case_id")
 
 
 def questions(summary: DataFrame) -> DataFrame:
@@ -203,11 +229,8 @@ def score_responses(responses: DataFrame, key: DataFrame) -> DataFrame:
 def neutral_labels(members: DataFrame, prefix: str, member: str) -> DataFrame:
     """Replace ids by ``prefix-01`` labels, numbered by id within each query."""
     ids = members.select("query_id", member).distinct()
-    listed = ids.groupBy("query_id").agg(F.sort_array(F.collect_list(member)).alias("ids"))
-    # A case shows at most limit x depth ids, so the list is short.
-    return listed.select("query_id", F.posexplode("ids").alias("pos", member)).select(
-        "query_id", member, neutral_label(prefix, F.col("pos") + 1).alias("label")
-    )
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(member))
+    return ids.select("query_id", member, neutral_label(prefix, place).alias("label"))
 
 
 def condition_view(chains: DataFrame) -> DataFrame:
@@ -238,5 +261,5 @@ def case_manifest_hash(cases: DataFrame) -> DataFrame:
             "question_ids": json_strings(F.sort_array("question_ids")),
         }
     )
-    listed = F.sort_array(F.collect_list(F.struct("position", doc.alias("doc"))))
-    return cases.agg(sha256_hex(json_list(F.transform(listed, lambda c: c["doc"]))).alias("case_manifest_hash"))
+    rows = cases.select(F.lit("cases").alias("all"), "position", doc.alias("doc"))
+    return ordered_digest(rows, "all", ["position", "doc"], "doc", "[", ",", "]").select(F.col("hash").alias("case_manifest_hash"))

@@ -25,7 +25,7 @@ from provenir.operators import (
 )
 from provenir.plans import views
 from provenir.schemas import Case
-from provenir.session import cut, scratch_path
+from provenir.session import cut
 from provenir.sources import lines as line_source
 from provenir.sources import parsers
 from provenir.sources.packages import export_objects, resolve_packages
@@ -192,20 +192,11 @@ def syslog_events(spark, d):
 
 @query
 def text_file_lines(spark, d):
-    """Events written as text files and scanned back: lines, copies and numbering."""
-    path = scratch_path(spark, "text")
-    views.json_lines(spark, d).select(F.col("text").alias("value")).write.text(path)
-    lines = line_source.read_lines(spark, path)
-    # Without blank lines the physical numbers of a file with n lines are 1..n.
-    files = lines.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("line_no").alias("distinct"), F.max("line_no").alias("top")
-    )
-    checked = files.select("path", ((F.col("distinct") == F.col("n")) & (F.col("top") == F.col("n"))).alias("numbered"))
-    return (
-        lines.join(checked, "path")
-        .groupBy(F.sha2("raw", 256).alias("id"))
-        .agg(F.count(F.lit(1)).alias("copies"), F.bool_and("numbered").alias("numbered"))
-    )
+    """Events written as text files with blank lines in between, and scanned back with their numbers."""
+    path = views.event_files(spark, d)
+    lines = line_source.read_lines(spark, f"{path}/*/*.txt")
+    name = F.regexp_extract("path", "/file=([^/]+)/", 1)
+    return lines.select(name.alias("file"), "line_no", "row_no", F.sha2("raw", 256).alias("id"))
 
 
 @query

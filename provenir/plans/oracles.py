@@ -285,7 +285,9 @@ ORACLES["jsonl_evidence"] = f"""WITH {_JSON_LINES}
 SELECT sha256(line) AS id, 'jsonl' AS source_adapter, 'events.jsonl:' || (event_id + 1) AS source_locator,
   octet_length(encode(line)) AS raw_size_bytes FROM json_lines"""
 ORACLES["text_file_lines"] = f"""WITH {_JSON_LINES}
-SELECT sha256(line) AS id, count(*) AS copies, true AS numbered FROM json_lines GROUP BY 1"""
+SELECT event_type || '-' || (event_id // 20000) AS file, sha256(line) AS id, row_number() OVER w AS row_no,
+  CAST(row_number() OVER w + coalesce(sum(CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no
+FROM json_lines WINDOW w AS (PARTITION BY event_type || '-' || (event_id // 20000) ORDER BY event_id)"""
 ORACLES["csv_events"] = f"""WITH base AS (
   SELECT event_id, event_type AS file, props, '"' || replace(props, '"', '""') || '"' AS quoted FROM events),
 lines AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN CAST(event_id AS VARCHAR)
@@ -478,18 +480,17 @@ FROM rels r JOIN label l ON l.node = r.src JOIN (SELECT label, row_number() OVER
 
 
 def _tree() -> str:
-    """The id tree, folded from up to six digits; shallower trees pass the deeper steps by."""
+    """The id tree, folded from four digits."""
     parts = ["""objects AS (
   SELECT 'evidence_items' AS c, 'ev-' || event_id AS id FROM events
   UNION ALL SELECT 'normalized_events', 'ne-' || event_id FROM events
   UNION ALL SELECT 'time_assertions', 'ta-' || event_id FROM events WHERE NOT (event_type = 'signup' AND event_id % 5 = 0))""",
-        "digits AS (SELECT CAST(greatest(0, ceil(ln(count(*) / 4096) / ln(16))) AS INTEGER) AS d FROM objects)",
-        """t6 AS (SELECT c, substr(sha256(id), 1, d) AS prefix,
-  sha256('[' || string_agg('["' || id || '","' || id || '"]', ',' ORDER BY id) || ']') AS h FROM objects, digits GROUP BY ALL)"""]
-    for n in range(6, 0, -1):
+        """t4 AS (SELECT c, substr(sha256(id), 1, 4) AS prefix,
+  sha256('[' || string_agg('["' || id || '","' || id || '"]', ',' ORDER BY id) || ']') AS h FROM objects GROUP BY ALL)"""]
+    for n in range(4, 0, -1):
         parts.append(
             f"t{n - 1} AS (SELECT c, left(prefix, {n - 1}) AS prefix, sha256(string_agg(prefix || ':' || h, ',' ORDER BY prefix)) AS h "
-            f"FROM t{n} WHERE length(prefix) = {n} GROUP BY ALL UNION ALL SELECT c, prefix, h FROM t{n} WHERE length(prefix) < {n})"
+            f"FROM t{n} GROUP BY ALL)"
         )
     parts.append(
         "full_set AS MATERIALIZED (SELECT c, h FROM t0 UNION ALL SELECT unnest(['entities', 'hypotheses', 'relationships']), sha256('[]'))"

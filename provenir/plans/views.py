@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions import hashing
 from provenir.schemas import Case
+from provenir.session import scratch_path
 
 NO_ATTRIBUTES = "map<string,string>"
 
@@ -353,6 +354,23 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(table(spark, sf_dir, "events"), line, F.lit("events.jsonl"))
 
 
+def event_files(spark: SparkSession, sf_dir: str) -> str:
+    """The JSON lines as text files, one per event type and 20,000 ids; a blank line after every 17th id.
+
+    Returns the folder; a file's lines are in order of event id.
+    """
+    path = scratch_path(spark, "text")
+    written = json_lines(spark, sf_dir).withColumn("event_id", F.col("line_no") - 1).join(
+        table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id"
+    )
+    name = F.concat_ws("-", "event_type", F.floor(F.col("event_id") / 20_000).cast("string"))
+    value = F.when(F.col("event_id") % 17 == 0, F.concat("text", F.lit("\n \t"))).otherwise(F.col("text"))
+    rows = written.select(name.alias("file"), "event_id", value.alias("value"))
+    dealt = rows.repartition("file").sortWithinPartitions("file", "event_id").drop("event_id")
+    dealt.write.partitionBy("file").text(path)
+    return path
+
+
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as one CSV file per type, with quoted, short and long rows."""
     events = table(spark, sf_dir, "events")

@@ -89,7 +89,47 @@ def test_neighbors_match_model(spark, direction):
     assert "x" not in got
 
 
-@pytest.mark.parametrize("direction,limit", [("out", 2), ("both", 500)])
+def test_more_than_500_ties(spark):
+    mids = [f"m{i:03d}" for i in range(30)]
+    ends = [f"n{i:03d}" for i in range(30)]
+    edges = [(f"a-{m}", "s", m) for m in mids] + [(f"{m}-{n}", m, n) for m in mids for n in ends] + [(f"{n}-z", n, "t") for n in ends]
+    q = spark.createDataFrame([("q", "s", "t"), ("r", "s", "n001")], "query_id string, source string, target string")
+    found = traversal.all_shortest_paths(rel_frame(spark, edges), q)
+    assert {(r.query_id, r.n_chains, r.truncated) for r in found.summary.collect()} == {("q", 900, False), ("r", 30, False)}
+    chains = {}
+    for r in found.chains.collect():
+        chains.setdefault((r.query_id, r.chain_index), []).append(r.to_id)
+    assert [chains["q", i] for i in range(900)] == [[m, n, "t"] for m in mids for n in ends]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_hub_steps_are_dealt_out(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(traversal, "HUB_STEPS", 10)
+    if not broadcast:
+        monkeypatch.setattr(traversal, "MAX_BROADCAST_KEYS", 0)
+    edges = [(f"r{i:04d}", "hub", f"x{i:04d}") for i in range(300)] + [(f"s{i:04d}", f"x{i:04d}", "t") for i in range(0, 300, 3)] + [("in", "a", "hub")]
+    rels = rel_frame(spark, edges)
+    walk = traversal._walk(rels, "out")
+    assert walk.steps.where("from_id = 'hub'").select("part").distinct().count() == 30
+    origins = spark.createDataFrame([("q", "a")], "query_id string, origin string")
+    got = {r.entity_id: r.hop_count for r in traversal.distances(rels, origins, max_depth=None).collect()}
+    assert got == {"a": 0, "hub": 1, **{f"x{i:04d}": 2 for i in range(300)}, "t": 3}
+    q = spark.createDataFrame([("q", "a", "t")], "query_id string, source string, target string")
+    assert traversal.all_shortest_paths(rels, q).summary.first().n_chains == 100
+
+
+def test_only_forward_edges_are_walked_back(spark, monkeypatch):
+    """Edges into the target from nodes that the search never met are not in any frame of it."""
+    seen = []
+    real = traversal.cut_counted
+    monkeypatch.setattr(traversal, "cut_counted", lambda df, label="stage": (lambda r: (seen.append((label, r[1])), r)[1])(real(df, label)))
+    edges = [("r1", "a", "t")] + [(f"z{i:03d}", f"z{i}", "t") for i in range(200)]
+    q = spark.createDataFrame([("q", "a", "t")], "query_id string, source string, target string")
+    assert traversal.all_shortest_paths(rel_frame(spark, edges), q).summary.first().n_chains == 1
+    assert [n for label, n in seen if label == "level"] == [1, 0]
+
+
+@pytest.mark.parametrize("direction,limit", [("out", 2), ("both", None)])
 def test_paths_match_model(spark, direction, limit):
     graphs = many_graphs(9, 14, n_nodes=6, n_edges=14)
     rels = rel_frame(spark, [e for _, edges in graphs for e in edges]).cache()
@@ -113,7 +153,8 @@ def test_paths_match_model(spark, direction, limit):
             assert s.hop_count is None and a.n_chains == 0 and not a.truncated
             continue
         assert s.hop_count == a.hop_count == len(want[0])
-        assert a.n_chains == min(len(want), limit) and a.truncated == (len(want) > limit)
+        shown = want[:limit]
+        assert a.n_chains == len(shown) and a.truncated == (len(want) > len(shown))
         got = [all_chains.get(q, {}).get(i, []) for i in range(a.n_chains)]
         assert got == want[:limit]
         first = bfs_model(edges, src, 5, direction)
@@ -131,11 +172,11 @@ def test_long_chain_and_argument_checks(spark):
     q = spark.createDataFrame([("q", "n00", "n14")], "query_id string, source string, target string")
     assert traversal.shortest_path(rels, q, max_depth=14).summary.first().hop_count == 14
     assert not traversal.shortest_path(rels, q, max_depth=13).summary.first().found
-    for bad in (0, 51):
-        with pytest.raises(ValueError):
-            traversal.shortest_path(rels, q, max_depth=bad)
+    assert traversal.shortest_path(rels, q).summary.first().hop_count == 14
+    with pytest.raises(ValueError):
+        traversal.shortest_path(rels, q, max_depth=0)
     with pytest.raises(ValueError):
-        traversal.all_shortest_paths(rels, q, limit=501)
+        traversal.all_shortest_paths(rels, q, limit=0)
     with pytest.raises(ValueError):
         traversal.steps(rels, "sideways")
 

@@ -12,7 +12,7 @@ from provenir.operators import gaps, provenance, report, study
 from provenir.schemas import ASSERTIONS, HYPOTHESES, RESPONSES, TRACKED_CONTRADICTIONS, Case
 from provenir.session import cut
 from provenir.sources import tables
-from provenir.sources.packages import export_objects, read_packages, resolve_packages
+from provenir.sources.packages import strict_base64, export_objects, read_packages, resolve_packages
 from provenir.sources.responses import append_responses, read_responses
 from provenir.streaming.ingest import start_ingest
 from provenir.streaming.tracking import all_versions, start_tracking
@@ -113,7 +113,11 @@ def test_packages_resolve_and_reject(spark, tmp_path):
     assert one == two
 
 
-# Fixed values of a published worked case: three whole-file evidence ids and its manifest.
+# Fixed values of a published worked case: its record ids, three whole-file evidence ids and its manifest.
+GOLDEN_EVENT = "a0000000-0000-0000-0000-000000000001"
+GOLDEN_ASSERTION = "b0000000-0000-0000-0000-000000000001"
+GOLDEN_ENTITY = "c0000000-0000-0000-0000-000000000001"
+GOLDEN_HYPOTHESIS = "d0000000-0000-0000-0000-000000000001"
 GOLDEN_EVIDENCE = (
     "23da92a458f02aa20db9198ff4df4f31f15547b40b58a3e6b9fa55aa312c7ef2",
     "704c1143475a2165aac8af1d0a7330e79e0d0ca99fb4fef3cbb2db47e0fa37e2",
@@ -125,20 +129,19 @@ GOLDEN_MANIFEST = "7de0a333d0c096ba3d7815ede59de97703182647029ac292f0d847028457f
 def golden_case(spark):
     empty = Case.empty(spark)
     jsonl, log, _ = GOLDEN_EVIDENCE
-    tail = "-0000-0000-0000-000000000001"
     return replace(
         empty,
         evidence=spark.createDataFrame(
             [(e, "a", "0.1.0", "l", e, 1, NOW, None, {}) for e in GOLDEN_EVIDENCE], empty.evidence.schema),
         events=spark.createDataFrame(
-            [(f"a0000000{tail}", "process_start", [], {"host": "corp-ws-042", "process": "powershell.exe"}, [jsonl], NOW)],
+            [(GOLDEN_EVENT, "process_start", [], {"host": "corp-ws-042", "process": "powershell.exe"}, [jsonl], NOW)],
             empty.events.schema),
         assertions=spark.createDataFrame(
-            [(f"b0000000{tail}", f"a0000000{tail}", NOW + timedelta(hours=8, minutes=30), "second", jsonl, "adapter:jsonl", NOW)], ASSERTIONS),
+            [(GOLDEN_ASSERTION, GOLDEN_EVENT, NOW + timedelta(hours=8, minutes=30), "second", jsonl, "adapter:jsonl", NOW)], ASSERTIONS),
         entities=spark.createDataFrame(
-            [(f"c0000000{tail}", "host", {"hostname": "corp-ws-042"}, None, None, [jsonl])], empty.entities.schema),
+            [(GOLDEN_ENTITY, "host", {"hostname": "corp-ws-042"}, None, None, [jsonl])], empty.entities.schema),
         hypotheses=spark.createDataFrame(
-            [(f"d0000000{tail}", "corp-ws-042 ran obfuscated PowerShell after opening a macro document", "supported",
+            [(GOLDEN_HYPOTHESIS, "corp-ws-042 ran obfuscated PowerShell after opening a macro document", "supported",
               [("evidence_item", jsonl), ("evidence_item", log)], [], "analyst:golden-report-test", NOW)], HYPOTHESES),
     )
 
@@ -157,9 +160,18 @@ def test_golden_manifest_verdict_and_snapshots(spark, tmp_path):
     assert provenance.verdict(manifest, other).first().verdict == "MISMATCH"
     tree = provenance.tree_manifest(case)
     assert provenance.verdict(tree, manifest).first().verdict == "NOT_COMPARABLE"
-    deep = {r.collection: r.hash for r in provenance.tree_manifest(case, leaf_rows=1).collect()}
     shuffled = replace(case, evidence=case.evidence.orderBy(F.desc("id")).repartition(3))
-    assert deep == {r.collection: r.hash for r in provenance.tree_manifest(shuffled, leaf_rows=1).collect()}
+    deep = cut(provenance.tree_manifest(case, digits=2), "m")
+    assert {r.collection: r.hash for r in deep.collect()} == {r.collection: r.hash for r in provenance.tree_manifest(shuffled, digits=2).collect()}
+    assert provenance.verdict(tree, deep).first().verdict == "NOT_COMPARABLE"
+    # One more event changes its own collection and the whole, no other collection.
+    more = replace(case, events=case.events.unionByName(case.events.withColumn("id", F.lit("e"))))
+    one, two = ({r.collection: r.hash for r in provenance.tree_manifest(c).collect()} for c in (case, more))
+    assert {k for k in one if one[k] != two[k]} == {"manifest", "normalized_events"}
+    for recorded in (manifest, tree, deep):
+        assert provenance.verify(shuffled, cut(recorded, "m")).first().verdict == "MATCH"
+        assert provenance.verify(more, cut(recorded, "m")).first().verdict == "MISMATCH"
+    assert provenance.verify(case, None).first().matches
     assert provenance.diff(case, replace(case, entities=case.entities.limit(0))).first().change == "removed"
     parts = report.sections(stored, manifest, manifest)
     assert parts["coverage_gaps"] is None
@@ -167,10 +179,40 @@ def test_golden_manifest_verdict_and_snapshots(spark, tmp_path):
     assert "coverage_gaps" not in names and spark.read.json(str(tmp_path / "report/timeline")).count() == 1
 
 
-def test_list_manifest_refuses_large_collections(spark, monkeypatch):
-    monkeypatch.setattr(provenance, "MAX_LIST_ROWS", 2)
-    with pytest.raises(provenance.CollectionTooLarge):
-        provenance.list_manifest(golden_case(spark))
+def test_ordered_digest_over_many_chunks(spark, monkeypatch):
+    import hashlib
+
+    from provenir.operators import digest
+
+    monkeypatch.setattr(digest, "CHUNK_BYTES", 40)
+    rows = [(c, i, f"{c}{i}é") for c in ("a", "b") for i in range(300)] + [("c", 0, "only")]
+    df = spark.createDataFrame(rows, "c string, i int, t string").repartition(7)
+    got = {r.c: r.hash for r in digest.ordered_digest(df, "c", ["i"], "t", "[", ",", "]").collect()}
+    want = {c: hashlib.sha256(("[" + ",".join(t for k, _, t in rows if k == c) + "]").encode()).hexdigest() for c in ("a", "b", "c")}
+    assert got == want
+
+
+@pytest.mark.parametrize("text,ok", [
+    ("", True), ("/w==", True), ("/wA=", True), ("AAAA", True), ("/wA", False), ("/w A=", False), ("/wA==", False), ("====", False), ("/w=A", False), ("é===", False), ("_-8=", False),
+])
+def test_strict_base64(spark, text, ok):
+    import base64
+
+    got = spark.createDataFrame([(text,)], "t string").select(strict_base64(F.col("t"))).first()[0]
+    assert (None if got is None else bytes(got)) == (base64.b64decode(text, validate=True) if ok else None)
+
+
+def test_new_hypothesis_ids_do_not_change(spark):
+    from provenir.sources.packages import LAYOUTS
+
+    declared = {k: spark.createDataFrame([], f"package_id STRING, position BIGINT, {ddl}") for k, ddl in LAYOUTS.items()}
+    some = [("p", 0, "e", "x", None, "l", NOW, None, None, None)]
+    declared["evidence_items"] = spark.createDataFrame(some, declared["evidence_items"].schema)
+    made = [("p", i, None, f"s{i}", None, [("evidence_item", "e")], [], "me", NOW) for i in range(20)]
+    declared["hypotheses"] = spark.createDataFrame(made, declared["hypotheses"].schema)
+    found = resolve_packages(declared).case.hypotheses
+    first = {(r.statement, r.id) for r in found.collect()}
+    assert len(first) == 20 and first == {(r.statement, r.id) for r in found.repartition(5).collect()}
 
 
 def test_stream_ingest_is_idempotent(spark, tmp_path):
@@ -204,10 +246,20 @@ def test_responses_source(spark, tmp_path):
     row = {"participant_id": "p", "condition": "path_only", "case_id": "c", "question_id": "q", "answer": "indeterminate",
            "correct_answer": "indeterminate", "response_time_ms": 5, "timestamp": T, "study_version": "study-v1", "is_developer_validation": False}
     path = tmp_path / "r.jsonl"
-    path.write_text("\n".join(json.dumps(r) for r in [row, row, {**row, "answer": "x"}, {k: v for k, v in row.items() if k != "case_id"}]))
+    times = [12.7, "12", " +1_000 ", "12.7", "1__0", True, None, "x", -3, "-3", 10**30, "9" * 30, "1e3", 1e3, -0.5]
+    timed = [{**row, "question_id": f"t{i}", "response_time_ms": t} for i, t in enumerate(times)]
+    nulls = [{**row, "question_id": "n0", "case_id": None}, {**row, "question_id": "n1", "answer": None}]
+    lines = [row, row, {**row, "answer": "x"}, {k: v for k, v in row.items() if k != "case_id"}, *timed, *nulls]
+    path.write_text("\n".join(json.dumps(r) for r in lines))
     valid, rejected = study.validate_responses(read_responses(spark, str(path)))
-    assert valid.count() == 1
-    assert sorted(r.reason for r in rejected.collect()) == ["duplicate response", "malformed answer", "missing required field"]
+    assert {r.question_id: r.response_time_ms for r in valid.collect()} == {"q": 5, "t0": 12, "t1": 12, "t2": 1000, "t5": 1, "t13": 1000, "t14": 0, "n0": 5}
+    reasons = {r.question_id: r.reason for r in rejected.where("question_id LIKE 't%' OR question_id = 'n1'").collect()}
+    assert reasons == {"t3": "non-integer response_time_ms", "t4": "non-integer response_time_ms", "t6": "non-integer response_time_ms",
+                       "t7": "non-integer response_time_ms", "t8": "negative response_time_ms", "t9": "negative response_time_ms",
+                       "t10": "response_time_ms out of range", "t11": "response_time_ms out of range", "t12": "non-integer response_time_ms",
+                       "n1": "malformed answer"}
+    assert sorted(r.reason for r in rejected.where("question_id = 'q'").collect()) == ["duplicate response", "malformed answer", "missing required field"]
+    valid = valid.where("question_id = 'q'")
     append_responses(valid.drop("index"), str(tmp_path / "store"))
     append_responses(valid.drop("index").withColumn("is_developer_validation", F.lit(True)), str(tmp_path / "store"))
     stored = spark.read.schema(RESPONSES).json(str(tmp_path / "store"))

@@ -53,6 +53,23 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     assert {r.path for r in got} == {path}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_no_line_is_lost_when_splits_change(spark, tmp_path, monkeypatch, broadcast):
+    from provenir.sources import lines
+
+    if not broadcast:
+        monkeypatch.setattr(lines, "MAX_BROADCAST_BLOCKS", 0)
+    path = write(tmp_path, "big.log", "".join(f"line {i}\n" + "\n" * (i % 50 == 0) for i in range(20_000)))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+        read = read_lines(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        got = read.select("line_no", "row_no", "text").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(tuple(r) for r in got) == [(i + 1 + (i + 49) // 50, i + 1, f"line {i}") for i in range(20_000)]
+
+
 def test_lines_of_texts_match_file_lines(spark):
     text = "a\r\n\n b \nlast\r"
     df = spark.createDataFrame([(1, text)], "k int, t string")
