@@ -41,7 +41,7 @@ PERCENT = 75
 BANDS, ROWS = 50, 5
 #: Share of equal minima below which a pair is not confirmed: six standard deviations under 0.75.
 SCREEN = 0.58
-TILE = 1024
+TILE = 256
 
 _RNG = np.random.default_rng(20240229)
 #: The universal hashes x -> (a * x + b) mod 2**32, a odd.

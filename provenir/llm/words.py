@@ -16,9 +16,9 @@ import xxhash
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Texts of one batch are worked on in slices of about this many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A worker's table of word hashes starts anew at this size; it only saves time.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 18
 
 
 class WordHashes(dict):

@@ -91,7 +91,7 @@ def chains(seed):
     return rows
 
 
-@pytest.mark.parametrize("tile", [1024, 4])
+@pytest.mark.parametrize("tile", [256, 4])
 def test_near_duplicates_chains_and_tiles(spark, tile, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", tile)
     rows = chains(7)
