@@ -218,7 +218,7 @@ def canonical_json_texts(spark, d):
     return views.table(spark, d, "documents").select(
         "doc_id",
         F.length(body).cast("bigint").alias("json_chars"),
-        F.when(~F.col("text").rlike(r"[^ -~]"), F.sha2(body, 256)).alias("ascii_hash"),
+        F.sha2(body, 256).alias("json_hash"),
     )
 
 

@@ -315,7 +315,11 @@ ORACLES["canonical_json_texts"] = r"""
 SELECT doc_id, CAST(2 + coalesce(list_sum(list_transform(string_split(text, ''), lambda c:
     CASE WHEN c IN ('"', '\', chr(8), chr(9), chr(10), chr(12), chr(13)) THEN 2 WHEN unicode(c) BETWEEN 32 AND 126 THEN 1
     WHEN unicode(c) > 65535 THEN 12 ELSE 6 END)), 0) AS BIGINT) AS json_chars,
-  CASE WHEN regexp_full_match(text, '[ -~]*') THEN sha256('"' || replace(replace(text, '\', '\\'), '"', '\"') || '"') END AS ascii_hash
+  sha256('"' || coalesce(array_to_string(list_transform(string_split(text, ''), lambda c: CASE
+    WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(8) THEN '\b' WHEN c = chr(9) THEN '\t' WHEN c = chr(10) THEN '\n' WHEN c = chr(12) THEN '\f'
+    WHEN c = chr(13) THEN '\r' WHEN unicode(c) BETWEEN 32 AND 126 THEN c
+    WHEN unicode(c) > 65535 THEN '\u' || format('{:04x}', 55296 + (unicode(c) - 65536) // 1024) || '\u' || format('{:04x}', 56320 + (unicode(c) - 65536) % 1024)
+    ELSE '\u' || format('{:04x}', unicode(c)) END), ''), '') || '"') AS json_hash
 FROM documents"""
 
 

@@ -371,6 +371,54 @@ def event_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def log_folders(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The JSON, CSV and syslog lines as folders of text files, named so that a parser takes each."""
+    root = scratch_path(spark, "logs")
+    json_lines(spark, sf_dir).select("text").write.text(f"{root}/events.jsonl")
+    syslog_lines(spark, sf_dir).select("text").write.text(f"{root}/events.syslog")
+    # A CSV file begins with its header: one file per event type, rows in line order.
+    rows = csv_lines(spark, sf_dir).repartition("path").sortWithinPartitions("path", "line_no")
+    rows.select(F.col("path").alias("file"), "text").write.partitionBy("file").text(f"{root}/parts.csv")
+    return [f"{root}/events.jsonl", f"{root}/parts.csv/*.csv", f"{root}/events.syslog"]
+
+
+def customer_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = F.array(F.struct(F.lit("evidence_item").alias("kind"), key("ev-c", "c_custkey").alias("id")))
+    return table(spark, sf_dir, "customer").select(
+        key("h", "c_custkey").alias("id"), F.lit("pays").alias("statement"), F.lit("proposed").alias("status"),
+        ref.alias("supporting_evidence"), F.array().cast("array<struct<kind:string,id:string>>").alias("contradicting_evidence"),
+        F.lit("ana").alias("inferred_by"), F.lit("2026-01-01 00:00:00").cast("timestamp").alias("created_at"),
+    )
+
+
+def package_files(spark: SparkSession, sf_dir: str) -> str:
+    """One JSON package per supplier, all six collections, with faults by supplier key; returns the folder."""
+    path = scratch_path(spark, "packages")
+    k = F.col("s_suppkey")
+    when = F.lit("2026-01-01T00:00:00Z")
+    text = lambda **c: F.struct(*[v.alias(n) for n, v in c.items()])
+    plain = text(local_id=F.lit("e1"), content=key("supplier ", "s_suppkey"), source_locator=key("suppliers:", "s_suppkey"), collected_at=when, source_id=F.lit("erp"))
+    packed = text(local_id=F.lit("e2"), content_base64=F.when(k % 5 == 0, "/w A=").otherwise(F.base64(F.encode("s_name", "UTF-8"))),
+                  source_locator=key("names:", "s_suppkey"), collected_at=when)
+    extra = F.when(k % 7 == 0, F.lit("?")).alias("remark")
+    event = F.struct(F.lit("v1").alias("local_id"), F.lit("joined").alias("event_type"), F.array(F.lit("e1"), F.lit("e2")).alias("derived_from"), when.alias("created_at"), extra)
+    owner = text(local_id=key("s", "s_suppkey"), entity_type=F.lit("supplier"), derived_from=F.array(F.lit("v1")))
+    home = text(local_id=key("n", "s_nationkey"), entity_type=F.lit("nation"), derived_from=F.array(F.when(k % 13 == 0, "e9").otherwise("e1")))
+    edge = text(relationship_type=F.lit("located_in"), source_entity=key("s", "s_suppkey"), target_entity=key("n", "s_nationkey"), derived_from=F.array(F.lit("v1")), created_at=when)
+    claim = text(subject_event=F.lit("v1"), value=when, precision=F.lit("day"), source_evidence=F.lit("e1"), asserted_by=F.lit("erp"), created_at=when)
+    guess = text(local_id=F.when(k % 2 == 0, key("h", "s_suppkey")), statement=F.lit("trades"), inferred_by=F.lit("ana"), created_at=when,
+                 supporting_evidence=F.array(text(kind=F.lit("evidence_item"), local_id=F.lit("e1"))))
+    as_json = lambda *items: F.concat(F.lit("["), F.concat_ws(",", *[F.to_json(i) for i in items]), F.lit("]"))
+    parts = {
+        "evidence_items": as_json(plain, packed), "normalized_events": as_json(event), "entities": as_json(owner, home),
+        "relationships": as_json(edge), "time_assertions": as_json(claim), "hypotheses": as_json(guess),
+    }
+    head = F.concat(F.lit('{"schema_version": '), F.when(k % 11 == 0, "2").otherwise("1"), F.lit(', "package_version": "1", "case_metadata": {}'))
+    doc = F.concat(head, *[x for name, items in parts.items() for x in (F.lit(f', "{name}": '), items)], F.lit("}"))
+    table(spark, sf_dir, "supplier").select(k.alias("supplier"), doc.alias("doc")).repartition(4, "supplier").write.partitionBy("supplier").text(path)
+    return path
+
+
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as one CSV file per type, with quoted, short and long rows."""
     events = table(spark, sf_dir, "events")

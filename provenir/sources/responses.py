@@ -25,5 +25,6 @@ def read_responses(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def append_responses(responses: DataFrame, path: str) -> None:
-    """Append; developer rows go to their own partition."""
-    responses.write.mode("append").partitionBy("is_developer_validation").json(path)
+    """Append; developer rows go to their own folder. Every field stays in the record, nulls too."""
+    apart = responses.withColumn("developer", F.col("is_developer_validation"))
+    apart.write.mode("append").partitionBy("developer").option("ignoreNullFields", "false").json(path)

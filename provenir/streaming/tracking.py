@@ -26,7 +26,7 @@ def all_versions(spark: SparkSession, root: str, ddl: str) -> tuple[DataFrame, i
 
 
 def start_tracking(
-    spark: SparkSession, incoming: str, *, root: str, checkpoint: str, available_now: bool = True
+    spark: SparkSession, incoming: str, *, root: str, checkpoint: str, available_now: bool = True, files_per_batch: int | None = None
 ) -> StreamingQuery:
     """Stream assertion files; recompute only the events a batch touches.
 
@@ -52,6 +52,8 @@ def start_tracking(
             f"{root}/tracked/v={batch_id:09d}"
         )
 
-    stream = spark.readStream.schema(ASSERTIONS).parquet(incoming)
+    reader = spark.readStream.schema(ASSERTIONS)
+    reader = reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(incoming)
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
