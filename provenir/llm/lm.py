@@ -27,13 +27,13 @@ empty table gives an empty result. Other columns play no part.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +48,9 @@ LETTERS = 3
 SWEEPS = 10
 PRIOR = 16.0
 #: Bytes of text in one block, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 PAIRS = np.dtype([("right", "<u2"), ("count", "<u4")])
+LOOKED = np.dtype([("code", "<u4"), ("total", "<i8"), ("class", "u1")])
 
 
 def unit_of(word: bytes, core: dict[bytes, int]) -> int:
@@ -64,7 +65,18 @@ class Block:
         self.ids = row["doc_ids"]
         self.trained = np.array(row["trained"], dtype=bool)
         self.starts = np.concatenate([[0], np.cumsum(row["lengths"])]).astype(np.int64)
-        self.codes = np.frombuffer(zlib.decompress(row["codes"]), dtype="<u4")
+        self.codes = unpacked_codes(row["codes"])
+
+
+def packed_codes(codes: np.ndarray) -> bytes:
+    """32-bit numbers, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(codes.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked_codes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
 def write_blocks(docs: DataFrame, doc_id: str, text: str, trained: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -79,12 +91,11 @@ def write_blocks(docs: DataFrame, doc_id: str, text: str, trained: Column, block
             flat = np.concatenate(codes) if codes else np.zeros(0, "<u4")
             used = np.repeat(np.array(marks, dtype=bool), lengths)
             counts = np.bincount(flat[used], minlength=len(table))
-            return pa.RecordBatch.from_pylist([{
-                "block": number, "doc_ids": ids, "trained": marks, "lengths": lengths, "codes": zlib.compress(flat.astype("<u4").tobytes(), 1),
-                "words": list(table), "counts": counts.tolist()}], schema=schema)
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            columns = [pa.array([number]), one(pa.array(ids, pa.int64())), one(pa.array(marks, pa.bool_())), one(pa.array(lengths, pa.int64())),
+                       pa.array([packed_codes(flat)], pa.binary()), one(pa.array(table.keys(), pa.binary())), one(pa.array(counts, pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "trained", "lengths", "codes", "words", "counts"])
 
-        schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("trained", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
-                            ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
         for batch in w.slices(batches, "text"):
             for i, t, mark in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 own = w.split(t, True)
@@ -132,7 +143,8 @@ def unit_bigrams(blocks: DataFrame, core: dict[bytes, int]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(side * side, dtype=np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 block = Block(row)
                 units = np.array([unit_of(x, core) for x in row["words"]], dtype=np.int64)
                 stream, _ = with_ends(block, units, UNITS)
@@ -281,15 +293,25 @@ def score_texts(docs: DataFrame, trained: Column, doc_id: str = "doc_id", text:
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = model.member[[unit_of(x, model.core) for x in batch.column(2).to_pylist()]] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(own, pa.int8())], names=["block", "code", "total", "class"])
+            if not batch.num_rows:
+                continue
+            found = np.zeros(batch.num_rows, LOOKED)
+            found["code"], found["total"] = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            found["class"] = model.member[[unit_of(x, model.core) for x in batch.column(2).to_pylist()]]
+            block = batch.column(0).to_numpy()
+            order = np.argsort(block, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0]))
+            parts = np.split(found[order], first[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(block[order][first]), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "found"])
 
-    looked = per_block.select("block", "code", "word", "total").mapInArrow(classed, "block long, code int, total long, class tinyint")
+    looked = per_block.select("block", "code", "word", "total").mapInArrow(classed, "block long, found binary")
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        block = Block(left.iloc[0].to_dict())
-        total, kind = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
-        total[right["code"]], kind[right["code"]] = right["total"], right["class"]
+        block, looked = Block(left.iloc[0].to_dict()), [np.frombuffer(x, LOOKED) for x in right["found"]]
+        size = sum(map(len, looked))
+        total, kind = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for part in looked:
+            total[part["code"]], kind[part["code"]] = part["total"], part["class"]
         found = model.score(block, total, kind)
         return pd.DataFrame({"doc_id": pd.array(list(block.ids), dtype="Int64"), "held_out": ~block.trained, "train_tokens": model.tokens} | found)
 
