@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.checks import require_positive
-from provenir.session import cut
+from provenir.session import cut, cut_observed, release
 
 
 @dataclass(frozen=True)
@@ -32,18 +32,17 @@ def labels(edges: DataFrame) -> DataFrame:
     pairs = edges.where("a != b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).distinct()
-    pairs = cut(pairs, "stars")
-    mark = None
+    # Order-free fingerprint of the edge set, taken while it is written; stars do not change any more.
+    state = dict(n=F.count(F.lit(1)), h=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    pairs, mark = cut_observed(pairs, "stars", **state)
     while True:
-        pairs = cut(_small_star(_large_star(pairs)), "stars")
-        # Order-free fingerprint of the edge set; stars do not change any more.
-        state = pairs.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-        ).first()
-        if mark == (state.n, state.h):
+        large = cut(_large_star(pairs), "stars")
+        new, now = cut_observed(_small_star(large), "stars", **state)
+        release(pairs, large)
+        pairs = new
+        if now == mark:
             break
-        mark = (state.n, state.h)
+        mark = now
     leaves = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centers = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(centers)

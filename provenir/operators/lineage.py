@@ -23,16 +23,15 @@ def root_map(events: DataFrame, evidence: DataFrame, refs: DataFrame | None = No
     parents = events.select(F.col("id").alias("at"), F.explode("derived_from").alias("next"))
     frontier = cut(refs.select("ref_id").distinct().withColumn("at", F.col("ref_id")), "lineage")
     roots = [frontier.join(known, "at", "left_semi").select("ref_id", F.col("at").alias("root_id"))]
-    seen = [frontier]
+    seen = frontier
     while True:
         open_ends = frontier.join(known, "at", "left_anti")
         nxt = open_ends.join(parents, "at").select("ref_id", F.col("next").alias("at")).distinct()
-        for level in seen:
-            nxt = nxt.join(level, ["ref_id", "at"], "left_anti")
-        frontier, n = cut_counted(nxt, "lineage")
+        frontier, n = cut_counted(nxt.join(seen, ["ref_id", "at"], "left_anti"), "lineage")
         if n == 0:
             break
-        seen.append(frontier)
+        # All levels so far as one frame: one anti-join per level, however deep.
+        seen = seen.unionByName(frontier)
         roots.append(frontier.join(known, "at", "left_semi").select("ref_id", F.col("at").alias("root_id")))
     out = roots[0]
     for level in roots[1:]:

@@ -200,28 +200,47 @@ def update_hypotheses(hypotheses: DataFrame, changes: DataFrame) -> DataFrame:
     ``changes`` has ``id, seq, status, add_supporting, add_contradicting``. The
     last status wins; references are appended, repeats included.
     """
-    step = F.struct("seq", "status", "add_supporting", "add_contradicting")
-    folded = changes.groupBy("id").agg(F.sort_array(F.collect_list(step)).alias("_steps"))
-    none = F.array().cast("array<struct<kind:string,id:string>>")
+    last = changes.groupBy("id").agg(F.max_by("status", "seq").alias("_status"))
 
-    def appended(field: str) -> Column:
-        return F.flatten(F.transform("_steps", lambda s: F.coalesce(s[field], none)))
+    def added(field: str) -> DataFrame:
+        steps = changes.where(F.size(field) > 0).select("id", F.struct("seq", F.col(field).alias("refs")).alias("step"))
+        refs = F.flatten(F.transform(F.sort_array(F.collect_list("step")), lambda s: s["refs"]))
+        return steps.groupBy("id").agg(refs.alias(f"_{field}"))
 
-    return hypotheses.join(folded, "id", "left").select(
+    none = F.array().cast("array<struct<kind:string,id:string>>")
+    joined = hypotheses.join(last, "id", "left").join(added("add_supporting"), "id", "left").join(added("add_contradicting"), "id", "left")
+    return joined.select(
         "id",
         "statement",
-        F.coalesce(F.element_at("_steps", -1)["status"], F.col("status")).alias("status"),
-        F.concat("supporting_evidence", F.coalesce(appended("add_supporting"), none)).alias(
-            "supporting_evidence"
-        ),
-        F.concat("contradicting_evidence", F.coalesce(appended("add_contradicting"), none)).alias(
-            "contradicting_evidence"
-        ),
+        F.coalesce("_status", "status").alias("status"),
+        F.concat("supporting_evidence", F.coalesce("_add_supporting", none)).alias("supporting_evidence"),
+        F.concat("contradicting_evidence", F.coalesce("_add_contradicting", none)).alias("contradicting_evidence"),
         "inferred_by",
         "created_at",
     )
 
 
+def hypothesis_references(hypotheses: DataFrame, changes: DataFrame) -> DataFrame:
+    """``id, side, seq, position, kind, ref_id``: every reference of every hypothesis, one row each.
+
+    The long form of ``update_hypotheses``, for hypotheses with very many references:
+    those they began with have a null ``seq``, and no list of them is ever gathered.
+    """
+    def exploded(df: DataFrame, field: str, side: str, seq: Column) -> DataFrame:
+        return df.select("id", F.lit(side).alias("side"), seq.alias("seq"), F.posexplode(field).alias("position", "r")).select(
+            "id", "side", "seq", "position", "r.kind", F.col("r.id").alias("ref_id")
+        )
+
+    known, seq = changes.join(hypotheses.select("id"), "id", "left_semi"), F.col("seq")
+    at_first = F.lit(None).cast(dict(changes.dtypes)["seq"])
+    return (
+        exploded(hypotheses, "supporting_evidence", "supporting", at_first)
+        .unionByName(exploded(hypotheses, "contradicting_evidence", "contradicting", at_first))
+        .unionByName(exploded(known, "add_supporting", "supporting", seq))
+        .unionByName(exploded(known, "add_contradicting", "contradicting", seq))
+    )
+
+
 def missing_references(rows: DataFrame, refs: Column, *known: DataFrame) -> DataFrame:
     """``id, missing`` for every reference that names no row of ``known`` (by id)."""
     wanted = rows.select("id", F.explode(refs).alias("missing"))

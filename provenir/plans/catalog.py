@@ -751,16 +751,9 @@ def claimed_relationships(spark, d):
     return report
 
 
-@query
-def hypothesis_updates(spark, d):
-    """One hypothesis per customer; its orders support or contradict it in turn."""
+def _hypothesis_changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """One hypothesis per customer, and its orders, which support or contradict it in turn."""
     ref = lambda c: F.array(F.struct(F.lit("evidence_item").alias("kind"), c.alias("id")))
-    none = F.array().cast("array<struct<kind:string,id:string>>")
-    hypotheses = views.table(spark, d, "customer").select(
-        views.key("h", "c_custkey").alias("id"), F.lit("pays").alias("statement"), F.lit("proposed").alias("status"),
-        ref(views.key("ev-c", "c_custkey")).alias("supporting_evidence"), none.alias("contradicting_evidence"),
-        F.lit("ana").alias("inferred_by"), F.lit("2026-01-01 00:00:00").cast("timestamp").alias("created_at"),
-    )
     good = F.col("o_orderstatus") != "F"
     changes = views.table(spark, d, "orders").select(
         views.key("h", "o_custkey").alias("id"), F.col("o_orderkey").alias("seq"),
@@ -768,11 +761,22 @@ def hypothesis_updates(spark, d):
         F.when(good, ref(views.key("ev-o", "o_orderkey"))).alias("add_supporting"),
         F.when(~good, ref(views.key("ev-o", "o_orderkey"))).alias("add_contradicting"),
     )
-    return merge.update_hypotheses(hypotheses, changes).select(
+    return views.customer_hypotheses(spark, d), changes
+
+
+@query
+def hypothesis_updates(spark, d):
+    return merge.update_hypotheses(*_hypothesis_changes(spark, d)).select(
         "id", "status", joined("supporting_evidence.id").alias("supporting"), joined("contradicting_evidence.id").alias("contradicting")
     )
 
 
+@query
+def hypothesis_references(spark, d):
+    """The same references one by one, without a list per hypothesis."""
+    return merge.hypothesis_references(*_hypothesis_changes(spark, d)).select("id", "side", "seq", "ref_id")
+
+
 @query
 def relationship_checks(spark, d):
     """Nation pairs of customer and supplier per line as edges, judged by the record rules."""

@@ -641,6 +641,10 @@ SELECT 'h' || c_custkey AS id, coalesce(CASE WHEN arg_max(o_orderstatus, o_order
   'ev-c' || c_custkey || coalesce(',' || string_agg('ev-o' || o_orderkey, ',' ORDER BY o_orderkey) FILTER (WHERE o_orderstatus <> 'F'), '') AS supporting,
   coalesce(string_agg('ev-o' || o_orderkey, ',' ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'F'), '') AS contradicting
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"""
+ORACLES["hypothesis_references"] = """
+SELECT 'h' || c_custkey AS id, 'supporting' AS side, NULL AS seq, 'ev-c' || c_custkey AS ref_id FROM customer
+UNION ALL SELECT 'h' || o_custkey, CASE WHEN o_orderstatus <> 'F' THEN 'supporting' ELSE 'contradicting' END, o_orderkey, 'ev-o' || o_orderkey
+FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"""
 ORACLES["relationship_checks"] = """
 SELECT CASE WHEN l_returnflag = 'R' THEN 'relationship_type is blank' WHEN c_nationkey = s_nationkey THEN 'endpoints are equal'
   WHEN l_linestatus <> 'O' THEN 'derived_from is empty' ELSE 'valid' END AS reason, count(*) AS n

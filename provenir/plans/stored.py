@@ -14,14 +14,14 @@ from provenir.operators import evaluation, lookups, merge, provenance, report, s
 from provenir.operators.components import find_components
 from provenir.plans import views
 from provenir.plans.catalog import GAP_SECONDS, _claims, _graph, _origin, joined, query
-from provenir.schemas import ASSERTIONS, TRACKED_CONTRADICTIONS, Case
+from provenir.schemas import ASSERTIONS, Case
 from provenir.session import cut, scratch_path
 from provenir.sources import tables
 from provenir.sources.packages import export_objects, read_packages, resolve_packages
 from provenir.sources.records import read_records
 from provenir.sources.responses import append_responses, read_responses
 from provenir.streaming.ingest import start_ingest
-from provenir.streaming.tracking import all_versions, start_tracking
+from provenir.streaming.tracking import read_tracked, start_tracking
 
 NOW = datetime(2026, 1, 1, tzinfo=UTC)
 
@@ -170,8 +170,7 @@ def stream_tracking(spark, d):
     claims = views.order_claims(spark, d).select(*spark.createDataFrame([], ASSERTIONS).columns)
     claims.repartition(4).write.parquet(f"{root}/in")
     start_tracking(spark, f"{root}/in", root=f"{root}/out", checkpoint=f"{root}/checkpoint", files_per_batch=1).awaitTermination()
-    tracked, _ = all_versions(spark, f"{root}/out/tracked", TRACKED_CONTRADICTIONS)
-    return tracked.select("id", "subject_event_id", joined("assertion_ids").alias("assertion_ids"), "status")
+    return read_tracked(spark, f"{root}/out").select("id", "subject_event_id", joined("assertion_ids").alias("assertion_ids"), "status")
 
 
 # --- packages ------------------------------------------------------------------------------------

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _RUNS: dict[str, str] = {}
@@ -34,13 +37,18 @@ def scratch_root(spark: SparkSession) -> str:
 
     The directory is taken from the session. Only a local session that names
     none gets a temporary folder; on a cluster that is an error, because a
-    machine-local path does not survive the loss of its executor.
+    machine-local path does not survive the loss of its executor. A path of the
+    local file system is taken on a cluster only with a warning: it has to be a
+    mount that all machines share.
     """
     app = spark.sparkContext.applicationId
     if app not in _RUNS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        on_cluster = not spark.sparkContext.master.startswith("local")
+        if base and on_cluster and (base.startswith(("file:", "/")) or "://" not in base):
+            warnings.warn(f"spark.checkpoint.dir {base!r} must be a folder that all machines share", stacklevel=2)
         if not base:
-            if not spark.sparkContext.master.startswith("local"):
+            if on_cluster:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             base = tempfile.mkdtemp(prefix="provenir-")
             spark.conf.set("spark.checkpoint.dir", base)
@@ -63,19 +71,50 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_folder = path
+    return out
+
+
+def cut_observed(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``cut`` plus aggregates of the rows written, without a second job."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(name) for name, c in measures.items()]), label)
+    return out, seen.get
 
 
 def cut_counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
     """``cut`` plus the number of rows written, without a second job."""
-    seen = Observation()
-    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
-    return out, seen.get["n"]
+    out, seen = cut_observed(df, label, n=F.count(F.lit(1)))
+    return out, seen["n"]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        if folder := getattr(df, "scratch_folder", None):
+            _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """A scratch folder of its own, deleted at the end; results have to be written elsewhere by then."""
+    app, outer = spark.sparkContext.applicationId, scratch_root(spark)
+    _RUNS[app] = f"{outer}/scope-{uuid.uuid4().hex[:12]}"
+    try:
+        yield _RUNS[app]
+    finally:
+        inner, _RUNS[app] = _RUNS[app], outer
+        _delete(spark, inner)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this run's scratch folder; call when no result is pending."""
     root = _RUNS.pop(spark.sparkContext.applicationId, None)
     if root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, root)

@@ -8,49 +8,45 @@ from pyspark.sql.streaming import StreamingQuery
 from provenir.operators.merge import fresh_rows
 from provenir.operators.tracking import contradiction_rows
 from provenir.schemas import ASSERTIONS, TRACKED_CONTRADICTIONS
-from provenir.session import cut
-from provenir.sources.tables import _fs
+from provenir.session import cut, scratch_scope
+from provenir.sources.tables import Deltas
 
 
-def all_versions(spark: SparkSession, root: str, ddl: str) -> tuple[DataFrame, int]:
-    """The rows of all complete versions under ``root``, and the last number (-1 for none)."""
-    fs, path = _fs(spark, root)
-    done = []
-    if fs.exists(path):
-        for status in fs.listStatus(path):
-            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                done.append(status.getPath())
-    if not done:
-        return spark.createDataFrame([], ddl), -1
-    return spark.read.schema(ddl).parquet(*[str(p) for p in done]), max(int(p.getName()[2:]) for p in done)
+STORE = {"assertions": ASSERTIONS, "tracked": TRACKED_CONTRADICTIONS}
+
+
+def read_tracked(spark: SparkSession, root: str) -> DataFrame:
+    """All tracked contradictions of the store under ``root``."""
+    return Deltas(spark, root, STORE).read()["tracked"]
 
 
 def start_tracking(
-    spark: SparkSession, incoming: str, *, root: str, checkpoint: str, available_now: bool = True, files_per_batch: int | None = None
+    spark: SparkSession, incoming: str, *, root: str, checkpoint: str, available_now: bool = True, files_per_batch: int | None = None,
+    compact_after: int = 16,
 ) -> StreamingQuery:
     """Stream assertion files; recompute only the events a batch touches.
 
-    A batch appends its new assertions under ``root/assertions`` and its new
-    findings under ``root/tracked``, each as a version numbered by the batch.
-    Findings are inserted once by content id, so annotations made meanwhile are
-    never overwritten and a repeated batch changes nothing.
+    A batch appends its new assertions and its new findings as one version, numbered
+    by the batch. Findings are inserted once by content id, so annotations made
+    meanwhile are never overwritten and a repeated batch changes nothing. Every
+    ``compact_after`` versions become one.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        known, at = all_versions(session, f"{root}/assertions", ASSERTIONS)
-        if at < batch_id:
-            fresh = fresh_rows(known, batch.selectExpr("*", "0 AS seq"))
-            fresh.write.mode("overwrite").parquet(f"{root}/assertions/v={batch_id:09d}")
-            known, _ = all_versions(session, f"{root}/assertions", ASSERTIONS)
-        tracked, tracked_at = all_versions(session, f"{root}/tracked", TRACKED_CONTRADICTIONS)
-        if tracked_at >= batch_id:
+        store = Deltas(session, root, STORE)
+        if store.holds(batch_id):
             return
-        touched = cut(batch.select("subject_event_id").distinct(), "touched")
-        found = contradiction_rows(known.join(touched, "subject_event_id", "left_semi"))
-        fresh_rows(tracked, found.selectExpr("*", "0 AS seq")).write.mode("overwrite").parquet(
-            f"{root}/tracked/v={batch_id:09d}"
-        )
+        with scratch_scope(session):
+            known = store.read(before=batch_id)
+            batch = cut(batch, "batch")
+            fresh = fresh_rows(known["assertions"], batch.selectExpr("*", "0 AS seq"))
+            touched = batch.select("subject_event_id").distinct()
+            about = known["assertions"].join(touched, "subject_event_id", "left_semi").unionByName(fresh)
+            found = contradiction_rows(cut(about, "touched"))
+            new = fresh_rows(known["tracked"], found.selectExpr("*", "0 AS seq"))
+            store.append(batch_id, {"assertions": fresh, "tracked": new})
+            store.compact(compact_after)
 
     reader = spark.readStream.schema(ASSERTIONS)
     reader = reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)
