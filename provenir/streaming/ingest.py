@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from provenir.operators.merge import delta_records
 from provenir.schemas import SCHEMAS, Case
-from provenir.session import scratch_scope
+from provenir.session import cut, scratch_scope
 from provenir.sources.lines import _plain_path, _with_text, number_lines
 from provenir.sources.parsers import get_parser
 from provenir.sources.records import derive_records, require_source_id
@@ -50,7 +50,7 @@ def start_ingest(
         if store.holds(batch_id):
             return
         with scratch_scope(session):
-            parsed = parser.parse(number_lines(_with_text(batch)))
+            parsed = cut(parser.parse(number_lines(_with_text(batch))), "parsed")
             records = derive_records(
                 parsed, adapter=parser.name, version=parser.version, collected_at=F.lit(collected_at),
                 source_id=F.lit(source_id), locator_column=parser.locator_column, batch=batch_id,

@@ -81,6 +81,8 @@ JSON_LINES = [
     '{"event_type": "logon", "timestamp": "2026-01-15T09:00:00+00:00", "n": 1, "x": null, "b": true}',
     '{"a": [1, {"k": "v"}], "f": 1.0, "big": 1e400, "nan": NaN, "neg": -0.0, "u": "é😀"}',
     "not json", '["list"]', '{"a": 1} junk', "{'a': 1}", '{"a": 1, "a": 2}', "   ", "3",
+    '{"a": "x", "b": 12, "event_type": "flat"}', ' { "a" : "é😀" , "c": 0 } ', '{"a": -7, "a": "twice"}', '{"n": -0}', '{"n": 01}', '{"a": "x",}', '{"a": "x" "b": 1}',
+    '{"n": 123456789012345678901}', '{"k": "tab\there"}', '{}', '{"": ""}', '{"x": true}', '{"x": 1.50}', '{"x": [1]}', '{"a":"b"}{"c":"d"}',
     '{"event_type": null}', '{"event_type": " "}', '{"s": "\\ud800"}', '{"q": "\\u0041\\n"}',
 ]
 
@@ -101,6 +103,9 @@ def test_jsonl_follows_python(spark, tmp_path):
             assert got[n].attributes == {k: str(v) for k, v in doc.items()}
         else:
             assert got[n].event_type is None and got[n].attributes is None
+            assert (got[n].reason is not None) == ("ud800" in line)
+    share = read_lines(spark, path).agg(F.avg(parsers.is_flat_json(F.col("text")).cast("int"))).first()[0]
+    assert 0 < share < 0.5
 
 
 CSV_LINES = [
