@@ -76,7 +76,9 @@ class Walk:
 
 
 def _walk(relationships: DataFrame, direction: str) -> Walk:
-    every = cut(steps(relationships, direction), "steps")
+    every = steps(relationships, direction)
+    if not hasattr(relationships, "scratch_folder"):  # a written graph is read again, not written twice
+        every = cut(every, "steps")
     counts = every.groupBy(F.col("from_id").alias("hub")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_STEPS)
     hubs, n = cut_counted(counts.select("hub", F.ceil(F.col("n") / HUB_STEPS).cast("int").alias("parts")), "hubs")
     if n == 0:

@@ -264,8 +264,8 @@ def source_id_checks(spark, d):
 
 def _timeline(spark: SparkSession, d: str, event_type: str | None) -> DataFrame:
     # Claims of orders as well as of events, so that one event has several.
-    events = views.trade_events(spark, d).where(F.col("id").startswith("ne-o")).select(
-        F.expr("substring(id, 4)").alias("id"),
+    events = views.table(spark, d, "orders").select(
+        views.key("o", "o_orderkey").alias("id"),
         F.lit("order").alias("event_type"),
         F.lit("2026-01-01 00:00:00").cast("timestamp").alias("created_at"),
     )
