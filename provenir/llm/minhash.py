@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from provenir.llm.stars import components
 from provenir.llm.words import WordHashes, as_longs, hashed, mixed, shingle_hashes, slices, split
-from provenir.session import cut
+from provenir.session import cut, release
 
 SHINGLE = 5
 PERCENT = 75
@@ -175,23 +175,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = nodes.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "node")
     stand = (F.col("doc_id") == F.col("own_id")) & (F.col("text_key") == F.col("own_key"))
     entries = cut(sketches.filter("set_key IS NOT NULL").join(named, stand).select("node", F.explode("buckets").alias("bucket")), "minhash-entries")
+    keys = cut(sketches.select("doc_id", "text_key", "n_shingles", "set_key"), "minhash-keys")
+    release(sketches)
     shared = cut(entries.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("other")).filter("other > center").select("bucket", "center"), "minhash-shared")
     stars = entries.join(shared, "bucket").filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))
     groups = cut(components(stars), "minhash-groups")
+    release(entries, shared)
     sizes = cut(groups.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("slots")), "minhash-sizes")
     members = groups.join(sizes, "component").join(named, "node").select("node", F.col("component").alias("group"), "slots", "own_id", "own_key")
-    held = rows.join(cut(members, "minhash-members"), (F.col("doc_id") == F.col("own_id")) & (F.col("text_key") == F.col("own_key")))
-    sets = cut(_with_sets(held), "minhash-sets")
+    members = cut(members, "minhash-members")
+    sets = cut(_with_sets(rows.join(members, (F.col("doc_id") == F.col("own_id")) & (F.col("text_key") == F.col("own_key")))), "minhash-sets")
     slot = F.pmod(F.xxhash64("node"), F.col("slots")).cast("int")
     # Slot s meets every slot: the tile of (low, high) gets the nodes of both.
     tiles = sets.withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
     tiles = tiles.select("group", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), "slot", "node", "shingles", "signature")
     links = cut(tiles.groupBy("group", "low", "high").applyInPandas(_confirm, "a long, b long"), "minhash-links")
-    linked = components(links)
+    linked = cut(components(links), "minhash-linked")
     ends = linked.join(nodes.select("node", F.col("doc_id").alias("own_id")), "node")
     least = ends.groupBy("component").agg(F.min("own_id").alias("component_id"))
     found = ends.join(least, "component").select("node", "component_id")
     by_set = cut(nodes.join(found, "node", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id")), "minhash-found")
-    out = sketches.select("doc_id", "n_shingles", "set_key", "text_key").join(by_set, "set_key", "left").select(
+    release(groups, sizes, members, sets, links, linked, nodes)
+    out = keys.join(by_set, "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_key")
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), "text_key")

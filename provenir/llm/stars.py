@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.session import cut
+from provenir.session import cut, release
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -36,9 +36,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         larger = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
         large = cut(larger, "stars-large")
         # Small-star: a node and its smaller neighbours go to the smallest of them.
-        least = cut(_least(large), "stars-least")
-        moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        own = least.select("a", F.col("least").alias("b"))
-        now = cut(moved.unionByName(own).filter("a <> b").distinct(), "stars")
+        small = cut(_least(large), "stars-least")
+        moved = large.join(small, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        own = small.select("a", F.col("least").alias("b"))
+        new = cut(moved.unionByName(own).filter("a <> b").distinct(), "stars")
+        release(now, both, least, large, small)
+        now = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

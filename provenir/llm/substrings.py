@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from provenir.llm.blocks import unpacked, write_blocks
 from provenir.llm.bpe import schema_with, with_column
 from provenir.llm.words import WordHashes, as_longs, hashed, mixed, prefix_sums, run_hash, split
-from provenir.session import cut
+from provenir.session import cut, release
 
 LEAST = 35
 GRAM = 8
@@ -101,7 +101,7 @@ def _listed(column: pa.Array, row: int, names: tuple[str, ...]) -> tuple[np.ndar
 
 
 def repeated_stretches(blocks: DataFrame, text: str, least: int) -> DataFrame:
-    """block, first, count: repeated windows, as runs of ``count`` starts from word ``first`` of the block."""
+    """block, first, count: repeated windows, as runs of ``count`` starts from word ``first`` of the block (written)."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
@@ -117,6 +117,7 @@ def repeated_stretches(blocks: DataFrame, text: str, least: int) -> DataFrame:
     repeated = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high"))
     repeated = cut(repeated.filter("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("one")), "repeat-anchors")
     found = cut(places.join(repeated, "anchor"), "repeat-places")
+    release(places, repeated)
     mixed_ones = found.filter("NOT one")
     kinds = cut(mixed_ones.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("block", "first", "count")).alias("at")), "repeat-kinds")
     whole = mixed_ones.join(kinds.filter("n > 1").select("anchor", "stretch"), ["anchor", "stretch"]).select("block", "first", "count")
@@ -138,9 +139,13 @@ def repeated_stretches(blocks: DataFrame, text: str, least: int) -> DataFrame:
                     names=["anchor", "window", "block", "first", "alone"])
 
     looked = cut(blocks.join(lists, "block").mapInArrow(windows, "anchor long, window long, block long, first int, alone boolean"), "repeat-windows")
-    again = looked.groupBy("anchor", "window").agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n")).filter("n > 1").select("anchor", "window")
-    single = looked.filter("alone").join(cut(again, "repeat-again"), ["anchor", "window"]).select("block", "first", F.lit(1).alias("count"))
-    return found.filter("one").select("block", "first", "count").unionByName(whole).unionByName(single)
+    again = looked.groupBy("anchor", "window").agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n")).filter("n > 1")
+    again = cut(again.select("anchor", "window"), "repeat-again")
+    single = looked.filter("alone").join(again, ["anchor", "window"]).select("block", "first", F.lit(1).alias("count"))
+    every = found.filter("one").select("block", "first", "count").unionByName(whole).unionByName(single)
+    out = cut(every, "repeat-stretches")
+    release(found, kinds, lists, looked, again)
+    return out
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:

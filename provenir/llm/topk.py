@@ -16,8 +16,8 @@ do not depend on the order of additions.
 Results: a vector that is null, or has a null or non-finite component, takes no
 part; vectors are compared with those of their own length; an empty vector scores
 0; equal scores go by smaller id; null ids take no part; rows that repeat an id
-are candidates of their own except for the query with that id; an empty table
-gives an empty result. Other columns play no part.
+are candidates of their own except for the query with that id, and of rows that
+share a query's id the smallest vector asks; an empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     rows = vectors.select(
         F.col(vec_id).cast("long").alias("vec_id"), is_query.alias("asked"), whole_numbers(F.col(embedding), scale).alias("point"),
     ).filter("vec_id IS NOT NULL AND point IS NOT NULL")
-    asked = rows.filter("asked").select("vec_id", "point").dropDuplicates(["vec_id"])
+    asked = rows.filter("asked").groupBy("vec_id").agg(F.min("point").alias("point"))
     shards = _packed(rows.select("vec_id", "point"), shard_rows, "shard")
     blocks = _packed(asked, query_rows, "block")
     # Every block meets every run of shards of its length: the stated queries against all rows, in blocks.

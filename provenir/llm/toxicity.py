@@ -16,7 +16,7 @@ Results: a null text is an empty text and is scored; labels that are null or hav
 no id are left out, and of an id's labels the highest counts; a null id is not
 held out; rows that repeat get equal scores; where either label is missing from a
 fold, every score is the labelled rows' rate of label 1 (0 without labels); an
-empty table gives an empty result. Other columns are kept.
+empty table gives an empty result. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from provenir.llm.bpe import schema_with
 from provenir.llm.words import slices, split
-from provenir.session import cut
+from provenir.session import cut, release
 
 FIT_ROWS = 20_000
 LEXICON_TERMS = 2_000
@@ -159,6 +159,7 @@ def learn_lexicons(labelled: DataFrame, most: int = LEXICON_TERMS) -> list[dict[
         good = counted.select("term", toxic.alias("toxic"), odds.alias("odds")).filter((F.col("toxic") >= LEAST_TEXTS) & (F.col("odds") >= math.log(LEAST_RATIO)))
         rows = good.orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "term").limit(most).select("term", "odds").collect()
         out.append({bytes(r.term): r.odds for r in rows})
+    release(counted)
     return out
 
 
@@ -188,12 +189,11 @@ class Model:
         self.rate, self.lexicon, self.trees, self.calibration = rate, lexicon or {}, trees, calibration
 
     def raw(self, df: DataFrame, text: str) -> DataFrame:
-        """Adds ``raw_score``, the trees' uncalibrated probability."""
-        measured = with_measures(df, [self.lexicon], text)
-        parts = [F.col("measures")[i].alias(f"m_{i}") for i in range(len(FEATURES))]
-        kept = [F.col(f"`{c}`") for c in df.columns]
-        vectors = VectorAssembler(inputCols=[f"m_{i}" for i in range(len(FEATURES))], outputCol="m_all").transform(measured.select(*kept, *parts))
-        return self.trees.transform(vectors).select(*kept, vector_to_array("probability")[1].alias("raw_score"))
+        """``row`` (all columns of ``df`` as a struct, whatever their names) and ``raw_score``, the trees' probability."""
+        packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+        measured = with_measures(packed, [self.lexicon]).select("row", *[F.col("measures")[i].alias(f"m_{i}") for i in range(len(FEATURES))])
+        vectors = VectorAssembler(inputCols=[f"m_{i}" for i in range(len(FEATURES))], outputCol="m_all").transform(measured)
+        return self.trees.transform(vectors.select("row", "m_all")).select("row", vector_to_array("probability")[1].alias("raw_score"))
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
         if self.trees is None:
@@ -205,7 +205,7 @@ class Model:
             step = F.when(F.col("raw_score") >= a, x + (y - x) * F.least(F.lit(1.0), part)).otherwise(step)
         # A little of the raw score keeps the order inside the flat steps of the calibration.
         mixed = 0.99 * step + 0.01 * F.col("raw_score")
-        return self.raw(df, text).select(*[F.col(f"`{c}`") for c in df.columns if c != "score"], mixed.alias("score"))
+        return self.raw(df, text).select(*[F.col("row")[c].alias(c) for c in df.columns if c != "score"], mixed.alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, trained: Column | None = None, doc_id: str = "doc_id", text: str = "text",
@@ -221,12 +221,13 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column | None = None, doc_i
     if any(not found.get((fold, y)) for fold in range(FOLDS) for y in (0, 1)):
         return Model(rate)
     lexicons = learn_lexicons(fitted)
-    measured = cut(with_measures(fitted, lexicons, fold="fold").select("toxic", "fold", "measures"), "toxicity-measures").coalesce(4)
-    parts = measured.select(F.col("toxic").cast("double").alias("label"), "fold", *[F.col("measures")[i].alias(f"m_{i}") for i in range(len(FEATURES))])
+    measured = cut(with_measures(fitted, lexicons, fold="fold").select("toxic", "fold", "measures"), "toxicity-measures")
+    parts = measured.coalesce(4).select(F.col("toxic").cast("double").alias("label"), "fold", *[F.col("measures")[i].alias(f"m_{i}") for i in range(len(FEATURES))])
     vectors = VectorAssembler(inputCols=[f"m_{i}" for i in range(len(FEATURES))], outputCol="m_all").transform(parts).select("label", "fold", "m_all")
     trees = GBTClassifier(featuresCol="m_all", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, maxBins=64, seed=7).fit(vectors.filter("fold > 0"))
     held = trees.transform(vectors.filter("fold = 0")).select("label", vector_to_array("probability")[1].alias("raw_score"))
     steps = IsotonicRegression(featuresCol="raw_score", labelCol="label").fit(held)
+    release(fitted, measured)
     return Model(rate, lexicons[-1], trees, thinned(list(steps.boundaries), list(steps.predictions)))
 
 

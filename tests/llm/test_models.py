@@ -96,9 +96,10 @@ def test_targets_stop_and_share_the_excess(spark):
     assert {s: w for s, (w, _) in got.items()} == {"a": 3, "b": 1, "c": 2, "d": 3, None: 1}
 
 
-def test_mixing_rows(spark):
+def test_mixing_rows(spark, monkeypatch):
     rows = documents()
     first = mixing.mix(frame(spark).repartition(4)).collect()
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
     again = mixing.mix(frame(spark).repartition(2)).collect()
     look = lambda x: Counter((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in x)
     assert look(first) == look(again) and len(first) == len(rows)
@@ -197,6 +198,10 @@ def test_toxicity_learns_from_its_fold_alone(spark):
     held = [(r.predicted, r.label) for r in got if r.held_out and r.doc_id is not None and r.doc_id < 600]
     assert sum(p == y for p, y in held) >= 0.97 * len(held)
     again = toxicity.classify(docs, spark.createDataFrame(spoiled, "doc_id long, toxic int")).collect()
+    clash = {"measures": "int", "m_0": "string", "probability": "string", "raw_score": "double", "score": "string", "row": "int"}
+    odd = docs.limit(20).select("*", *[F.lit(None).cast(k).alias(c) for c, k in clash.items()])
+    found = toxicity.classify(odd.repartition(2), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(found.columns) == {*odd.columns, "held_out", "predicted"} and found.filter("score >= 0").count() == 20
     assert sorted((r.doc_id or -1, r.score) for r in again) == sorted((r.doc_id or -1, r.score) for r in got)
 
 
@@ -222,7 +227,7 @@ def vectors():
     rng = random.Random(6)
     rows = [(i, [rng.choice([-0.5, 0.25, 0.1, 0.0, 1.0]) for _ in range(6)]) for i in range(300)]
     rows += [(i, [1.0] * 6) for i in range(300, 420)]
-    rows += [(450, None), (500, [None, 1.0]), (550, [float("nan")] * 6), (551, [float("inf")] * 6), (None, [1.0] * 6), (600, [0.5, 0.5]), (601, [0.5, -0.5]), (650, []), (700, []), (7, [0.1] * 6)]
+    rows += [(450, None), (500, [None, 1.0]), (550, [float("nan")] * 6), (551, [float("inf")] * 6), (None, [1.0] * 6), (600, [0.5, 0.5]), (601, [0.5, -0.5]), (650, []), (700, []), (7, [0.1] * 6), (100, [2.0] * 6), (100, [-2.0] * 6)]
     return [(i, v, 0.5, 1) for i, v in rows]
 
 
@@ -230,7 +235,7 @@ def best(rows, k=5):
     good = [(i, [math.floor(np.float64(np.float32(x)) * 256) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q in sorted({i for i, _ in good if i % 50 == 0}):
-        own = next(v for i, v in good if i == q)
+        own = min(v for i, v in good if i == q)
         scored = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in good if i != q and len(v) == len(own))[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out)

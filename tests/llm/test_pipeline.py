@@ -68,6 +68,13 @@ def test_stages(spark, sf_dir, tmp_path, where):
     assert Counter((r.doc_id, r.source, r.n_tokens, r.ids_sha256) for r in last) == want
 
 
+def test_stages_of_nothing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+        assert docs.count() == 0
+
+
 def test_run_and_registration(spark, sf_dir):
     import __spark_entry__ as entry
 
