@@ -87,6 +87,22 @@ def number_in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
     )
 
 
+def running_totals(df: DataFrame, by: str, order: str, weight: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``weight`` over the rows of the same ``by`` that come before in ``order``.
+
+    As in ``number_in_order``, rows are range-partitioned and a small table of sums per
+    part gives the offsets, so one ``by`` may hold any number of rows.
+    """
+    placed = cut(df.repartitionByRange(by, order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sums = placed.groupBy(by, "_part").agg(F.sum(weight).alias("_sum"))
+    ahead = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut(sums.select(by, "_part", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base")), "offsets")
+    inside = Window.partitionBy("_part", by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(offsets, [by, "_part"]).withColumn(
+        name, F.col("_base") + F.col("_in")
+    ).drop("_part", "_base", "_in")
+
+
 def find_components(relationships: DataFrame, *, min_size: int = 1) -> Components:
     """Clusters of entities joined by relationships, direction ignored.
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from provenir.functions.checks import first_problem
 from provenir.functions.hashing import hash_mod3, json_object, json_strings, json_text
 from provenir.functions.text import is_pairwise_question, neutral_label, strip
+from provenir.operators.components import running_totals
 from provenir.operators.digest import ordered_digest
 from provenir.operators.evaluation import ratio
+from provenir.session import cut
 
 # Fixed values of the study design.
 CONDITIONS = ("path_only", "direct_evidence", "root_evidence")
@@ -106,8 +108,8 @@ def validate_responses(
 def condition_metrics(responses: DataFrame, *, expected_per_condition: int | None = None) -> DataFrame:
     """Descriptive metrics per condition; developer rows never count.
 
-    All three conditions are listed. The median is taken over a histogram of
-    distinct times, so no condition's rows are gathered in one place.
+    All three conditions are listed. The median is found by running counts over the
+    distinct times in range partitions, so no condition is gathered in one place.
     """
     spark = responses.sparkSession
     real = responses.where(~F.col("is_developer_validation"))
@@ -129,8 +131,15 @@ def condition_metrics(responses: DataFrame, *, expected_per_condition: int | Non
         ratio(F.count_if(F.col("answer") == "indeterminate"), n).alias("indeterminate_rate"),
     )
     histogram = real.groupBy("condition", "response_time_ms").agg(F.count(F.lit(1)).alias("f"))
-    medians = histogram.groupBy("condition").agg(
-        F.percentile("response_time_ms", 0.5, F.col("f")).alias("median_response_time_ms")
+    timed = histogram.where("response_time_ms IS NOT NULL")
+    ranked = cut(running_totals(timed, "condition", "response_time_ms", "f", "before"), "ranked")
+    totals = ranked.groupBy("condition").agg(F.sum("f").alias("total"))
+    # The middle one or two of the sorted times: each stands in the row whose ranks hold it.
+    holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("f"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    value = lambda rank: F.max(F.when(holds(rank), F.col("response_time_ms")))
+    medians = ranked.join(F.broadcast(totals), "condition").groupBy("condition").agg(
+        ((value(low) + value(high)) / 2).alias("median_response_time_ms")
     )
     listed = spark.createDataFrame([(i, c) for i, c in enumerate(CONDITIONS)], "position int, condition string")
     count = F.coalesce("response_count", F.lit(0))

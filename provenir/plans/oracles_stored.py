@@ -134,3 +134,16 @@ WITH judged AS (
   UNION ALL SELECT 'hypothesis', CASE WHEN event_id % 3 = 0 THEN 'statement is blank' WHEN event_id % 5 = 0 THEN 'inferred_by is blank' WHEN event_id % 11 = 0 THEN 'status is unknown'
     WHEN event_id % 14 = 0 THEN 'a reference kind is unknown' WHEN event_id % 2 = 1 THEN 'no evidence is referenced' ELSE 'valid' END FROM events)
 SELECT record, reason, count(*) AS n FROM judged GROUP BY ALL"""
+ORACLES["batch_ingest"] = f"""WITH {_JSON_LINES.strip()},
+every AS (SELECT 'jsonl' AS a, line, event_id % 13 <> 0 AS good FROM json_lines UNION ALL SELECT 'csv_timeline', {_CSV}, true FROM events
+  UNION ALL SELECT 'syslog', {_SYSLOG}, event_id % 13 <> 0 FROM events)
+SELECT sha256(line) AS id, a AS source_adapter, count(*) AS n_custody, CASE WHEN bool_or(good) THEN 1 END AS n_events FROM every GROUP BY ALL"""
+ORACLES["nested_custody"] = """
+SELECT 'ev-' || event_id AS id, CASE WHEN user_id % 10 = 8 AND event_type = 'error' THEN 2 ELSE 1 END AS n,
+  CASE WHEN user_id % 10 <> 9 THEN 'u' || user_id END AS "first",
+  CASE WHEN user_id % 10 = 8 AND event_type = 'error' THEN 'x' || user_id WHEN user_id % 10 <> 9 THEN 'u' || user_id END AS "last" FROM events"""
+ORACLES["nested_timeline"] = "SELECT 'ne-' || event_id AS id, 1 AS n, 'ta-' || event_id AS \"first\" FROM events WHERE event_type = 'error'"
+ORACLES["chains_to_many_targets"] = f"""WITH {_TRADE.strip()},
+q AS (SELECT 'C' || c_custkey AS query_id, 'S' || (c_custkey % (SELECT count(*) FROM supplier)) AS target FROM customer),
+n AS (SELECT q.query_id, count(*) AS n FROM q JOIN rels a ON a.src = q.query_id AND a.kind = 'placed' JOIN rels b ON b.src = a.dst AND b.dst = q.target GROUP BY 1)
+SELECT q.query_id, target, n IS NOT NULL AS found, CASE WHEN n IS NOT NULL THEN 2 END AS hop_count, coalesce(n, 0) AS n_chains FROM q LEFT JOIN n USING (query_id)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions import checks
 from provenir.functions.times import micros
-from provenir.operators import evaluation, lookups, merge, provenance, report, study, tracking, traversal
+from provenir.operators import evaluation, lookups, merge, provenance, report, study, timeline, tracking, traversal
 from provenir.operators.components import find_components
 from provenir.plans import views
 from provenir.plans.catalog import GAP_SECONDS, _claims, _graph, _origin, joined, query
@@ -20,6 +20,7 @@ from provenir.sources import tables
 from provenir.sources.packages import export_objects, read_packages, resolve_packages
 from provenir.sources.records import read_records
 from provenir.sources.responses import append_responses, read_responses
+from provenir.sources.store import ingest
 from provenir.streaming.ingest import start_ingest
 from provenir.streaming.tracking import read_tracked, start_tracking
 
@@ -58,6 +59,19 @@ def ingest_counts(spark, d):
     return out
 
 
+@query
+def batch_ingest(spark, d):
+    """Three folders taken into one store, the first of them twice: what the store holds."""
+    root = scratch_path(spark, "store")
+    folders = views.log_folders(spark, d)
+    for path in [*folders, folders[0]]:
+        ingest(spark, path, root, collected_at=NOW, source_id="host1", compact_after=2)
+    case = tables.read_deltas(spark, root)
+    custody = case.custody.groupBy(F.col("evidence_id").alias("id")).agg(F.count(F.lit(1)).alias("n_custody"))
+    events = case.events.select(F.element_at("derived_from", 1).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_events"))
+    return case.evidence.select("id", "source_adapter").join(custody, "id", "left").join(events, "id", "left")
+
+
 # --- snapshots and manifests -----------------------------------------------------------
 
 
@@ -267,6 +281,32 @@ def report_sections(spark, d):
     return out
 
 
+@query
+def nested_custody(spark, d):
+    """Evidence with its custody nested in first-seen order: how many, and the first and last source."""
+    nested = merge.custody_array(views.event_evidence(spark, d), views.event_custody(spark, d)).withColumn("c", F.col("chain_of_custody"))
+    return nested.select("id", F.size("c").alias("n"), F.col("c")[0]["source_id"].alias("first"), F.element_at("c", -1)["source_id"].alias("last"))
+
+
+@query
+def nested_timeline(spark, d):
+    """Events with their claims nested in id order: how many, and the first."""
+    case = views.event_case(spark, d)
+    nested = timeline.nested_timeline(case.events, case.assertions, "error")
+    return nested.select("id", F.size("time_assertions").alias("n"), F.get("time_assertions", F.lit(0))["id"].alias("first"))
+
+
+@query
+def chains_to_many_targets(spark, d):
+    """Every customer's shortest chains to a supplier of its own, all suppliers in turn."""
+    n = views.table(spark, d, "supplier").count()
+    key = F.col("c_custkey")
+    queries = views.table(spark, d, "customer").select(
+        views.key("C", "c_custkey").alias("query_id"), views.key("C", "c_custkey").alias("source"),
+        F.concat(F.lit("S"), (key % n).cast("string")).alias("target"))
+    return traversal.all_shortest_paths(_graph(spark, d), queries).summary.select("query_id", "target", "found", "hop_count", "n_chains")
+
+
 # --- study files and record rules ------------------------------------------------------------------
 
 

@@ -14,11 +14,9 @@ from provenir.session import cut, scratch_scope
 from provenir.sources.lines import _plain_path, _with_text, number_lines
 from provenir.sources.parsers import get_parser
 from provenir.sources.records import derive_records, require_source_id
+from provenir.sources.store import INGESTED
 from provenir.sources.tables import Deltas
 
-# The collections that log lines give rise to.
-INGESTED = ("evidence", "custody", "blobs", "events", "assertions")
-
 
 def start_ingest(
     spark: SparkSession,

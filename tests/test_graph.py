@@ -255,3 +255,14 @@ def test_components_of_nothing(spark):
     assert got.components.count() == 0 and got.stats.first().total_components_found == 0
     with pytest.raises(ValueError):
         components.find_components(rel_frame(spark, [("r", "a", "b")]), min_size=0)
+
+
+def test_running_totals(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), i, rng.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, t int, w int").repartition(6)
+    want, sums = {}, {"a": 0, "b": 0}
+    for k, t, w in sorted(rows):
+        want[k, t] = sums[k]
+        sums[k] += w
+    assert {(r.k, r.t): r.before for r in components.running_totals(df, "k", "t", "w", "before").collect()} == want
