@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.checks import require_positive
-from provenir.session import cut, cut_observed, release
+from provenir.operators.skew import MAX_BROADCAST_KEYS
+from provenir.session import cut, cut_counted, cut_observed, release
 
 
 @dataclass(frozen=True)
@@ -77,11 +78,14 @@ def number_in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
     placed = cut(ranged, "ranged")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition: a few thousand at most.
+    # One row per partition; broadcast once its number is known to be small.
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    offsets, n = cut_counted(offsets, "offsets")
+    if n <= MAX_BROADCAST_KEYS:
+        offsets = F.broadcast(offsets)
     inside = Window.partitionBy("_part").orderBy(*order)
     return (
-        placed.join(F.broadcast(offsets), "_part")
+        placed.join(offsets, "_part")
         .withColumn(name, F.col("_base") + F.row_number().over(inside) - 1)
         .drop("_part", "_base")
     )
