@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from provenir.llm.words import slices
+from provenir.llm.words import bounded_batches, slices
 from provenir.session import cut
 
 
@@ -38,4 +38,5 @@ def write_blocks(df: DataFrame, text: str = "text") -> DataFrame:
             # A copy holds the slice alone, not all of the batch that it is cut from.
             yield pa.RecordBatch.from_arrays([pa.array([first + i], pa.int64()), pa.array([packed(batch)], pa.binary())], names=["block", "payload"])
 
+    bounded_batches(df.sparkSession)
     return cut(df.mapInArrow(run, "block long, payload binary"), "blocks")

@@ -24,11 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from provenir.llm.words import slices
+from provenir.llm.words import bounded_batches, slices
 
-#: Bounds of a worker's caches; beyond them a cache starts anew.
-KEPT_PIECES = 1 << 19
-KEPT_PAIRS = 1 << 20
+#: Bounds of a worker's caches, of each of their two generations.
+KEPT_PIECES = 1 << 18
+KEPT_PAIRS = 1 << 18
 #: A piece match looks at most this many characters past its end.
 LOOKAHEAD = 2
 
@@ -39,6 +39,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class Recent:
+    """A bounded cache in two generations: what was not asked for during a whole one is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Encoder:
     """One vocabulary: encoding of pieces, prefix tables, decoding."""
 
@@ -46,8 +66,7 @@ class Encoder:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._pairs, self._pieces = Recent(KEPT_PAIRS), Recent(KEPT_PIECES)
         self._ends = ahocorasick.Automaton()
         for token, rank in ranks.items():
             if len(token) == 1 or self.merged(token) == [rank]:  # others can never stand in an encoding
@@ -67,11 +86,11 @@ class Encoder:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether ``left`` followed by ``right`` is its own encoding."""
-        known = self._pairs.get((left, right))
+        pair = left << 32 | right
+        known = self._pairs.get(pair)
         if known is None:
-            if len(self._pairs) >= KEPT_PAIRS:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self.merged(self.token[left] + self.token[right]) == [left, right]
+            known = self.merged(self.token[left] + self.token[right]) == [left, right]
+            self._pairs.put(pair, known)
         return known
 
     def prefixes(self, data: bytes) -> PrefixTable:
@@ -79,21 +98,21 @@ class Encoder:
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece as little-endian 32-bit integers; a piece that is a token is that token."""
-        known = self._pieces.get(piece)
+        known = self._pieces.young.get(piece) or self._pieces.get(piece)
         if known is None:
             raw = piece.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(raw)
             ids = [whole] if whole is not None else PrefixTable(self, raw).ids()
             known = np.array(ids, dtype="<u4").tobytes()
-            if len(self._pieces) >= KEPT_PIECES:
-                self._pieces.clear()
             if len(raw) <= 64:
-                self._pieces[piece] = known
+                self._pieces.put(piece, known)
         return known
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, each match of the pattern by itself, no special tokens."""
-        return b"".join(map(self.piece, self.pattern.findall(text)))
+        pieces = self.pattern.findall(text)
+        found = list(map(self._pieces.young.get, pieces))
+        return b"".join([self.piece(p) if x is None else x for p, x in zip(pieces, found, strict=True)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -213,6 +232,7 @@ def encode_texts(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out:
             found = [encode(x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             yield with_column(batch, out, pa.array(found, type=pa.binary()))
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema_with(df, **{out: "binary"}))
 
 
@@ -225,4 +245,5 @@ def decode_ids(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str
             found = [decode(x or b"") for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield with_column(batch, out, pa.array(found, type=pa.binary()))
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema_with(df, **{out: "binary"}))

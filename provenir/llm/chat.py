@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from provenir.llm.blobs import BlobWriter, RangeReader
 from provenir.llm.bpe import Vocabulary
+from provenir.llm.words import bounded_batches
 from provenir.session import cut, scratch_path
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -133,6 +134,7 @@ def format_conversations(rows: DataFrame, vocabulary: Vocabulary, learned_role:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
         writer.close()
 
+    bounded_batches(rows.sparkSession)
     return cut(dealt.mapInArrow(run, INDEX), "chat-index")
 
 

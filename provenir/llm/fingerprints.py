@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.words import WordHashes, hashed, shingle_hashes, slices, split
+from provenir.llm.words import WordHashes, bounded_batches, hashed, shingle_hashes, slices, split
 
 SHINGLE = 5
 SIZE = 128
@@ -78,6 +78,7 @@ def fingerprint(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
             hashes = pa.array([f.view(np.int64) for f in found], type=pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), hashes], names=[key, "fingerprint"])
 
+    bounded_batches(df.sparkSession)
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, fingerprint array<bigint>")
 
 
@@ -168,6 +169,7 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    for (i, t, _), c, k, n, e in zip(own, changed, known, known[1:], new, strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
+    bounded_batches(docs.sparkSession)
     return _beside_next(docs, doc_id, text).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -112,6 +112,7 @@ def write_blocks(docs: DataFrame, doc_id: str, text: str, trained: Column, block
             yield block()
 
     ddl = "block long, doc_ids array<long>, trained array<boolean>, lengths array<long>, codes binary, words array<binary>, counts array<long>"
+    w.bounded_batches(docs.sparkSession)
     return cut(rows.mapInArrow(run, ddl), "lm-blocks")
 
 

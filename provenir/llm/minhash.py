@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenir.llm.stars import components
-from provenir.llm.words import WordHashes, as_longs, hashed, mixed, shingle_hashes, slices, split
+from provenir.llm.words import WordHashes, bounded_batches, hashed, mixed, shingle_hashes, slices, split
 from provenir.session import cut, release
 
 SHINGLE = 5
@@ -168,6 +168,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, n_shingles, component_id, kept and text_key (digest of the text) of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.md5("text"))
+    bounded_batches(docs.sparkSession)
     sketches = cut(sketched(rows), "minhash-sketches")
     # One node per distinct set, stood for by its smallest document.
     known = sketches.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.bpe import schema_with
-from provenir.llm.words import slices, split
+from provenir.llm.words import bounded_batches, slices, split
 from provenir.session import cut, release
 
 FIT_ROWS = 20_000
@@ -47,6 +46,8 @@ BEGINNINGS = (4, 5, 6, 7)
 FOLDS = 3
 NEAR = 6
 THRESHOLD = 0.3
+#: Words whose lexicon weights a task remembers; others are looked up anew.
+KEPT_WORDS = 1 << 16
 
 # Second-person pronouns of English, German, French and Spanish.
 YOU = frozenset(
@@ -89,7 +90,7 @@ def measures(text: str | None, lexicon: dict[bytes, float], kept: dict[bytes, tu
             if not any(found) and w and not w.isalpha():
                 plain = terms(w.translate(SIGNS, b"*._-"))
                 found = max(lexicon.get(t, 0.0) for t in plain), -1.0
-            if len(kept) < 1 << 18:
+            if len(kept) < KEPT_WORDS:
                 kept[w] = found
         whole, begin = found
         if whole > 0 or begin > 0:
@@ -117,18 +118,23 @@ def measures(text: str | None, lexicon: dict[bytes, float], kept: dict[bytes, tu
     ]
 
 
-def with_measures(df: DataFrame, lexicons: list[dict[bytes, float]], text: str = "text", fold: str | None = None) -> DataFrame:
-    """Adds the array column ``measures``, taken with the lexicon of the row's ``fold``, or else with the first."""
+def measured(lexicons: list[dict[bytes, float]]) -> Callable[..., Column]:
+    """A column function of text and fold: ``FEATURES`` taken with the lexicon of that number.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only the text and the fold go to Python and only numbers come back; the other
+    columns of a row stay where they are.
+    """
+
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         kept: list[dict] = [{} for _ in lexicons]
-        for batch in slices(batches, text):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            own = batch.column(batch.schema.get_field_index(fold)).to_pylist() if fold else [0] * len(texts)
-            found = [measures(t, lexicons[k], kept[k]) for t, k in zip(texts, own, strict=True)]
-            yield batch.append_column("measures", pa.array(found, type=pa.list_(pa.float64())))
+        for texts, folds in batches:
+            rows = pa.RecordBatch.from_arrays([texts, folds], names=["text", "fold"])
+            parts = [pa.array([measures(t, lexicons[k], kept[k]) for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)],
+                              type=pa.list_(pa.float64())) for b in slices(iter([rows]), "text")]
+            yield pa.concat_arrays(parts) if parts else pa.array([], type=pa.list_(pa.float64()))
 
-    return df.mapInArrow(run, schema_with(df, measures="array<double>"))
+    return run
 
 
 def learn_lexicons(labelled: DataFrame, most: int = LEXICON_TERMS) -> list[dict[bytes, float]]:
@@ -190,9 +196,10 @@ class Model:
 
     def raw(self, df: DataFrame, text: str) -> DataFrame:
         """``row`` (all columns of ``df`` as a struct, whatever their names) and ``raw_score``, the trees' probability."""
-        packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-        measured = with_measures(packed, [self.lexicon]).select("row", *[F.col("measures")[i].alias(f"m_{i}") for i in range(len(FEATURES))])
-        vectors = VectorAssembler(inputCols=[f"m_{i}" for i in range(len(FEATURES))], outputCol="m_all").transform(measured)
+        row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+        taken = df.select(row, measured([self.lexicon])(F.col(f"`{text}`"), F.lit(0)).alias("measures"))
+        parts = taken.select("row", *[F.col("measures")[i].alias(f"m_{i}") for i in range(len(FEATURES))])
+        vectors = VectorAssembler(inputCols=[f"m_{i}" for i in range(len(FEATURES))], outputCol="m_all").transform(parts)
         return self.trees.transform(vectors.select("row", "m_all")).select("row", vector_to_array("probability")[1].alias("raw_score"))
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
@@ -221,13 +228,13 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column | None = None, doc_i
     if any(not found.get((fold, y)) for fold in range(FOLDS) for y in (0, 1)):
         return Model(rate)
     lexicons = learn_lexicons(fitted)
-    measured = cut(with_measures(fitted, lexicons, fold="fold").select("toxic", "fold", "measures"), "toxicity-measures")
-    parts = measured.coalesce(4).select(F.col("toxic").cast("double").alias("label"), "fold", *[F.col("measures")[i].alias(f"m_{i}") for i in range(len(FEATURES))])
+    taken = cut(fitted.select("toxic", "fold", measured(lexicons)("text", "fold").alias("measures")), "toxicity-measures")
+    parts = taken.coalesce(4).select(F.col("toxic").cast("double").alias("label"), "fold", *[F.col("measures")[i].alias(f"m_{i}") for i in range(len(FEATURES))])
     vectors = VectorAssembler(inputCols=[f"m_{i}" for i in range(len(FEATURES))], outputCol="m_all").transform(parts).select("label", "fold", "m_all")
     trees = GBTClassifier(featuresCol="m_all", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, maxBins=64, seed=7).fit(vectors.filter("fold > 0"))
     held = trees.transform(vectors.filter("fold = 0")).select("label", vector_to_array("probability")[1].alias("raw_score"))
     steps = IsotonicRegression(featuresCol="raw_score", labelCol="label").fit(held)
-    release(fitted, measured)
+    release(fitted, taken)
     return Model(rate, lexicons[-1], trees, thinned(list(steps.boundaries), list(steps.predictions)))
 
 
@@ -241,5 +248,6 @@ def thinned(edges: list[float], values: list[float], most: int = 64) -> tuple[li
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with held_out, score and predicted (1 from ``THRESHOLD`` on) set or added."""
+    bounded_batches(docs.sparkSession)
     model = fit(docs, labels, doc_id=doc_id, text=text)
     return model.score(docs, text).withColumn("held_out", held_out(doc_id)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenir.llm.blobs import BlobWriter, RangeReader, coalesced
-from provenir.llm.words import slices
+from provenir.llm.words import bounded_batches, slices
 from provenir.session import cut, scratch_path
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,6 +93,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=schema)
         writer.close()
 
+    bounded_batches(spark)
     return cut(marked.mapInArrow(run, INDEX), "warc-index")
 
 

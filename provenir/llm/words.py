@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import SparkSession
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -21,6 +22,15 @@ SLICE_BYTES = 2 << 20
 KEPT_WORDS = 1 << 18
 
 
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches in this session, unless it has a bound: texts may be long."""
+    if spark.conf.get(_BATCHES, None) is None:
+        spark.conf.set(_BATCHES, "4m")
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, remembered up to a bounded number of words."""
 
