@@ -28,7 +28,7 @@ _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds the bytes of Arrow batches in this session, unless it has a bound: texts may be long."""
     if spark.conf.get(_BATCHES, None) is None:
-        spark.conf.set(_BATCHES, "4m")
+        spark.conf.set(_BATCHES, str(4 << 20))
 
 
 class WordHashes(dict):
