@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from provenir.operators import components, lineage, traversal
 from tests.models import T0

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from provenir.operators import gaps, provenance, report, study
+from provenir.operators import provenance, report, study
 from provenir.schemas import ASSERTIONS, HYPOTHESES, RESPONSES, Case
 from provenir.session import cut
 from provenir.sources import tables
