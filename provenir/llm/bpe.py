@@ -15,6 +15,7 @@ empty table; other columns are kept, and an output column replaces one of its na
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from provenir.llm.words import bounded_batches, slices
 
-#: Bounds of a worker's caches, of each of their two generations.
-KEPT_PIECES = 1 << 18
-KEPT_PAIRS = 1 << 18
+#: Bounds of a worker's caches: pieces in each of two generations, and places for pairs.
+KEPT_PIECES = 1 << 17
+KEPT_PAIRS = 1 << 21
 #: A piece match looks at most this many characters past its end.
 LOOKAHEAD = 2
 
@@ -66,7 +67,9 @@ class Encoder:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._pairs, self._pieces = Recent(KEPT_PAIRS), Recent(KEPT_PIECES)
+        self._pieces = Recent(KEPT_PIECES)
+        # One place per hash of a pair: the pair and its answer; a later pair takes the place.
+        self._pairs, self._answers = array("q", [-1]) * KEPT_PAIRS, bytearray(KEPT_PAIRS)
         self._ends = ahocorasick.Automaton()
         for token, rank in ranks.items():
             if len(token) == 1 or self.merged(token) == [rank]:  # others can never stand in an encoding
@@ -87,11 +90,11 @@ class Encoder:
     def fits(self, left: int, right: int) -> bool:
         """Whether ``left`` followed by ``right`` is its own encoding."""
         pair = left << 32 | right
-        known = self._pairs.get(pair)
-        if known is None:
-            known = self.merged(self.token[left] + self.token[right]) == [left, right]
-            self._pairs.put(pair, known)
-        return known
+        place = (left * 0x9E3779B1 ^ right * 0x85EBCA6B) % KEPT_PAIRS
+        if self._pairs[place] != pair:
+            self._answers[place] = self.merged(self.token[left] + self.token[right]) == [left, right]
+            self._pairs[place] = pair
+        return bool(self._answers[place])
 
     def prefixes(self, data: bytes) -> PrefixTable:
         return PrefixTable(self, data)

@@ -19,7 +19,7 @@ _BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Texts of one batch are worked on in slices of about this many bytes.
 SLICE_BYTES = 2 << 20
 #: A worker's table of word hashes starts anew at this size; it only saves time.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 17
 
 
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provenir.llm import fingerprints as fp
-from provenir.llm import lm, mixing, topk, toxicity
+from provenir.llm import lm, mixing, topk, toxic_features, toxicity
 from tests.llm.rows import documents, frame, shingles, words
 
 
@@ -214,8 +214,8 @@ def test_toxicity_without_labels(spark):
 
 def test_disguised_words_are_hits():
     lexicon = {b"=idiot": 3.0, b"^idio": 2.0}
-    plain, hidden, clean = (toxicity.measures(t, lexicon, {}) for t in ("you idiot", "you 1d!ot###", "you there"))
-    name = toxicity.FEATURES.index
+    plain, hidden, clean = (toxic_features.measures(t, lexicon, {}) for t in ("you idiot", "you 1d!ot###", "you there"))
+    name = toxic_features.FEATURES.index
     assert plain[name("word_density")] == hidden[name("word_density")] == 0.5 and clean[name("word_density")] == 0
     assert hidden[name("disguised_hits")] == 0.5 and plain[name("near_you")] == 1
 
