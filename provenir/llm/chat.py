@@ -9,8 +9,9 @@ start and -1 at the end of every assistant text.
 
 A conversation is stored as chunks of ids and mask in shared files, with an index
 of pointers (conversation, chunk, file, place). Turns are dealt out by range of
-(conversation, turn), so a conversation of any length is spread over tasks; only
-its running digest is taken in one place, which follows pointers and streams.
+(conversation, turn, role, whole text), so a conversation of any length is spread
+over tasks and range bounds keep its order; only its running digest is taken in one
+place, which follows pointers and streams.
 
 Results: a null text or role is empty; turns of equal number go by role, then
 text; null ids are one conversation; rows that repeat are turns of their own; an
@@ -92,9 +93,10 @@ def format_conversations(rows: DataFrame, vocabulary: Vocabulary, learned_role:
     """Writes ids and masks into the shared scratch folder; returns the written index of chunks."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), blank(role).alias("role"), blank(text).alias("text"))
-    keys = ["conv_id", "turn", "role", "text_key", "row"]
+    # The row number stands behind the whole text, so it parts only turns that are alike.
+    keys = ["conv_id", "turn", "role", "text", "row"]
     dealt = (
-        turns.withColumn("text_key", F.substring("text", 1, 64)).withColumn("row", F.monotonically_increasing_id())
+        turns.withColumn("row", F.monotonically_increasing_id())
         .repartitionByRange(*keys).sortWithinPartitions("conv_id", "turn", "role", "text")
         .select(F.spark_partition_id().cast("long").alias("part"), "conv_id", "role", "text")
     )

@@ -110,6 +110,23 @@ def test_chat_round_trip(spark, monkeypatch):
     assert chat.format_conversations(df.limit(0), known).count() == 0
 
 
+def test_chat_ties_beyond_a_prefix_go_by_text(spark):
+    """Turns of one number whose texts begin alike are in text order across range bounds."""
+    known = bpe.Vocabulary(spark, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    rows = [(None, 1, "assistant", "a" * 64 + f" {i:04}", 1) for i in reversed(range(800))]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    held = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chunk int")
+        index = chat.format_conversations(df, known)
+        assert index.count() > 1  # the conversation spans partitions
+        got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in chat.read_digests(index, known).collect()}
+    finally:
+        spark.conf.set(coalesce, held)
+    assert got == digests(rows)
+
+
 def test_mask_covers_the_text_alone():
     make = chat.Assembler(bpe.Encoder(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN))
     ids, mask = make.turn("assistant", "hello there", True)
