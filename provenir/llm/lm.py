@@ -1,18 +1,24 @@
 """Brown class-based bigram model: exchange clustering, class transitions, word emissions.
 
 A word's probability after another is that of its class after the other's class,
-times that of the word in its class. Classes are found by exchange: units move one
-after the other to the class that raises the likelihood of the training text most,
-until few move. Units are the ``CORE`` most frequent training words, each by
-itself, and groups of all other words by a hash of their last letters; so every
-word of any corpus, known or not, has a unit and a class, and the table of unit
-bigrams that the exchange works on has at most ``UNITS`` squared cells, whatever
-the corpus. It counts every bigram of every training text.
+times that of the word in its class. Classes are found by exchange: words move to
+the class that raises the likelihood of the training text most. The exchange starts
+on the driver, over units: the ``CORE`` most frequent training words, each by
+itself, and groups of all other words by a hash of their last letters. From there
+every training word moves by its own contexts, in ``ROUNDS`` rounds. In a round, one
+half of the words (by a hash) is free; blocks count each free word's neighbours by
+class, a task sums them for its share of the words and finds every word's best class
+against the class-by-class table, and the classes go back to the blocks. All words of
+a round see the same table, so the result does not depend on how they are dealt out;
+a round that does not raise the likelihood is undone. Only words unseen in training
+keep the class of their unit.
 
 Words are counted exactly and without a bound. The corpus is packed in blocks; a
 block holds its texts as numbers into its own word list, so a word crosses the
 shuffle once for each block that has it, and its total goes back to the block by
-the block's number. Neither texts nor frequent words make heavy keys.
+the block's number. Blocks with their totals are written as files that rounds read
+by place, so rounds move neighbour counts and classes only. Neither texts nor
+frequent words make heavy keys: a block sends at most ``SLOTS`` cells for a word.
 
 Smoothing: a class transition is mixed with the class's overall share, ``PRIOR``
 counts of it; a class gives half a count to each of its words and half a count to
@@ -39,7 +45,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenir.llm import words as w
-from provenir.session import cut
+from provenir.llm.blobs import BlobWriter, RangeReader
+from provenir.session import cut, release, scratch_path
 
 CORE, GROUPS = 511, 512
 UNITS = CORE + GROUPS
@@ -50,7 +57,15 @@ PRIOR = 16.0
 #: Bytes of text in one block, about.
 BLOCK_BYTES = 8 << 20
 PAIRS = np.dtype([("right", "<u2"), ("count", "<u4")])
-LOOKED = np.dtype([("code", "<u4"), ("total", "<i8"), ("class", "u1")])
+LOOKED = np.dtype([("code", "<u4"), ("id", "<i8"), ("total", "<i8"), ("class", "u1"), ("half", "u1")])
+#: Rounds in which one half of the words may change class, in turn.
+ROUNDS = 4
+SIDE = CLASSES + 1
+#: Cells of a word: by class of the word after it, by class of the word before it, and itself after itself.
+SLOTS = 2 * SIDE + 1
+#: Words whose best class is sought at once.
+WORDS_AT_ONCE = 512
+STATE = "block long, file string, offset long, length long, classes binary, pairs binary"
 
 
 def unit_of(word: bytes, core: dict[bytes, int]) -> int:
@@ -117,7 +132,7 @@ def write_blocks(docs: DataFrame, doc_id: str, text: str, trained: Column, block
 
 
 def count_words(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Training counts of all words (word, total; written), and each block's words with them (block, code, word, total)."""
+    """Training counts of all words (word, total, id; written), and each block's words with them (block, code, word, total, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +142,8 @@ def count_words(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([block, pa.array(np.arange(len(own), dtype=np.int32)), own, counts], names=["block", "code", "word", "count"])
 
     rows = blocks.select("block", "words", "counts").mapInArrow(run, "block long, code int, word binary, count long")
-    totals = cut(rows.groupBy("word").agg(F.sum("count").alias("total")), "lm-totals")
+    summed = rows.groupBy("word").agg(F.sum("count").alias("total"))
+    totals = cut(summed.withColumn("id", F.monotonically_increasing_id()), "lm-totals")
     return totals, rows.drop("count").join(totals, "word")
 
 
@@ -242,33 +258,34 @@ class Model:
     def __init__(self, bigrams: np.ndarray, member: np.ndarray, core: dict[bytes, int], totals: DataFrame):
         self.member, self.core = member, core
         onehot = np.eye(CLASSES + 1)[member]
-        pairs = onehot.T @ bigrams @ onehot
+        self.kinds_by_class = self._known_words(totals)
+        self.fit(onehot.T @ bigrams @ onehot, self.kinds_by_class)
+
+    def fit(self, pairs: np.ndarray, kinds: np.ndarray) -> None:
+        """From the counts of class pairs and the known words of each class."""
         share = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * len(pairs))
         self.transition = np.log10((pairs + PRIOR * share) / (pairs.sum(axis=1, keepdims=True) + PRIOR))
-        self.texts = int(bigrams[:, UNITS].sum())
-        size, kinds = self._emissions(totals)
+        size, self.texts = pairs[:, :CLASSES].sum(axis=0), int(pairs[:, CLASSES].sum())
         self.tokens = int(size.sum()) + self.texts
         self.kinds = int(kinds.sum()) + (self.texts > 0)
         self.bottom = np.log10(size + 0.5 * (kinds + 1))
 
-    def _emissions(self, totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Training tokens and known words of each class; CLASSES rows reach the driver."""
+    def _known_words(self, totals: DataFrame) -> np.ndarray:
+        """Known words of each class; CLASSES rows reach the driver."""
         core, member = self.core, self.member
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            size, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+            kinds = np.zeros(CLASSES, np.int64)
             for batch in batches:
-                total = batch.column(1).to_numpy(zero_copy_only=False)
-                own = member[[unit_of(x, core) for x in batch.column(0).to_pylist()]] if len(total) else np.zeros(0, np.int64)
-                size += np.bincount(own, weights=total, minlength=CLASSES)[:CLASSES].astype(np.int64)
-                kinds += np.bincount(own[total > 0], minlength=CLASSES)[:CLASSES]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(size), pa.array(kinds)], names=["class", "size", "kinds"])
-
-        rows = totals.select("word", "total").mapInArrow(run, "class long, size long, kinds long").groupBy("class").agg(F.sum("size").alias("size"), F.sum("kinds").alias("kinds")).collect()
-        size, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+                if batch.num_rows:
+                    kinds += np.bincount(member[[unit_of(x, core) for x in batch.column(0).to_pylist()]], minlength=CLASSES)[:CLASSES]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(kinds)], names=["class", "kinds"])
+
+        rows = totals.filter("total > 0").select("word").mapInArrow(run, "class long, kinds long").groupBy("class").agg(F.sum("kinds").alias("kinds")).collect()
+        kinds = np.zeros(CLASSES, np.int64)
         for r in rows:
-            size[r["class"]], kinds[r["class"]] = r["size"], r["kinds"]
-        return size, kinds
+            kinds[r["class"]] = r["kinds"]
+        return kinds
 
     def score(self, block: Block, total: np.ndarray, member: np.ndarray) -> dict[str, np.ndarray]:
         """Of every text: tokens, known tokens, unigram base and class score. ``total`` and ``member``: of the block's words."""
@@ -283,6 +300,229 @@ class Model:
                 "base_score": sums(with_ends(block, base, end)[0]), "score": sums(steps)}
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, each compressed, behind a list of their sizes."""
+    parts = [zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes()) for x in arrays]
+    return np.array([len(parts), *map(len, parts)], dtype="<u8").tobytes() + b"".join(parts)
+
+
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, "<u8", count=len(kinds) + 1)[1:].astype(np.int64)
+    ends = 8 * (len(kinds) + 1) + np.cumsum(sizes)
+    return [np.frombuffer(zstandard.ZstdDecompressor().decompress(data[end - size : end]), kind) for size, end, kind in zip(sizes, ends, kinds, strict=True)]
+
+
+class StoredBlock(Block):
+    """A block with its words' ids, totals and halves, as ``stored`` wrote it."""
+
+    KINDS = ("u1", "<i8", "u1", "<i8", "<u4", "<i8", "<i8", "u1")
+
+    def __init__(self, data: bytes):
+        missing, ids, trained, lengths, self.codes, self.word, self.total, self.half = unpacked(data, *self.KINDS)
+        self.ids = pd.array(ids, dtype="Int64")
+        self.ids[missing.astype(bool)] = pd.NA
+        self.trained = trained.astype(bool)
+        self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the two tokens of every training bigram; the end of a text is the code behind the last."""
+        stream, _ = with_ends(self, np.arange(len(self.word)), len(self.word))
+        used = np.repeat(self.trained, np.diff(self.starts) + 1)
+        return np.concatenate([[len(self.word)], stream[:-1]])[used], stream[used]
+
+    def pairs(self, classes: np.ndarray) -> np.ndarray:
+        left, right = self.bigrams()
+        kind = np.append(classes, CLASSES).astype(np.int64)
+        return np.bincount(kind[left] * SIDE + kind[right], minlength=SIDE * SIDE)
+
+    def free(self, half: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the known words of a half, by part and id, and their parts."""
+        codes = np.flatnonzero((self.total > 0) & (self.half == half))
+        part = self.word[codes] % parts
+        order = np.lexsort((self.word[codes], part))
+        return codes[order], part[order]
+
+
+def stored(left: pd.DataFrame, right: pd.DataFrame, folder: str) -> pd.DataFrame:
+    """Writes a block with what was looked up for its words; returns its ``STATE``."""
+    row, found = left.iloc[0].to_dict(), [np.frombuffer(x, LOOKED) for x in right["found"]]
+    looked = np.zeros(sum(map(len, found)), LOOKED)
+    for part in found:
+        looked[part["code"]] = part
+    ids = pd.array(list(row["doc_ids"]), dtype="Int64")
+    data = packed(np.asarray(ids.isna(), dtype="u1"), ids.fillna(0).to_numpy(dtype="<i8"), np.array(row["trained"], dtype="u1"), np.array(row["lengths"], dtype="<i8"),
+                  unpacked_codes(row["codes"]), looked["id"], looked["total"], looked["half"])
+    writer = BlobWriter(folder, ".block")
+    file, offset, length = writer.put(data)
+    writer.close()
+    pairs = StoredBlock(data).pairs(looked["class"])
+    return pd.DataFrame({"block": [row["block"]], "file": [file], "offset": [offset], "length": [length], "classes": [looked["class"].tobytes()], "pairs": [packed(pairs)]})
+
+
+def class_pairs(state: DataFrame) -> np.ndarray:
+    """Counts of class pairs in all training texts; at most SIDE squared rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SIDE * SIDE, np.int64)
+        for batch in batches:
+            for one in batch.column(0).to_pylist():
+                table += unpacked(one, "<i8")[0]
+        cells = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], names=["cell", "n"])
+
+    out = np.zeros(SIDE * SIDE, np.int64)
+    for r in state.select("pairs").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r.cell] = r.n
+    return out.reshape(SIDE, SIDE)
+
+
+def x_log_x(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """The part of the training texts' log-likelihood that depends on classes."""
+    return float(x_log_x(pairs).sum() - x_log_x(pairs.sum(axis=1)).sum() - x_log_x(pairs.sum(axis=0)).sum())
+
+
+def best_classes(pairs: np.ndarray, at: np.ndarray, slot: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each word by itself, the class that raises the likelihood most; ``own`` is its class now.
+
+    ``at``, ``slot``, ``n``: cells of the words' neighbour counts, sorted by word.
+    """
+    f, side, every = x_log_x, len(pairs), np.arange(len(own))
+    classes, pairs = side - 1, pairs.astype(np.float64)
+    dense = np.zeros((len(own), 2 * side + 1))
+    dense[at, slot] = n
+    out, inn, self_ = dense[:, :side], dense[:, side : 2 * side], dense[:, 2 * side]
+    gain = np.zeros((len(own), classes))
+    for table, first, other in ((pairs, 0, inn), (pairs.T, side, out)):
+        used = (slot >= first) & (slot < first + side)
+        if not used.any():
+            continue
+        word, kind, count = at[used], slot[used].astype(np.int64) - first, n[used].astype(np.float64)
+        # The table without the word.
+        base = table[:classes].T[kind]
+        meets = np.flatnonzero(kind == own[word])
+        base[meets] -= other[word[meets], :classes]
+        base[np.arange(len(word)), own[word]] -= count
+        base[meets, own[word[meets]]] -= self_[word[meets]]
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(word) != 0]))
+        gain[word[begin]] += np.add.reduceat(f(base + count[:, None]) - f(base), begin, axis=0)
+    without = lambda margin, less: margin[None, :] - np.where(np.arange(classes) == own[:, None], less[:, None], 0.0)
+    diagonal = without(np.diag(pairs)[:classes], out[every, own] + inn[every, own] + self_)
+    after, before = out[:, :classes], inn[:, :classes]
+    gain -= f(diagonal + after) + f(diagonal + before) - 2 * f(diagonal)
+    gain += f(diagonal + after + before + self_[:, None]) - f(diagonal)
+    for margin, size in ((pairs.sum(axis=1)[:classes], out.sum(axis=1) + self_), (pairs.sum(axis=0)[:classes], inn.sum(axis=1) + self_)):
+        rest = without(margin, size)
+        gain -= f(rest + size[:, None]) - f(rest)
+    best = gain.argmax(axis=1)
+    return np.where(gain[every, own] >= gain[every, best] - 1e-9, own, best)
+
+
+def neighbour_counts(state: DataFrame, half: int, parts: int) -> DataFrame:
+    """Per block and part of the free words: their ids, classes and cells (part, block, cells)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = RangeReader()
+        for batch in batches:
+            for row in batch.to_pylist():
+                block, classes = StoredBlock(reader.get(row["file"], row["offset"], row["length"])), np.frombuffer(row["classes"], "u1")
+                codes, part = block.free(half, parts)
+                place = np.full(len(block.word) + 1, -1, np.int64)
+                place[codes] = np.arange(len(codes))
+                kind = np.append(classes, CLASSES).astype(np.int64)
+                left, right = block.bigrams()
+                same, first, second = left == right, place[left], place[right]
+                after, before = (first >= 0) & ~same, (second >= 0) & ~same
+                keys = np.concatenate([first[after] * SLOTS + kind[right[after]], second[before] * SLOTS + SIDE + kind[left[before]],
+                                       second[same & (second >= 0)] * SLOTS + 2 * SIDE])
+                keys, counts = np.unique(keys, return_counts=True)
+                begin = np.flatnonzero(np.diff(part, prepend=-1))
+                ends = np.append(begin[1:], len(codes))
+                edges = np.searchsorted(keys, np.append(begin, len(codes)) * SLOTS)
+                cells = [packed(np.diff(block.word[codes[a:z]], prepend=0), classes[codes[a:z]], (keys[x:y] // SLOTS - a).astype("<u4"),
+                                (keys[x:y] % SLOTS).astype("u1"), counts[x:y].astype("<u4"))
+                         for a, z, x, y in zip(begin, ends, edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(np.full(len(begin), row["block"])), pa.array(cells, pa.binary())], names=["part", "block", "cells"])
+        reader.close()
+
+    return state.select("block", "file", "offset", "length", "classes").mapInArrow(run, "part long, block long, cells binary")
+
+
+def chosen_classes(counts: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """Best classes of the free words, for each block in its order (block, part, classes); block -1 has the change of known words by class."""
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        sent = [unpacked(x, "<i8", "u1", "<u4", "u1", "<u4") for x in frame["cells"]]
+        sizes = np.array([len(x[0]) for x in sent])
+        shift = np.cumsum(sizes) - sizes
+        _, first, word = np.unique(np.concatenate([np.cumsum(x[0]) for x in sent]), return_index=True, return_inverse=True)
+        own = np.concatenate([x[1] for x in sent])[first].astype(np.int64)
+        keys = word[np.concatenate([x[2] + s for x, s in zip(sent, shift, strict=True)]).astype(np.int64)] * SLOTS + np.concatenate([x[3] for x in sent])
+        counts = np.concatenate([x[4] for x in sent]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        begin = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys, counts = keys[begin], np.add.reduceat(counts[order], begin) if len(begin) else counts
+        best = own.copy()
+        for a in range(0, len(own), WORDS_AT_ONCE):
+            x, y = np.searchsorted(keys, [a * SLOTS, (a + WORDS_AT_ONCE) * SLOTS])
+            best[a : a + WORDS_AT_ONCE] = best_classes(pairs, keys[x:y] // SLOTS - a, keys[x:y] % SLOTS, counts[x:y], own[a : a + WORDS_AT_ONCE])
+        change = np.bincount(best, minlength=CLASSES) - np.bincount(own, minlength=CLASSES)
+        found = best.astype("u1")[word]
+        return pd.DataFrame({"block": [*frame["block"], -1], "part": frame["part"].iloc[0],
+                             "classes": [*(found[s : s + n].tobytes() for s, n in zip(shift, sizes, strict=True)), change.astype("<i8").tobytes()]})
+
+    return counts.groupBy("part").applyInPandas(choose, "block long, part long, classes binary")
+
+
+def moved(state: DataFrame, chosen: DataFrame, half: int, parts: int, tasks: int) -> DataFrame:
+    """The state with the chosen classes, and its class pairs; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = RangeReader()
+        for batch in batches:
+            for row in batch.to_pylist():
+                block, classes = StoredBlock(reader.get(row["file"], row["offset"], row["length"])), np.frombuffer(row["classes"], "u1").copy()
+                codes, _ = block.free(half, parts)
+                classes[codes] = np.frombuffer(b"".join(x["classes"] for x in row.pop("found") or []), "u1")
+                new = row | {"classes": classes.tobytes(), "pairs": packed(block.pairs(classes))}
+                yield pa.RecordBatch.from_arrays([pa.array([new[c.split()[0]]], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in STATE.split(", ")],
+                                                 names=[c.split()[0] for c in STATE.split(", ")])
+        reader.close()
+
+    by_block = chosen.filter("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "classes"))).alias("found"))
+    joined = state.select("block", "file", "offset", "length", "classes").join(by_block, "block", "left")
+    return cut(joined.repartition(tasks, "block").mapInArrow(run, STATE), "lm-state")
+
+
+def exchange_words(state: DataFrame, kinds: np.ndarray, tasks: int, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Moves all training words by their own contexts; returns the state, its class pairs and known words by class."""
+    pairs = class_pairs(state)
+    for half in (r % 2 for r in range(rounds if pairs.any() else 0)):
+        chosen = cut(chosen_classes(neighbour_counts(state.repartition(tasks, "block"), half, tasks), pairs), "lm-chosen")
+        after = moved(state, chosen, half, tasks, tasks)
+        found = class_pairs(after)
+        if likelihood(found) > likelihood(pairs):
+            change = chosen.filter("block = -1").select("classes").mapInArrow(_summed, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()
+            kinds = kinds + np.array([n for _, n in sorted((r["class"], r.n) for r in change)], dtype=np.int64)
+            release(state, chosen)
+            state, pairs = after, found
+        else:
+            release(after, chosen)
+    return state, pairs, kinds
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    change = np.zeros(CLASSES, np.int64)
+    for batch in batches:
+        for one in batch.column(0).to_pylist():
+            change += np.frombuffer(one, "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(change)], names=["class", "n"])
+
+
 def score_texts(docs: DataFrame, trained: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; learns from rows where ``trained``."""
     blocks = write_blocks(docs, doc_id, text, trained)
@@ -298,24 +538,33 @@ def score_texts(docs: DataFrame, trained: Column, doc_id: str = "doc_id", text:
                 continue
             found = np.zeros(batch.num_rows, LOOKED)
             found["code"], found["total"] = batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            found["class"] = model.member[[unit_of(x, model.core) for x in batch.column(2).to_pylist()]]
+            own = batch.column(2).to_pylist()
+            found["id"] = batch.column(4).to_numpy()
+            found["class"] = member[[unit_of(x, core) for x in own]]
+            found["half"] = [xxhash.xxh3_64_intdigest(x) >> 63 for x in own]
             block = batch.column(0).to_numpy()
             order = np.argsort(block, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0]))
             parts = np.split(found[order], first[1:])
             yield pa.RecordBatch.from_arrays([pa.array(block[order][first]), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "found"])
 
-    looked = per_block.select("block", "code", "word", "total").mapInArrow(classed, "block long, found binary")
-
-    def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        block, looked = Block(left.iloc[0].to_dict()), [np.frombuffer(x, LOOKED) for x in right["found"]]
-        size = sum(map(len, looked))
-        total, kind = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for part in looked:
-            total[part["code"]], kind[part["code"]] = part["total"], part["class"]
-        found = model.score(block, total, kind)
-        return pd.DataFrame({"doc_id": pd.array(list(block.ids), dtype="Int64"), "held_out": ~block.trained, "train_tokens": model.tokens} | found)
-
+    looked = per_block.select("block", "code", "word", "total", "id").mapInArrow(classed, "block long, found binary")
+    folder, tasks = scratch_path(docs.sparkSession, "lm-files"), blocks.count() // 2 + 1
+    slim = blocks.select("block", "doc_ids", "trained", "lengths", "codes")
+    state = cut(slim.groupBy("block").cogroup(looked.groupBy("block")).applyInPandas(lambda left, right: stored(left, right, folder), STATE), "lm-state")
+    release(blocks)
+    state, pairs, kinds = exchange_words(state, model.kinds_by_class, tasks)
+    model.fit(pairs, kinds)
     ddl = "doc_id long, held_out boolean, train_tokens long, n_tokens long, n_known long, base_score double, score double"
-    packed = blocks.select("block", "doc_ids", "trained", "lengths", "codes")
-    return packed.groupBy("block").cogroup(looked.groupBy("block")).applyInPandas(score, ddl)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = RangeReader()
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = StoredBlock(reader.get(row["file"], row["offset"], row["length"]))
+                found = model.score(block, block.total, np.frombuffer(row["classes"], "u1").astype(np.int64))
+                columns = {"doc_id": block.ids, "held_out": ~block.trained, "train_tokens": np.full(len(block.trained), model.tokens)} | found
+                yield pa.RecordBatch.from_arrays([pa.array(columns[c.split()[0]]) for c in ddl.split(", ")], names=[c.split()[0] for c in ddl.split(", ")])
+        reader.close()
+
+    return state.select("block", "file", "offset", "length", "classes").repartition(tasks, "block").mapInArrow(score, ddl)

@@ -71,6 +71,53 @@ def test_exchange_raises_the_likelihood():
     assert all(len({found[i] for i in range(40) if kind[i] == k}) == 1 for k in range(4)) and found[40] == 4
 
 
+def test_best_class_is_the_one_of_highest_likelihood():
+    rng = np.random.default_rng(3)
+    words, classes = 30, 5
+    table = rng.poisson(0.7, (words + 1, words + 1))
+    member = np.append(rng.integers(0, classes, words), classes)
+
+    def pairs(member):
+        onehot = np.eye(classes + 1, dtype=np.int64)[member]
+        return onehot.T @ table @ onehot
+
+    for u in range(words):
+        out, inn = table[u] @ np.eye(classes + 1)[member], table[:, u] @ np.eye(classes + 1)[member]
+        out[member[u]] -= table[u, u]
+        inn[member[u]] -= table[u, u]
+        cells = np.concatenate([out, inn, [table[u, u]]]).astype(np.int64)
+        slot = np.flatnonzero(cells)
+        found = lm.best_classes(pairs(member), np.zeros(len(slot), np.int64), slot, cells[slot], member[u : u + 1])[0]
+        plain = [lm.likelihood(pairs(np.concatenate([member[:u], [c], member[u + 1 :]]))) for c in range(classes)]
+        assert plain[found] > max(plain) - 1e-6
+
+
+def test_rare_words_have_classes_of_their_own(spark):
+    """Words outside the most frequent, alike in their last letters, are told apart by their contexts."""
+    rng = random.Random(4)
+    common = [f"c{i}x{i * 7 % 13}" for i in range(lm.CORE + 9)]
+    rare = [f"r{i}zzz" for i in range(40)]
+    # Four kinds of words follow one another in turn.
+    pick = lambda k: rng.choice(rare[k % 4 :: 4] if rng.random() < 0.02 else common[k % 4 :: 4])
+    texts = [" ".join(pick(k) for k in range(i, i + 100)) for i in range(150)]
+    around = [(rng.choice(common[(i - 1) % 4 :: 4]), x, rng.choice(common[(i + 1) % 4 :: 4])) for i, x in enumerate(rare)]
+    right, wrong = [" ".join(x) for x in around], [" ".join(x[::-1]) for x in around]
+    docs = spark.createDataFrame(list(enumerate(texts + right + wrong)), "doc_id long, text string")
+    got = {x.doc_id: x.score for x in lm.score_texts(docs.repartition(3), F.col("doc_id") < len(texts)).collect()}
+    better = [got[len(texts) + i] > got[len(texts) + len(rare) + i] + 1 for i in range(len(rare))]
+    assert sum(better) >= 36
+
+
+def test_words_moved_by_rounds_keep_the_counts(spark):
+    """After the rounds, classes are one per word, known words by class add up, and partitioning plays no part."""
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(900)]
+    rows = [(i, " ".join(rng.choices(vocabulary, weights=range(1, 901), k=200))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = [sorted((x.doc_id, round(x.score, 6)) for x in lm.score_texts(docs.repartition(n), F.col("doc_id") % 5 != 1).collect()) for n in (1, 5)]
+    assert scores[0] == scores[1]
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     from provenir.llm.queries import op4_class_scores
 
