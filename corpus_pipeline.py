@@ -3,14 +3,15 @@
 Toxic documents go, then all but one of each group of near-duplicates, then
 passages that repeat across the rest; what stays is mixed to the source weights in
 training order and encoded. All but the last stage return the columns of
-documents. Every stage works on all rows that the one before kept.
+documents; the last numbers the rows by their place in the training order, which the
+files it reads have kept. Every stage works on all rows that the one before kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provenir.llm import bpe, minhash, mixing, substrings, toxicity
@@ -49,9 +50,18 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document's whole text: their number, digest and little-endian bytes."""
-    found = bpe.encode_texts(docs.select("doc_id", "source", "text"), vocabulary(spark))
-    return found.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    """Ids of each document's whole text: their number, digest and little-endian bytes; ``position``: its place in training order.
+
+    ``docs`` is read from files: Spark reads them in any order, but names and rows in them keep the order of writing.
+    """
+    placed = docs.select("doc_id", "source", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # One row per file.
+    files = docs.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = files.select("file", F.coalesce(ahead, F.lit(0)).alias("offset"))
+    numbered = placed.join(F.broadcast(offsets), "file").select("doc_id", "source", "text", (F.col("offset") + F.col("row")).alias("position"))
+    found = bpe.encode_texts(numbered, vocabulary(spark))
+    return found.select("position", "doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -68,6 +68,21 @@ def test_stages(spark, sf_dir, tmp_path, where):
     assert Counter((r.doc_id, r.source, r.n_tokens, r.ids_sha256) for r in last) == want
 
 
+def test_training_order_reaches_the_result(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*pipeline.COLUMNS)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    held = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        mixed = cut(pipeline.mixed(spark, docs, sf_dir))
+    finally:
+        spark.conf.set(coalesce, held)
+    assert len(mixed.inputFiles()) > 1
+    want = [r.doc_id for file in sorted(mixed.inputFiles()) for r in spark.read.parquet(file).collect()]
+    got = sorted((r.position, r.doc_id) for r in pipeline.encoded(spark, mixed, sf_dir).select("position", "doc_id").collect())
+    assert [p for p, _ in got] == list(range(len(want))) and [i for _, i in got] == want
+
+
 def test_stages_of_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
