@@ -46,7 +46,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents in training order, as often as their source's target has them."""
-    return mixing.training_order(docs.select(*COLUMNS), mixing.mix(docs)).select(*COLUMNS)
+    rows = docs.select(*COLUMNS)
+    return mixing.training_order(rows, mixing.mix(rows)).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,6 +83,20 @@ def test_training_order_reaches_the_result(spark, sf_dir):
     assert [p for p, _ in got] == list(range(len(want))) and [i for _, i in got] == want
 
 
+def test_rows_alike_in_text_keep_their_columns(spark, sf_dir):
+    """Rows without id and of equal text are taken under their own source and language."""
+    rows = [(None, "one two three four", lang, source, n) for lang, source, n in [("en", "s", 1), ("de", "t", 2), (None, None, None), ("en", None, 3)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = plain(pipeline.mixed(spark, docs, sf_dir))
+    words_of = Counter()
+    for (_, _, _, source, _), n in found.items():
+        words_of[source] += 4 * n
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.source] += 4 * int(r.taken / 4 + 0.5)
+    assert set(found) == set(rows) and words_of == taken
+
+
 def test_stages_of_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
