@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import bpe, chat, fingerprints, lm, minhash, mixing, substrings, topk, toxicity, warc
+from provenir.llm import bpe, chat, fingerprints, interactions, lm, minhash, mixing, secrets, substrings, topk, toxicity, warc, whitening
+from provenir.session import scratch_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -131,6 +132,85 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    # A deviation beyond 64 bits is null.
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    ledger = secrets.BlobLedger(spark, scratch_path(spark, "ledger"))
+    ledger.commit(0, docs.select(F.col("doc_id").cast("string").alias("path"), "text"))
+    ledger.scan(secrets.BASE_RULES)
+    # The rules that came later find the base ones in the ledger and run alone.
+    ledger.scan(secrets.BASE_RULES + secrets.ADDED_RULES)
+    base = [r.kind for r in secrets.BASE_RULES]
+    return ledger.spans_by_path().select(
+        F.col("path").cast("long").alias("doc_id"),
+        *[secrets.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(secrets.spans_text(F.col("spans"), base), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+#: Patterns once more, for another engine: it has no letters in either case that leave all others alone.
+_OP12_RULES = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("login", r"://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 1),
+)
+OP12_SQL = "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), m AS (" + " UNION ALL ".join(
+    f"""SELECT r, {place} AS place, '{kind}' AS kind, {least} AS least, unnest(regexp_extract_all(text, '{pattern}')) AS hit,
+  unnest(regexp_extract_all(text, '{pattern}', {group})) AS part, unnest(list_slice(string_split_regex(text, '{pattern}'), 1, -2)) AS gap,
+  unnest(range(len(regexp_extract_all(text, '{pattern}')))) AS n FROM d"""
+    for place, (kind, pattern, group, least) in enumerate(_OP12_RULES)
+) + """),
+p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r, kind ORDER BY n) AS upto FROM m),
+s AS (SELECT r, place, kind, CAST(upto - length(hit) AS BIGINT) AS a, concat_ws(':', kind, CAST(upto - length(hit) AS BIGINT), CAST(upto AS BIGINT)) AS t FROM p WHERE length(part) >= least),
+g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(t, ',' ORDER BY a, place) FILTER (place < 3) AS base, string_agg(t, ',' ORDER BY a, place) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = interactions.failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return interactions.audit(rows)
+
+
+#: Every order is walked on its own; no coalition values or potentials.
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+f AS (SELECT w.part, CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+  || CASE WHEN 100 * list_unique(words) < 80 * len(words) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN w.doc_id > first THEN 'E' ELSE '' END AS failed, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM f GROUP BY part, failed),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+k AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS own, left(filter_order, step - 1) AS earlier
+  FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5),
+r AS (SELECT part, filter_order, step, own,
+  CAST(sum(CASE WHEN translate(failed, earlier || own, '') = failed THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN contains(failed, own) AND translate(failed, earlier, '') = failed THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN contains(failed, own) AND translate(failed, earlier, '') <> failed THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN failed = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN contains(failed, own) AND translate(failed, earlier, '') = failed THEN g ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN contains(failed, own) AND translate(failed, earlier, '') = failed THEN t ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM c, k GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_warc": op2_warc,
@@ -142,6 +222,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_toxicity": op9_toxicity,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_whitening": op11_whitening,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -149,4 +232,6 @@ ORACLES: dict[str, str] = {
     "op3_chat": OP3_SQL,
     "op5_mixing": OP5_SQL,
     "op10_exact_top_k": OP10_SQL,
+    "op12_secret_scan": OP12_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
