@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenir.operators import chains as counting
 from provenir.operators.lineage import shared_members
 
 METHODS = ("path_count", "structure", "direct_refs", "root_evidence")
@@ -35,8 +36,21 @@ def predictions(summary: DataFrame, chains: DataFrame, overlap: DataFrame) -> Da
     entity or a relationship. ``direct_refs``: no two cite one id.
     ``root_evidence``: the verdict of the overlap analysis, null below two chains.
     """
-    structural = shared_members(inner_members(chains, summary), "member").select("query_id").distinct()
-    direct = shared_members(direct_references(chains), "ref_id").select("query_id").distinct()
+    structural = shared_members(inner_members(chains, summary), "member")
+    direct = shared_members(direct_references(chains), "ref_id")
+    return _methods(summary, structural, direct, overlap)
+
+
+def counted_predictions(graph: counting.ChainGraph, edges: DataFrame, relationships: DataFrame, overlap: DataFrame) -> DataFrame:
+    """The same for all chains of a graph, from its ``marked_edges``; no chain is listed."""
+    structural = counting.shared_by_chains(counting.inner_members(edges, graph.queries), "member")
+    direct = counting.shared_by_chains(counting.cited(edges, relationships), "ref_id")
+    return _methods(counting.totals(graph), structural, direct, overlap)
+
+
+def _methods(summary: DataFrame, structural: DataFrame, direct: DataFrame, overlap: DataFrame) -> DataFrame:
+    """One row per query and method; ``structural`` and ``direct``: what two chains of a query share."""
+    structural, direct = structural.select("query_id").distinct(), direct.select("query_id").distinct()
     several = F.col("n_chains") >= 2
     wide = (
         summary.select("query_id", "n_chains")

@@ -5,38 +5,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provenir.operators import chains as counting
 from provenir.operators.lookups import kinds_of
-from provenir.session import cut, cut_counted
+from provenir.session import Growing, cut, cut_counted, cut_observed, release
+
+
+def _links(events: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Known evidence ids, and the links of events to what they derive from: ``at, next, rooted``.
+
+    Evidence is tried before an event of the same id, so no link leaves it. Links to
+    unknown ids and to the event itself lead nowhere and are left out.
+    """
+    known = cut(evidence.select("id").distinct(), "known")
+    here = events.join(known, "id", "left_anti").select(F.col("id").alias("at"), F.explode("derived_from").alias("next"))
+    ids = known.withColumn("rooted", F.lit(True)).unionByName(events.select("id").distinct().withColumn("rooted", F.lit(False)))
+    kinds = ids.groupBy(F.col("id").alias("next")).agg(F.bool_or("rooted").alias("rooted"))
+    return known, here.where("at != next").distinct().join(kinds, "next").select("at", "next", "rooted")
+
+
+def _shortened(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events with one link stand for what it leads to: ``at, rep, rooted`` for them, and the links of the others.
+
+    Pointers are doubled, so a line of any length takes logarithmic rounds. An event
+    that leads into a ring of such events and nowhere else has no roots and is left out.
+    """
+    one = links.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.max("next").alias("next"), F.bool_or("rooted").alias("rooted"))
+    first, thin = cut_counted(one.where("n = 1").select("at", F.col("next").alias("rep"), "rooted"), "pointers")
+    forks, pointers, written, reach = links.join(first.select("at"), "at", "left_anti"), first, None, 1
+    while thin and reach <= 2 * thin:
+        onward = pointers.select(F.col("at").alias("rep"), F.col("rep").alias("_rep"), F.col("rooted").alias("_rooted"))
+        moved = pointers.join(onward, "rep", "left")
+        jumped, seen = cut_observed(
+            moved.select("at", F.coalesce("_rep", "rep").alias("rep"), F.coalesce("_rooted", "rooted").alias("rooted"), F.col("_rep").isNotNull().alias("open")),
+            "pointers", open=F.count_if("open"),
+        )
+        if written is not None:
+            release(written)
+        written, pointers, reach = jumped, jumped.select("at", "rep", "rooted"), 2 * reach
+        if not seen["open"]:
+            break
+    ended = pointers.join(pointers.select(F.col("at").alias("rep")), "rep", "left_anti").select("at", "rep", "rooted")
+    led = forks.join(ended.select(F.col("at").alias("next"), "rep", F.col("rooted").alias("_rooted")), "next", "left").select(
+        "at", F.coalesce("rep", "next").alias("next"), F.coalesce("_rooted", "rooted").alias("rooted")
+    )
+    return ended, cut(led.where("at != next").distinct(), "forks")
 
 
 def root_map(events: DataFrame, evidence: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """``ref_id, root_id``: the evidence each reference finally rests on.
 
-    Follows events to what they derive from, level by level, for all of ``refs``
-    (default: every event and evidence id) in one job per level. Evidence is its
-    own root and is tried before an event of the same id. Dangling ids add
-    nothing, and a pair that was seen before is not followed again, so cycles end.
+    Evidence is its own root and is tried before an event of the same id; dangling ids
+    add nothing. Lines of events with one link each are shortened first. Then roots are
+    handed up from the evidence, level by level, and a pair that is known is not handed
+    up again: every pair is written once, however many ways lead to it, and rings of
+    events end. With ``refs`` only those are returned.
     """
-    if refs is None:
-        refs = evidence.select(F.col("id").alias("ref_id")).unionByName(events.select(F.col("id").alias("ref_id")))
-    known = evidence.select(F.col("id").alias("at"))
-    parents = events.select(F.col("id").alias("at"), F.explode("derived_from").alias("next"))
-    frontier = cut(refs.select("ref_id").distinct().withColumn("at", F.col("ref_id")), "lineage")
-    roots = [frontier.join(known, "at", "left_semi").select("ref_id", F.col("at").alias("root_id"))]
-    seen = frontier
-    while True:
-        open_ends = frontier.join(known, "at", "left_anti")
-        nxt = open_ends.join(parents, "at").select("ref_id", F.col("next").alias("at")).distinct()
-        frontier, n = cut_counted(nxt.join(seen, ["ref_id", "at"], "left_anti"), "lineage")
-        if n == 0:
-            break
-        # All levels so far as one frame: one anti-join per level, however deep.
-        seen = seen.unionByName(frontier)
-        roots.append(frontier.join(known, "at", "left_semi").select("ref_id", F.col("at").alias("root_id")))
-    out = roots[0]
-    for level in roots[1:]:
-        out = out.unionByName(level)
-    return out.distinct()
+    known, links = _links(events, evidence)
+    lines, forks = _shortened(cut(links, "links"))
+    up = cut(forks.where("NOT rooted").select("at", F.col("next").alias("from_at")), "up")
+    found = Growing(events.sparkSession, "roots")
+    fresh, seen = found.add(forks.where("rooted").select("at", F.col("next").alias("root_id")), n=F.count(F.lit(1)))
+    while seen["n"]:
+        handed = up.join(fresh.withColumnRenamed("at", "from_at"), "from_at").select("at", "root_id").distinct()
+        fresh, seen = found.add(handed.join(found.read(), ["at", "root_id"], "left_anti"), n=F.count(F.lit(1)))
+    pairs = found.read()
+    through = lines.where("NOT rooted").join(pairs.withColumnRenamed("at", "rep"), "rep").select("at", "root_id")
+    own = known.select(F.col("id").alias("at"), F.col("id").alias("root_id"))
+    every = own.unionByName(lines.where("rooted").select("at", F.col("rep").alias("root_id"))).unionByName(pairs).unionByName(through)
+    out = every.withColumnRenamed("at", "ref_id")
+    return out if refs is None else out.join(refs.select("ref_id").distinct(), "ref_id", "left_semi")
 
 
 def chain_roots(chains: DataFrame, events: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -63,9 +100,22 @@ def evidence_overlap(summary: DataFrame, roots: DataFrame) -> DataFrame:
     The verdict is null below two chains, false when any root is shared by two
     chains, else true.
     """
-    shared = shared_members(roots, "root_id").groupBy("query_id").agg(
-        F.sort_array(F.collect_list("root_id")).alias("shared_evidence_ids")
-    )
+    return overlap_verdicts(summary, shared_members(roots, "root_id"))
+
+
+def counted_overlap(
+    graph: counting.ChainGraph, edges: DataFrame, relationships: DataFrame, events: DataFrame, evidence: DataFrame
+) -> DataFrame:
+    """The same for all chains of a graph, from its ``marked_edges``; no chain is listed."""
+    refs = cut(counting.cited(edges, relationships), "cited")
+    roots = root_map(events, evidence, refs.select("ref_id"))
+    rooted = refs.join(roots, "ref_id").select("query_id", "root_id", "chain")
+    return overlap_verdicts(counting.totals(graph), counting.shared_by_chains(rooted, "root_id"))
+
+
+def overlap_verdicts(summary: DataFrame, shared: DataFrame) -> DataFrame:
+    """``summary`` with the shared roots of each query in one row, and the verdict."""
+    shared = shared.groupBy("query_id").agg(F.sort_array(F.collect_list("root_id")).alias("shared_evidence_ids"))
     none = F.array().cast("array<string>")
     return (
         summary.join(shared, "query_id", "left")

@@ -1,10 +1,13 @@
 """Breadth-first traversal and shortest chains, many queries at once.
 
-Each hop is one join of the frontier with the steps and one grouping. A node
-keeps the smallest path key (direction flag and relationship id per hop), which
-is the chain a queue-based search in relationship order discovers first. A hub's
-steps are dealt out over several join keys, so that no task holds them all.
-Without ``max_depth`` a search ends when it finds nothing new.
+Each hop is one join of the frontier with the steps and one grouping. The nodes of
+a level are numbered in the order in which a queue-based search meets them: by the
+number of the node they were met from, then direction and relationship id. A node
+keeps the least of these and the node it was met from, so a row has the same size at
+any depth, and a chain is walked back along the pointers. A hub's steps are dealt
+out over several join keys, so that no task holds them all. Without ``max_depth`` a
+search ends when it finds nothing new. Chains tied for shortest are counted before
+any is listed (``chains``).
 """
 
 from __future__ import annotations
@@ -16,14 +19,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.checks import require_depth, require_direction, require_limit
+from provenir.operators import chains
+from provenir.operators.chains import ChainGraph
 from provenir.operators.components import number_in_order
 from provenir.operators.skew import MAX_BROADCAST_KEYS
-from provenir.session import cut, cut_counted
+from provenir.session import Growing, cut, cut_counted
 
 # Steps of one node that share a join key; a node with more has several keys.
 HUB_STEPS = 50_000
 
-_PATH = "array<struct<flag:int,rel_id:string>>"
+# A level of so many nodes is numbered by one window; a larger one over range partitions.
+ONE_WINDOW = 200_000
+# Hops that one job walks back.
+JOINED_HOPS = 8
+
+_VIA = "struct<rank:bigint,flag:int,rel_id:string,parent:string>"
+_STEPS = "array<struct<position:int,flag:int,rel_id:string>>"
+_FOUND = ("query_id", "node", "hop", "target", "via")
 
 
 @dataclass(frozen=True)
@@ -61,6 +73,7 @@ class Walk:
 
     steps: DataFrame
     hubs: DataFrame | None
+    both_ways: bool = False
 
     def expand(self, frontier: DataFrame) -> DataFrame:
         """The frontier joined with the steps that leave its nodes."""
@@ -82,53 +95,83 @@ def _walk(relationships: DataFrame, direction: str) -> Walk:
     counts = every.groupBy(F.col("from_id").alias("hub")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_STEPS)
     hubs, n = cut_counted(counts.select("hub", F.ceil(F.col("n") / HUB_STEPS).cast("int").alias("parts")), "hubs")
     if n == 0:
-        return Walk(every, None)
+        return Walk(every, None, direction == "both")
     hubs = F.broadcast(hubs) if n <= MAX_BROADCAST_KEYS else hubs
     part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rel_id", "to_id"), F.col("parts"))).otherwise(0)
     dealt = every.join(hubs, F.col("from_id") == F.col("hub"), "left").withColumn("part", part.cast("int"))
-    return Walk(cut(dealt.drop("hub", "parts"), "steps"), hubs)
+    return Walk(cut(dealt.drop("hub", "parts"), "steps"), hubs, direction == "both")
+
+
+def _in_order(level: DataFrame, n: int) -> DataFrame:
+    """``rank``: the place of each of the ``n`` rows in the order a queue meets them, the same across partitions."""
+    order = ["query_id", "via.rank", "via.flag", "via.rel_id", "node"]
+    if n <= ONE_WINDOW:
+        return level.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    flat = level.select("*", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    keys = [f"_o{i}" for i in range(len(order))]
+    return number_in_order(flat, keys, "rank").drop(*keys)
 
 
-def _open_queries(frontier: DataFrame, targets: DataFrame | None) -> DataFrame:
-    """The frontier without the queries that have reached their target."""
-    if targets is None:
+def _still_open(frontier: DataFrame, hits: int) -> DataFrame:
+    """The frontier without the queries that have reached their target in it."""
+    if not hits:
         return frontier
-    done = frontier.join(
-        targets, (frontier.query_id == targets.query_id) & (frontier.node == targets.target), "left_semi"
-    ).select("query_id")
-    return frontier.join(done, "query_id", "left_anti")
+    return frontier.join(frontier.where("node = target").select("query_id"), "query_id", "left_anti")
 
 
-def _search(
-    walk: Walk, origins: DataFrame, max_depth: int | None, targets: DataFrame | None = None
-) -> list[DataFrame]:
-    """Frontiers by hop: ``query_id, node, path, hop``; hop 0 holds the origins.
+def _seen(found: Growing, walk: Walk, last: list[DataFrame]) -> DataFrame:
+    """Nodes that need not be met again; where steps lead both ways, only the last two levels can be met."""
+    return _union([f.select("query_id", "node") for f in last]) if walk.both_ways else found.read().select("query_id", "node")
 
-    A query with a target stops once the target is reached, and the whole search
-    when no frontier is left.
+
+def _search(walk: Walk, origins: DataFrame, max_depth: int | None, targets: DataFrame | None = None) -> Growing:
+    """All nodes met: ``query_id, node, hop, target`` and ``via``: rank and id of the node before, and the step.
+
+    Hop 0 holds the origins. A query with a target stops once the target is reached,
+    and the whole search when no frontier is left.
     """
     start = origins.select(
-        "query_id", F.col("origin").alias("node"), F.array().cast(_PATH).alias("path"), F.lit(0).alias("hop")
+        "query_id", F.col("origin").alias("node"), F.lit(0).alias("hop"), F.lit(None).cast(_VIA).alias("via")
     )
-    frontiers = [cut(start, "frontier")]
-    while max_depth is None or len(frontiers) <= max_depth:
-        reached = (
-            walk.expand(_open_queries(frontiers[-1], targets))
-            .select(
-                "query_id",
-                F.col("to_id").alias("node"),
-                F.concat("path", F.array(F.struct("flag", "rel_id"))).cast(_PATH).alias("path"),
-            )
-            .groupBy("query_id", "node")
-            .agg(F.min("path").alias("path"))
+    start = start.withColumn("target", F.lit(None).cast("string")) if targets is None else start.join(targets, "query_id", "left")
+    found = Growing(origins.sparkSession, "found")
+    measures = {"n": F.count(F.lit(1)), "hits": F.count_if(F.col("node") == F.col("target"))}
+    frontier, seen = found.add(start.select(*_FOUND), **measures)
+    last = [frontier]
+    hop = 0
+    while seen["n"] and (max_depth is None or hop < max_depth):
+        hop += 1
+        met = walk.expand(_still_open(_in_order(frontier, seen["n"]), seen["hits"])).select(
+            "query_id", "target", F.col("to_id").alias("node"), F.struct("rank", "flag", "rel_id", F.col("node").alias("parent")).cast(_VIA).alias("via")
         )
-        seen = _union([f.select("query_id", "node") for f in frontiers])
-        fresh = reached.join(seen, ["query_id", "node"], "left_anti").withColumn("hop", F.lit(len(frontiers)))
-        new, n = cut_counted(fresh, "frontier")
-        if n == 0:
-            break
-        frontiers.append(new)
-    return frontiers
+        reached = met.groupBy("query_id", "target", "node").agg(F.min("via").alias("via"))
+        fresh = reached.join(_seen(found, walk, last), ["query_id", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier, seen = found.add(fresh.select(*_FOUND), **measures)
+        last = [last[-1], frontier]
+    return found
+
+
+def _walk_back(found: DataFrame, hits: DataFrame, hops: int) -> DataFrame:
+    """The steps that lead to ``hits`` (query_id, node, hop): ``query_id, position, flag, rel_id``.
+
+    A few hops are one job; a row carries no more steps than that.
+    """
+    none = F.array().cast(_STEPS)
+    level = found.select("query_id", "node", "hop", "via")
+    at, done = None, []
+    for hop in range(hops, 0, -1):
+        arrived = hits.where(F.col("hop") == hop).select("query_id", "node", none.alias("steps"))
+        at = arrived if at is None else at.unionByName(arrived)
+        here = level.where(F.col("hop") == hop)
+        step = F.struct(F.lit(hop - 1).alias("position"), F.col("via.flag"), F.col("via.rel_id"))
+        at = at.join(here, ["query_id", "node"]).select(
+            "query_id", F.col("via.parent").alias("node"), F.concat("steps", F.array(step)).cast(_STEPS).alias("steps")
+        )
+        if hop % JOINED_HOPS == 1 or hop == 1:
+            written = cut(at, "back")
+            done.append(written.select("query_id", F.explode("steps").alias("s")).select("query_id", "s.position", "s.flag", "s.rel_id"))
+            at = written.select("query_id", "node", none.alias("steps"))
+    return _union(done) if done else hits.select("query_id", F.lit(0).alias("position"), F.lit(0).alias("flag"), F.lit("").alias("rel_id")).limit(0)
 
 
 def _levels(
@@ -139,23 +182,25 @@ def _levels(
     Level ``n`` holds the edges that lead from a node first met at hop ``n`` to one first
     met at hop ``n + 1``: all edges that any shortest chain can use, and no others.
     """
-    frontiers = [cut(queries.select("query_id", F.col("source").alias("node"), F.lit(0).alias("hop")), "frontier")]
+    found = Growing(queries.sparkSession, "found")
+    measures = {"hits": F.count_if(F.col("node") == F.col("target"))}
+    start = queries.select("query_id", F.col("source").alias("node")).join(targets, "query_id", "left")
+    frontier, seen = found.add(start.select("query_id", "node", F.lit(0).alias("hop"), "target"), **measures)
     levels: list[DataFrame] = []
+    last = [frontier]
     while max_depth is None or len(levels) < max_depth:
-        seen = _union([f.select("query_id", F.col("node").alias("next_id")) for f in frontiers])
-        grown = walk.expand(_open_queries(frontiers[-1], targets)).select(
-            "query_id", F.col("node").alias("prev_id"), F.col("to_id").alias("next_id"), "rel_id", "flag"
+        grown = walk.expand(_still_open(frontier, seen["hits"])).select(
+            "query_id", "target", F.col("node").alias("prev_id"), F.col("to_id").alias("next_id"), "rel_id", "flag"
         )
-        edges, n = cut_counted(grown.join(seen, ["query_id", "next_id"], "left_anti"), "level")
+        met = _seen(found, walk, last).withColumnRenamed("node", "next_id")
+        edges, n = cut_counted(grown.join(met, ["query_id", "next_id"], "left_anti"), "level")
         if n == 0:
             break
-        levels.append(edges)
-        reached = edges.select("query_id", F.col("next_id").alias("node")).distinct()
-        frontiers.append(cut(reached.withColumn("hop", F.lit(len(levels))), "frontier"))
-    every = _union(frontiers)
-    length = every.join(
-        targets, (every.query_id == targets.query_id) & (every.node == targets.target), "left_semi"
-    ).select("query_id", F.col("hop").alias("hop_count"))
+        levels.append(edges.drop("target"))
+        reached = edges.select("query_id", F.col("next_id").alias("node"), F.lit(len(levels)).alias("hop"), "target").distinct()
+        frontier, seen = found.add(reached, **measures)
+        last = [last[-1], frontier]
+    length = found.read().where("node = target").select("query_id", F.col("hop").alias("hop_count"))
     return cut(length, "length"), levels
 
 
@@ -189,14 +234,8 @@ def neighbors(
     """
     require_depth(max_depth)
     walk = _walk(relationships, direction)
-    found = _union(_search(walk, origins, max_depth)).where("hop > 0")
-    via = found.select(
-        "query_id",
-        F.col("node").alias("entity_id"),
-        F.col("hop").alias("hop_count"),
-        F.element_at("path", -1)["flag"].alias("flag"),
-        F.element_at("path", -1)["rel_id"].alias("rel_id"),
-    )
+    found = _search(walk, origins, max_depth).read().where("hop > 0")
+    via = found.select("query_id", F.col("node").alias("entity_id"), F.col("hop").alias("hop_count"), "via.flag", "via.rel_id")
     return _attach_steps(via, relationships).orderBy("query_id", "hop_count", "entity_id")
 
 
@@ -206,7 +245,7 @@ def distances(
     """Hop count per query and entity, the origin included with 0."""
     require_depth(max_depth)
     walk = _walk(relationships, direction)
-    return _union(_search(walk, origins, max_depth)).select(
+    return _search(walk, origins, max_depth).read().select(
         "query_id", F.col("node").alias("entity_id"), F.col("hop").alias("hop_count")
     )
 
@@ -231,103 +270,67 @@ def shortest_path(
     require_depth(max_depth)
     queries, targets = _ends(queries)
     walk = _walk(relationships, direction)
-    reached = _union(_search(walk, queries.withColumnRenamed("source", "origin"), max_depth, targets))
-    hit = reached.join(
-        targets, (reached.query_id == targets.query_id) & (reached.node == targets.target), "left_semi"
-    )
+    reached = _search(walk, queries.withColumnRenamed("source", "origin"), max_depth, targets).read()
+    hit = cut(reached.where("node = target").select("query_id", "node", "hop"), "hit")
     summary = queries.join(hit.select("query_id", "hop"), "query_id", "left").select(
         "query_id", "source", "target",
         F.col("hop").isNotNull().alias("found"),
         F.col("hop").alias("hop_count"),
     )
-    hops = hit.select("query_id", F.posexplode("path").alias("position", "step")).select(
-        "query_id", F.lit(0).alias("chain_index"), "position", "step.flag", "step.rel_id"
-    )
+    longest = hit.agg(F.max("hop")).first()[0] or 0
+    hops = _walk_back(reached, hit, longest).withColumn("chain_index", F.lit(0))
     return Paths(_attach_steps(hops, relationships).orderBy("query_id", "position"), summary.orderBy("query_id"))
 
 
-def all_shortest_paths(
+def chain_graph(
     relationships: DataFrame,
     queries: DataFrame,
     *,
     max_depth: int | None = None,
     direction: str = "out",
-    limit: int | None = None,
-) -> Paths:
-    """Every chain tied for shortest, ordered; with ``limit`` the first so many per query.
+) -> ChainGraph:
+    """All edges of all chains tied for shortest, with the number of chains, none of them listed.
 
-    A forward search keeps the edges between its levels. From the target back, level
-    by level, only edges that lead on to it stay. On those, chains grow hop by hop;
-    with a limit only the ``limit + 1`` lowest prefixes are kept, which is exact
-    because every prefix completes, and ``truncated`` tells that there are more.
+    A forward search keeps the edges between its levels. From the target back, level by
+    level, only edges that lead on to it stay, with the number of ways they do.
     """
     require_depth(max_depth)
-    require_limit(limit)
     queries, targets = _ends(queries)
     length, levels = _levels(_walk(relationships, direction), queries, targets, max_depth)
     ends = cut(targets.join(length, "query_id").select("query_id", F.col("target").alias("next_id"), "hop_count"), "ends")
-    needed = ends.where("hop_count < 0").select("query_id", "next_id")
-    on_chain: list[DataFrame] = []
-    for hop in range(len(levels), 0, -1):
-        arriving = ends.where(F.col("hop_count") == hop).select("query_id", "next_id").unionByName(needed)
-        edges = cut(levels[hop - 1].join(arriving, ["query_id", "next_id"], "left_semi"), "on_chain")
-        on_chain.insert(0, edges)
-        needed = edges.select("query_id", F.col("prev_id").alias("next_id")).distinct()
-    return _grow_chains(relationships, queries, length, on_chain, limit)
-
-
-def _grow_chains(
-    relationships: DataFrame, queries: DataFrame, length: DataFrame, on_chain: list[DataFrame], limit: int | None
-) -> Paths:
-    link = "array<struct<to_id:string,rel_id:string,flag:int>>"
-    prefixes = queries.join(length, "query_id").select(
-        "query_id", "hop_count", F.col("source").alias("node"), F.array().cast(link).alias("chain")
-    )
-    best = Window.partitionBy("query_id").orderBy("chain")
-    for hop, edges in enumerate(on_chain):
-        grown = (
-            prefixes.where(F.col("hop_count") > hop).alias("p")
-            .join(
-                edges.alias("e"),
-                (F.col("p.query_id") == F.col("e.query_id")) & (F.col("p.node") == F.col("e.prev_id")),
-            )
-            .select(
-                "p.query_id",
-                "p.hop_count",
-                F.col("e.next_id").alias("node"),
-                F.concat(
-                    "p.chain",
-                    F.array(F.struct(F.col("e.next_id").alias("to_id"), F.col("e.rel_id"), F.col("e.flag"))),
-                ).cast(link).alias("chain"),
-            )
-        )
-        if limit is not None:
-            grown = grown.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit + 1).drop("_n")
-        prefixes = cut(grown.unionByName(prefixes.where(F.col("hop_count") <= hop)), "prefixes")
-    # Numbered over all queries at once, so that a query with very many chains is spread too.
-    numbered = cut(number_in_order(prefixes, ["query_id", "chain"], "_n"), "numbered")
-    counts = cut(
-        numbered.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("_n").alias("first")), "counts"
-    )
-    ranked = numbered.join(counts.select("query_id", "first"), "query_id").withColumn(
-        "chain_index", (F.col("_n") - F.col("first")).cast("int")
-    )
-    n = F.coalesce("n", F.lit(0))
-    shown = n if limit is None else F.least(n, F.lit(limit))
-    summary = (
-        queries.join(length, "query_id", "left")
-        .join(counts, "query_id", "left")
-        .select(
-            "query_id", "source", "target",
-            F.col("hop_count").isNotNull().alias("found"),
-            "hop_count",
-            shown.alias("n_chains"),
-            (n > shown).alias("truncated"),
-        )
-    )
-    kept = ranked if limit is None else ranked.where(F.col("chain_index") < limit)
-    hops = kept.select("query_id", "chain_index", F.posexplode("chain").alias("position", "s")).select(
-        "query_id", "chain_index", "position", "s.flag", "s.rel_id"
+    return chains.count_ways(queries, length, ends, levels)
+
+
+def list_chains(graph: ChainGraph, relationships: DataFrame, *, limit: int | None = None, first: int = 0) -> Paths:
+    """Chains number ``first`` and after of each query, ``limit`` of them at most, in the order of their entities.
+
+    ``truncated`` tells that there are more after them. The work follows the chains that
+    are listed, not those that there are.
+    """
+    require_limit(limit)
+    last = None if limit is None else first + limit
+    steps_ = _attach_steps(chains.prefixes(graph, first, last), relationships)
+    rows = chains.spread(steps_, first, last).orderBy("query_id", "chain_index", "position")
+    n = F.col("n_chains")
+    shown = F.greatest(n - first, F.lit(0)) if limit is None else F.least(F.greatest(n - first, F.lit(0)), F.lit(limit))
+    counted = chains.totals(graph)
+    summary = counted.select(
+        "query_id", "source", "target", "found", "hop_count", shown.cast("long").alias("n_chains"),
+        (F.lit(False) if last is None else n > last).alias("truncated"),
     )
-    chains = _attach_steps(hops, relationships).orderBy("query_id", "chain_index", "position")
-    return Paths(chains, summary.orderBy("query_id"))
+    return Paths(rows, summary.orderBy("query_id"))
+
+
+def all_shortest_paths(
+    relationships: DataFrame,
+    queries: DataFrame,
+    *,
+    max_depth: int | None = None,
+    direction: str = "out",
+    limit: int | None = None,
+    first: int = 0,
+) -> Paths:
+    """Every chain tied for shortest, ordered; with ``limit`` so many per query, from number ``first`` on."""
+    require_limit(limit)
+    graph = chain_graph(relationships, queries, max_depth=max_depth, direction=direction)
+    return list_chains(graph, relationships, limit=limit, first=first)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from provenir.functions import checks, hashing, text, times
 from provenir.functions.times import micros
 from provenir.operators import (
+    chains,
     components,
     contradictions,
     evaluation,
@@ -23,6 +24,7 @@ from provenir.operators import (
     tracking,
     traversal,
 )
+from provenir.operators.chains import ChainGraph
 from provenir.plans import views
 from provenir.schemas import Case
 from provenir.session import cut
@@ -482,10 +484,17 @@ def all_shortest_paths(spark, d):
     return found.chains.select("query_id", "chain_index", "position", "rel_id", "from_id", "to_id", "walked_direction")
 
 
+def _counted_chains(spark: SparkSession, d: str) -> tuple[DataFrame, ChainGraph]:
+    """The trade graph, and every customer's shortest chains to one supplier as counts over edges."""
+    graph = _graph(spark, d)
+    return graph, traversal.chain_graph(graph, views.customer_to_supplier_queries(spark, d))
+
+
 @query
 def all_shortest_summary(spark, d):
-    found, _ = _chains(spark, d)
-    return found.summary
+    """How many shortest chains there are; none is listed."""
+    _, found = _counted_chains(spark, d)
+    return chains.totals(found).withColumn("n_chains", F.col("n_chains").cast("long")).withColumn("truncated", F.lit(False))
 
 
 @query
@@ -537,10 +546,17 @@ def _overlap(spark: SparkSession, d: str):
     return found, roots, lineage.evidence_overlap(found.summary, roots)
 
 
+def _counted_overlap(spark: SparkSession, d: str):
+    """The same without a list of chains."""
+    graph, found = _counted_chains(spark, d)
+    edges = cut(chains.marked_edges(found), "marked")
+    return graph, found, edges, lineage.counted_overlap(found, edges, graph, views.trade_events(spark, d), views.trade_evidence(spark, d))
+
+
 @query
 def evidence_overlap(spark, d):
-    found, _, overlap = _overlap(spark, d)
-    return overlap.select("query_id", "n_chains", joined("shared_evidence_ids").alias("shared"), "fully_evidence_independent")
+    *_, overlap = _counted_overlap(spark, d)
+    return overlap.select("query_id", F.col("n_chains").cast("long").alias("n_chains"), joined("shared_evidence_ids").alias("shared"), "fully_evidence_independent")
 
 
 @query
@@ -616,9 +632,8 @@ def _truth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
-    found, _, overlap = _overlap(spark, d)
-    predicted = evaluation.predictions(found.summary, found.chains, overlap)
-    return evaluation.evaluate(predicted, _truth(spark, d))
+    graph, found, edges, overlap = _counted_overlap(spark, d)
+    return evaluation.evaluate(evaluation.counted_predictions(found, edges, graph, overlap), _truth(spark, d))
 
 
 @query

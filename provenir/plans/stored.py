@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from provenir.functions import checks
 from provenir.functions.times import micros
 from provenir.operators import evaluation, lookups, merge, provenance, report, study, timeline, tracking, traversal
+from provenir.operators.chains import totals as chain_totals
 from provenir.operators.components import find_components
 from provenir.plans import views
 from provenir.plans.catalog import GAP_SECONDS, _claims, _graph, _origin, joined, query
@@ -304,7 +305,8 @@ def chains_to_many_targets(spark, d):
     queries = views.table(spark, d, "customer").select(
         views.key("C", "c_custkey").alias("query_id"), views.key("C", "c_custkey").alias("source"),
         F.concat(F.lit("S"), (key % n).cast("string")).alias("target"))
-    return traversal.all_shortest_paths(_graph(spark, d), queries).summary.select("query_id", "target", "found", "hop_count", "n_chains")
+    counted = chain_totals(traversal.chain_graph(_graph(spark, d), queries))
+    return counted.select("query_id", "target", "found", "hop_count", F.col("n_chains").cast("long").alias("n_chains"))
 
 
 # --- study files and record rules ------------------------------------------------------------------

@@ -89,6 +89,39 @@ def cut_counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
     return out, seen["n"]
 
 
+class Growing:
+    """Rows written part by part, each part once, and read again as one scan however many parts there are.
+
+    Every ``MOST_PARTS`` parts become one, so a plan and a listing over all of them stay small.
+    """
+
+    MOST_PARTS = 24
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.folders, self.made = spark, scratch_path(spark, label), [], 0
+
+    def _write(self, df: DataFrame) -> str:
+        path = f"{self.root}/{self.made:06d}"
+        self.made += 1
+        df.write.parquet(path)
+        return path
+
+    def add(self, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+        """Write a part; returns it as written, with aggregates of its rows."""
+        seen = Observation()
+        path = self._write(df.observe(seen, *[c.alias(name) for name, c in measures.items()]))
+        part = self.spark.read.schema(df.schema).parquet(path)
+        self.schema = df.schema
+        self.folders.append(path)
+        if len(self.folders) > self.MOST_PARTS:
+            # The parts stay where they are for whoever still reads them.
+            self.folders = [self._write(self.read())]
+        return part, seen.get
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.folders)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
