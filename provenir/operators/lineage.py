@@ -10,6 +10,22 @@ from provenir.operators.lookups import kinds_of
 from provenir.session import Growing, cut, cut_counted, cut_observed, release
 
 
+# Levels below the wanted references that are looked up by id before all events are taken.
+NEAR_LEVELS = 6
+
+
+def _reachable(events: DataFrame, refs: DataFrame) -> DataFrame | None:
+    """Ids that ``refs`` lead to, each once; None if they go deeper than ``NEAR_LEVELS``."""
+    found = Growing(events.sparkSession, "reach")
+    fresh, seen = found.add(refs.select(F.col("ref_id").alias("id")).distinct(), n=F.count(F.lit(1)))
+    for _ in range(NEAR_LEVELS):
+        if not seen["n"]:
+            break
+        below = events.join(fresh, "id", "left_semi").select(F.explode("derived_from").alias("id")).distinct()
+        fresh, seen = found.add(below.join(found.read(), "id", "left_anti"), n=F.count(F.lit(1)))
+    return None if seen["n"] else found.read()
+
+
 def _links(events: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Known evidence ids, and the links of events to what they derive from: ``at, next, rooted``.
 
@@ -58,8 +74,12 @@ def root_map(events: DataFrame, evidence: DataFrame, refs: DataFrame | None = No
     add nothing. Lines of events with one link each are shortened first. Then roots are
     handed up from the evidence, level by level, and a pair that is known is not handed
     up again: every pair is written once, however many ways lead to it, and rings of
-    events end. With ``refs`` only those are returned.
+    events end. With ``refs`` only those are returned, and where what they lead to lies
+    near, only that is looked at.
     """
+    near = None if refs is None else _reachable(events, refs)
+    if near is not None:
+        events, evidence = events.join(near, "id", "left_semi"), evidence.join(near, "id", "left_semi")
     known, links = _links(events, evidence)
     lines, forks = _shortened(cut(links, "links"))
     up = cut(forks.where("NOT rooted").select("at", F.col("next").alias("from_at")), "up")

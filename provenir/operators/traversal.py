@@ -23,7 +23,7 @@ from provenir.operators import chains
 from provenir.operators.chains import ChainGraph
 from provenir.operators.components import number_in_order
 from provenir.operators.skew import MAX_BROADCAST_KEYS
-from provenir.session import Growing, cut, cut_counted
+from provenir.session import Growing, cut, cut_counted, cut_observed
 
 # Steps of one node that share a join key; a node with more has several keys.
 HUB_STEPS = 50_000
@@ -201,7 +201,9 @@ def _levels(
         frontier, seen = found.add(reached, **measures)
         last = [last[-1], frontier]
     length = found.read().where("node = target").select("query_id", F.col("hop").alias("hop_count"))
-    return cut(length, "length"), levels
+    length, seen = cut_observed(length, "length", longest=F.max("hop_count"))
+    # Levels beyond the last target belong to queries that found nothing.
+    return length, levels[: seen["longest"] or 0]
 
 
 def _attach_steps(hops: DataFrame, relationships: DataFrame) -> DataFrame:

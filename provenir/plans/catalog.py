@@ -535,22 +535,27 @@ def chain_entities(spark, d):
     return lookups.resolve_entities(ids, views.trade_entities(spark, d)).select("query_id", "entity_id", "entity_type", "found")
 
 
+def _lineage_events(spark: SparkSession, d: str) -> DataFrame:
+    """What events derive from, as a stored table."""
+    return cut(views.trade_events(spark, d).select("id", "derived_from"), "events")
+
+
 @query
 def root_evidence(spark, d):
-    return lineage.root_map(views.trade_events(spark, d), views.trade_evidence(spark, d))
+    return lineage.root_map(_lineage_events(spark, d), views.trade_evidence(spark, d))
 
 
 def _overlap(spark: SparkSession, d: str):
     found, _ = _chains(spark, d)
-    roots = cut(lineage.chain_roots(found.chains, views.trade_events(spark, d), views.trade_evidence(spark, d)), "roots")
+    roots = cut(lineage.chain_roots(found.chains, _lineage_events(spark, d), views.trade_evidence(spark, d)), "roots")
     return found, roots, lineage.evidence_overlap(found.summary, roots)
 
 
 def _counted_overlap(spark: SparkSession, d: str):
     """The same without a list of chains."""
     graph, found = _counted_chains(spark, d)
-    edges = cut(chains.marked_edges(found), "marked")
-    return graph, found, edges, lineage.counted_overlap(found, edges, graph, views.trade_events(spark, d), views.trade_evidence(spark, d))
+    edges = chains.marked_edges(found)
+    return graph, found, edges, lineage.counted_overlap(found, edges, graph, _lineage_events(spark, d), views.trade_evidence(spark, d))
 
 
 @query

@@ -1,5 +1,6 @@
 """Counting, paging and comparing chains without listing them, and searches of any depth."""
 
+import os
 import random
 from collections import defaultdict
 from decimal import Decimal
@@ -13,17 +14,21 @@ from tests.test_graph import bfs_model, chains_model, many_graphs, rel_frame
 QUERY = "query_id string, source string, target string"
 
 
-def diamonds(n):
-    """A ladder of ``n`` diamonds: two ways round each."""
+#: A hop is a job or more, so the deepest graphs take minutes; without this the tests take shallower ones.
+SLOW = os.environ.get("SLOW_TESTS") == "1"
+
+
+def ladder(rungs, ways):
+    """``rungs`` diamonds in a row, each with one way round per letter of ``ways``."""
     edges = []
-    for i in range(n):
+    for i in range(rungs):
         a, b = f"n{i:03d}", f"n{i + 1:03d}"
-        for way in "xy":
+        for way in ways:
             edges += [(f"r{i:03d}{way}1", a, f"{way}{i:03d}", [f"e{i}{way}"]), (f"r{i:03d}{way}2", f"{way}{i:03d}", b, [f"e{i}{way}"])]
     return edges
 
 
-def small_shuffles(spark, monkeypatch):
+def small_shuffles(spark):
     """Hundreds of tiny jobs: one partition each, and no plan at run time."""
     held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.shuffle.partitions", "1")
@@ -64,38 +69,49 @@ def test_counts_and_pages_match_the_list(spark, monkeypatch, direction):
         assert shown == {q: (len(c[first:last]), last is not None and len(c) > last) for q, c in want.items()}
 
 
-def test_a_ladder_of_diamonds(spark, monkeypatch):
+@pytest.mark.parametrize("rungs,ways", [(12, "abcdefghijklmnopqrstuvwxyzABCDEF"), *([(60, "ab")] if SLOW else [])])
+def test_a_ladder_of_diamonds(spark, rungs, ways):
     """2**60 chains: counted, paged and compared by their edges."""
-    held = small_shuffles(spark, monkeypatch)
+    held = small_shuffles(spark)
+    ways = "".join(sorted(ways))
     try:
-        rels = cut(rel_frame(spark, diamonds(60)), "graph")
-        graph = traversal.chain_graph(rels, spark.createDataFrame([("q", "n000", "n060")], QUERY))
+        rels = cut(rel_frame(spark, ladder(rungs, ways)), "graph")
+        graph = traversal.chain_graph(rels, spark.createDataFrame([("q", "n000", f"n{rungs:03d}")], QUERY))
         total = chains.totals(graph).first()
-        assert (total.hop_count, total.n_chains) == (120, Decimal(2**60))
+        assert (total.hop_count, total.n_chains) == (2 * rungs, Decimal(2**60))
+
+        def name(i):
+            digits = []
+            for _ in range(rungs):
+                i, d = divmod(i, len(ways))
+                digits.append(ways[d])
+            return "".join(digits[::-1])
+
+        def shown(page):
+            return {i: "".join(s[0][0] for s in c[::2]) for i, c in listed(page)["q"].items()}
+
         page = traversal.list_chains(graph, rels, limit=3)
-        ways = {i: "".join(s[0][0] for s in c[::2]) for i, c in listed(page)["q"].items()}
-        assert ways == {0: "x" * 60, 1: "x" * 59 + "y", 2: "x" * 58 + "yx"}
+        assert shown(page) == {i: name(i) for i in range(3)}
         assert [(r.n_chains, r.truncated) for r in page.summary.collect()] == [(3, True)]
-        late = traversal.list_chains(graph, rels, first=2**59 + 2, limit=1)
-        assert {i: "".join(s[0][0] for s in c[::2]) for i, c in listed(late)["q"].items()} == {2**59 + 2: "y" + "x" * 57 + "yx"}
+        assert shown(traversal.list_chains(graph, rels, first=2**59 + 2, limit=1)) == {2**59 + 2: name(2**59 + 2)}
         edges = cut(chains.marked_edges(graph), "marked")
-        evidence = spark.createDataFrame([(f"e{i}{w}",) for i in range(60) for w in "xy"], "id string")
+        evidence = spark.createDataFrame([(f"e{i}{w}",) for i in range(rungs) for w in ways], "id string")
         events = spark.createDataFrame([], "id string, derived_from array<string>")
         overlap = lineage.counted_overlap(graph, edges, rels, events, evidence).first()
-        assert len(overlap.shared_evidence_ids) == 120 and overlap.fully_evidence_independent is False
+        assert len(overlap.shared_evidence_ids) == rungs * len(ways) and overlap.fully_evidence_independent is False
     finally:
         restore(spark, held)
 
 
-def test_counts_stop_at_38_digits(spark, monkeypatch):
-    held = small_shuffles(spark, monkeypatch)
+def test_counts_stop_at_38_digits(spark):
+    held = small_shuffles(spark)
     try:
-        rels = cut(rel_frame(spark, [(f"r{i:02d}-{k}", f"n{i:02d}", f"n{i + 1:02d}") for i in range(40) for k in range(10)]), "graph")
-        graph = traversal.chain_graph(rels, spark.createDataFrame([("q", "n00", "n40"), ("p", "n03", "n40")], QUERY))
+        rels = cut(rel_frame(spark, [(f"r{i:02d}-{k:02d}", f"n{i:02d}", f"n{i + 1:02d}") for i in range(20) for k in range(100)]), "graph")
+        graph = traversal.chain_graph(rels, spark.createDataFrame([("q", "n00", "n20"), ("p", "n02", "n20")], QUERY))
         got = {r.query_id: r.n_chains for r in chains.totals(graph).collect()}
-        assert got == {"q": Decimal(chains.MOST), "p": Decimal(10**37)}
-        found = listed(traversal.list_chains(graph, rels, first=11, limit=2))
-        assert {i: "".join(s[1][-1] for s in c) for i, c in found["q"].items()} == {11: "0" * 38 + "11", 12: "0" * 38 + "12"}
+        assert got == {"q": Decimal(chains.MOST), "p": Decimal(10**36)}
+        found = listed(traversal.list_chains(graph, rels, first=101, limit=2))
+        assert {i: "".join(s[1][-2:] for s in c) for i, c in found["q"].items()} == {101: "00" * 18 + "0101", 102: "00" * 18 + "0102"}
     finally:
         restore(spark, held)
 
@@ -139,17 +155,18 @@ def test_nothing_to_count(spark):
         traversal.list_chains(graph, rels, limit=0)
 
 
-def test_a_walk_of_a_thousand_hops(spark, monkeypatch):
+def test_a_long_walk(spark, monkeypatch):
     """Rows do not grow with the depth, and neither does a plan."""
-    held = small_shuffles(spark, monkeypatch)
+    hops = 1000 if SLOW else 80
+    held = small_shuffles(spark)
     widths = set()
     real = Growing.add
     monkeypatch.setattr(Growing, "add", lambda self, df, **m: (lambda made: (widths.add(made[0].schema.simpleString()), made)[1])(real(self, df, **m)))
     try:
-        rels = cut(rel_frame(spark, [(f"r{i:04d}", f"n{i:04d}", f"n{i + 1:04d}") for i in range(1000)]), "graph")
+        rels = cut(rel_frame(spark, [(f"r{i:04d}", f"n{i:04d}", f"n{i + 1:04d}") for i in range(hops)]), "graph")
         origins = spark.createDataFrame([("q", "n0000")], "query_id string, origin string")
         got = {r.entity_id: r.hop_count for r in traversal.distances(rels, origins, max_depth=None).collect()}
-        assert got == {f"n{i:04d}": i for i in range(1001)} and len(widths) == 1 and "array" not in widths.pop()
+        assert got == {f"n{i:04d}": i for i in range(hops + 1)} and len(widths) == 1 and "array" not in widths.pop()
     finally:
         restore(spark, held)
 
@@ -210,7 +227,9 @@ def test_roots_of_a_long_line_and_rings(spark, monkeypatch):
     assert sum(written) < 10 and len(written) < 6
 
 
-def test_roots_match_a_walk(spark):
+@pytest.mark.parametrize("near", [0, 6])
+def test_roots_match_a_walk(spark, monkeypatch, near):
+    monkeypatch.setattr(lineage, "NEAR_LEVELS", near)
     rng = random.Random(12)
     ids = [f"e{i}" for i in range(12)]
     names = [f"v{i}" for i in range(60)]
