@@ -1,7 +1,7 @@
 """Chains tied for shortest, counted and paged without listing them.
 
-The edges of all chains of all queries lie in levels. Backwards, an edge gets the
-number of ways that lead on from it to the target; the chains of a query are numbered
+The edges of all chains of all queries lie in levels, each with the number of ways
+that lead on from it to the target. The chains of a query are numbered
 in the order of their steps, so the chains that begin with some steps are a run of
 numbers, and the run of an edge starts where those of the edges before it end. A page
 of numbers is found by following only the runs that touch it.
@@ -44,27 +44,71 @@ class ChainGraph:
     counts: DataFrame
 
 
-def _capped(total: Column) -> Column:
+def capped(total: Column) -> Column:
     return F.coalesce(total, F.lit(MOST).cast(COUNT))
 
 
-def count_ways(queries: DataFrame, lengths: DataFrame, ends: DataFrame, levels: list[DataFrame]) -> ChainGraph:
-    """Keep the edges that lead to a target; ``ends``: ``query_id, next_id, hop_count`` of reached targets."""
+def from_sources(queries: DataFrame, ends: DataFrame, levels: list[DataFrame]) -> ChainGraph:
+    """The graph from searches that began at the sources.
+
+    ``ends``: ``query_id, key, other, hop_count`` of connected queries, other the target.
+    From there back, level by level, only edges that lead on to it stay, and are counted.
+    """
     one = F.lit(1).cast(COUNT).alias("ways")
-    ahead = ends.where("hop_count < 0").select("query_id", "next_id", one)
+    arrived = ends.select("query_id", "key", F.col("other").alias("next_id"), "hop_count", one)
+    ahead = arrived.where("hop_count < 0").drop("hop_count")
     kept: list[DataFrame] = []
     sizes: list[int] = []
     for hop in range(len(levels), 0, -1):
-        arriving = ends.where(F.col("hop_count") == hop).select("query_id", "next_id", one).unionByName(ahead)
-        edges, n = cut_counted(levels[hop - 1].join(arriving, ["query_id", "next_id"]), "on_chain")
+        arriving = arrived.where(F.col("hop_count") == hop).drop("hop_count").unionByName(ahead)
+        edges, n = cut_counted(levels[hop - 1].drop("ways", "hop").join(arriving, ["key", "next_id"]), "on_chain")
         kept.insert(0, edges)
         sizes.insert(0, n)
-        ahead = edges.groupBy("query_id", F.col("prev_id").alias("next_id")).agg(_capped(F.try_sum("ways")).alias("ways"))
+        ahead = edges.groupBy("query_id", "key", F.col("prev_id").alias("next_id")).agg(capped(F.try_sum("ways")).alias("ways"))
     # What is ahead of the first level is ahead of the sources; ends that meet are one empty chain.
     counts = ahead.select("query_id", F.col("ways").alias("n_chains")).unionByName(
         ends.where("hop_count = 0").select("query_id", one.alias("n_chains"))
     )
-    return ChainGraph(queries, lengths, kept, sizes, cut(counts, "counts"))
+    return ChainGraph(queries, ends.select("query_id", "hop_count"), kept, sizes, cut(counts, "counts"))
+
+
+def from_targets(queries: DataFrame, ends: DataFrame, levels: list[DataFrame]) -> ChainGraph:
+    """The graph from searches that began at the targets, against the steps.
+
+    Their edges count the ways on to the target already, and every one of them leads there,
+    so the edges of a query are those met on the way from its source, other in ``ends``.
+    """
+    counts = ends.select("query_id", F.col("ways").alias("n_chains"))
+    graph = ChainGraph(queries, ends.select("query_id", "hop_count"), [], [], counts)
+    if not levels:
+        return graph
+    every = ends.sparkSession.read.schema(levels[0].schema).parquet(*[f.scratch_folder for f in levels]).select(
+        "key", F.col("next_id").alias("prev_id"), F.col("prev_id").alias("next_id"), "rel_id", (1 - F.col("flag")).alias("flag"), F.col("hop").alias("left"), "ways"
+    )
+    at = ends.select("query_id", "key", F.col("other").alias("prev_id"), (F.col("hop_count") - 1).alias("left"))
+    for _ in levels:
+        edges, n = cut_counted(at.join(every, ["key", "prev_id", "left"]), "on_chain")
+        graph.levels.append(edges.drop("left"))
+        graph.sizes.append(n)
+        at = edges.select("query_id", "key", F.col("next_id").alias("prev_id"), (F.col("left") - 1).alias("left")).distinct()
+    return graph
+
+
+def least_chains(graph: ChainGraph) -> DataFrame:
+    """Per connected query the steps of its least chain by direction and relationship id: ``query_id, position, flag, rel_id``.
+
+    Every edge leads on to the target, so the least step from where a chain stands is right.
+    """
+    at = graph.queries.join(graph.lengths, "query_id").select("query_id", F.col("source").alias("prev_id"))
+    out = []
+    for position, edges in enumerate(graph.levels):
+        least = at.join(edges, ["query_id", "prev_id"]).groupBy("query_id").agg(F.min(F.struct("flag", "rel_id", "next_id")).alias("s"))
+        level = cut(least.select("query_id", F.lit(position).alias("position"), "s.flag", "s.rel_id", "s.next_id"), "least")
+        out.append(level.drop("next_id"))
+        at = level.select("query_id", F.col("next_id").alias("prev_id"))
+    if not out:
+        return graph.counts.limit(0).select("query_id", F.lit(0).alias("position"), F.lit(0).alias("flag"), F.lit("").alias("rel_id"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def totals(graph: ChainGraph) -> DataFrame:
@@ -89,7 +133,7 @@ def _with_before(edges: DataFrame, n: int, last: int | None) -> DataFrame:
         return running_totals(named, "_by", "_order", "ways", "before").withColumn("before", F.col("before").cast(COUNT)).drop("_by", "_order")
     ahead = F.try_sum("ways").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     first = F.row_number().over(inside) == 1
-    return edges.withColumn("before", F.when(first, none).otherwise(_capped(ahead)))
+    return edges.withColumn("before", F.when(first, none).otherwise(capped(ahead)))
 
 
 def prefixes(graph: ChainGraph, first: int = 0, last: int | None = None) -> DataFrame:
@@ -120,7 +164,7 @@ def prefixes(graph: ChainGraph, first: int = 0, last: int | None = None) -> Data
 def spread(beginnings: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
     """A row per chain in place of a row per beginning, with ``chain_index``."""
     low = F.greatest(F.col("start"), F.lit(first).cast(COUNT))
-    end = _capped(F.try_add("start", "ways"))
+    end = capped(F.try_add("start", "ways"))
     high = end if last is None else F.least(end, F.lit(last).cast(COUNT))
     runs = beginnings.withColumns({"_low": low.cast("long"), "_size": (high - low).cast("long")}).drop("start", "ways")
     short = runs.where(F.col("_size") <= BLOCK).withColumn("_block", F.lit(0).cast("long"))

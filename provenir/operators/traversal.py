@@ -4,10 +4,9 @@ Each hop is one join of the frontier with the steps and one grouping. The nodes
 a level are numbered in the order in which a queue-based search meets them: by the
 number of the node they were met from, then direction and relationship id. A node
 keeps the least of these and the node it was met from, so a row has the same size at
-any depth, and a chain is walked back along the pointers. A hub's steps are dealt
-out over several join keys, so that no task holds them all. Without ``max_depth`` a
-search ends when it finds nothing new. Chains tied for shortest are counted before
-any is listed (``chains``).
+any depth. A hub's steps are dealt out over several join keys, so that no task holds
+them all. Without ``max_depth`` a search ends when it finds nothing new. Chains tied
+for shortest are edges between levels, counted before any is listed (``chains``).
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.functions.checks import require_depth, require_direction, require_limit
+from provenir.functions.checks import require_depth, require_direction, require_limit, reverse_direction
 from provenir.operators import chains
 from provenir.operators.chains import ChainGraph
 from provenir.operators.components import number_in_order
@@ -30,12 +29,9 @@ HUB_STEPS = 50_000
 
 # A level of so many nodes is numbered by one window; a larger one over range partitions.
 ONE_WINDOW = 200_000
-# Hops that one job walks back.
-JOINED_HOPS = 8
 
 _VIA = "struct<rank:bigint,flag:int,rel_id:string,parent:string>"
-_STEPS = "array<struct<position:int,flag:int,rel_id:string>>"
-_FOUND = ("query_id", "node", "hop", "target", "via")
+_MET = ("key", "node", "hop", "ways", "hit")
 
 
 @dataclass(frozen=True)
@@ -112,98 +108,68 @@ def _in_order(level: DataFrame, n: int) -> DataFrame:
     return number_in_order(flat, keys, "rank").drop(*keys)
 
 
-def _still_open(frontier: DataFrame, hits: int) -> DataFrame:
-    """The frontier without the queries that have reached their target in it."""
-    if not hits:
-        return frontier
-    return frontier.join(frontier.where("node = target").select("query_id"), "query_id", "left_anti")
-
-
-def _seen(found: Growing, walk: Walk, last: list[DataFrame]) -> DataFrame:
+def _seen(found: Growing, walk: Walk, last: list[DataFrame], by: str) -> DataFrame:
     """Nodes that need not be met again; where steps lead both ways, only the last two levels can be met."""
-    return _union([f.select("query_id", "node") for f in last]) if walk.both_ways else found.read().select("query_id", "node")
+    return _union([f.select(by, "node") for f in last]) if walk.both_ways else found.read().select(by, "node")
 
 
-def _search(walk: Walk, origins: DataFrame, max_depth: int | None, targets: DataFrame | None = None) -> Growing:
-    """All nodes met: ``query_id, node, hop, target`` and ``via``: rank and id of the node before, and the step.
+def _search(walk: Walk, origins: DataFrame, max_depth: int | None, ordered: bool = True) -> DataFrame:
+    """All nodes met: ``query_id, node, hop`` and, if ``ordered``, ``via``: rank and id of the node before, and the step.
 
-    Hop 0 holds the origins. A query with a target stops once the target is reached,
-    and the whole search when no frontier is left.
+    Hop 0 holds the origins; the search ends when no frontier is left.
     """
-    start = origins.select(
-        "query_id", F.col("origin").alias("node"), F.lit(0).alias("hop"), F.lit(None).cast(_VIA).alias("via")
-    )
-    start = start.withColumn("target", F.lit(None).cast("string")) if targets is None else start.join(targets, "query_id", "left")
+    start = origins.select("query_id", F.col("origin").alias("node"), F.lit(0).alias("hop"), F.lit(None).cast(_VIA).alias("via"))
     found = Growing(origins.sparkSession, "found")
-    measures = {"n": F.count(F.lit(1)), "hits": F.count_if(F.col("node") == F.col("target"))}
-    frontier, seen = found.add(start.select(*_FOUND), **measures)
+    frontier, seen = found.add(start, n=F.count(F.lit(1)))
     last = [frontier]
     hop = 0
     while seen["n"] and (max_depth is None or hop < max_depth):
         hop += 1
-        met = walk.expand(_still_open(_in_order(frontier, seen["n"]), seen["hits"])).select(
-            "query_id", "target", F.col("to_id").alias("node"), F.struct("rank", "flag", "rel_id", F.col("node").alias("parent")).cast(_VIA).alias("via")
-        )
-        reached = met.groupBy("query_id", "target", "node").agg(F.min("via").alias("via"))
-        fresh = reached.join(_seen(found, walk, last), ["query_id", "node"], "left_anti").withColumn("hop", F.lit(hop))
-        frontier, seen = found.add(fresh.select(*_FOUND), **measures)
+        met = walk.expand(_in_order(frontier, seen["n"]) if ordered else frontier.withColumn("rank", F.lit(0).cast("long")))
+        step = F.struct("rank", "flag", "rel_id", F.col("node").alias("parent")) if ordered else F.lit(None)
+        reached = met.select("query_id", F.col("to_id").alias("node"), step.cast(_VIA).alias("via")).groupBy("query_id", "node").agg(F.min("via").alias("via"))
+        fresh = reached.join(_seen(found, walk, last, "query_id"), ["query_id", "node"], "left_anti")
+        frontier, seen = found.add(fresh.select("query_id", "node", F.lit(hop).alias("hop"), "via"), n=F.count(F.lit(1)))
         last = [last[-1], frontier]
-    return found
-
-
-def _walk_back(found: DataFrame, hits: DataFrame, hops: int) -> DataFrame:
-    """The steps that lead to ``hits`` (query_id, node, hop): ``query_id, position, flag, rel_id``.
-
-    A few hops are one job; a row carries no more steps than that.
-    """
-    none = F.array().cast(_STEPS)
-    level = found.select("query_id", "node", "hop", "via")
-    at, done = None, []
-    for hop in range(hops, 0, -1):
-        arrived = hits.where(F.col("hop") == hop).select("query_id", "node", none.alias("steps"))
-        at = arrived if at is None else at.unionByName(arrived)
-        here = level.where(F.col("hop") == hop)
-        step = F.struct(F.lit(hop - 1).alias("position"), F.col("via.flag"), F.col("via.rel_id"))
-        at = at.join(here, ["query_id", "node"]).select(
-            "query_id", F.col("via.parent").alias("node"), F.concat("steps", F.array(step)).cast(_STEPS).alias("steps")
-        )
-        if hop % JOINED_HOPS == 1 or hop == 1:
-            written = cut(at, "back")
-            done.append(written.select("query_id", F.explode("steps").alias("s")).select("query_id", "s.position", "s.flag", "s.rel_id"))
-            at = written.select("query_id", "node", none.alias("steps"))
-    return _union(done) if done else hits.select("query_id", F.lit(0).alias("position"), F.lit(0).alias("flag"), F.lit("").alias("rel_id")).limit(0)
+    return found.read()
 
 
-def _levels(
-    walk: Walk, queries: DataFrame, targets: DataFrame, max_depth: int | None
-) -> tuple[DataFrame, list[DataFrame]]:
-    """Hop count of every query that reaches its target, and the edges between levels.
+def _levels(walk: Walk, pairs: DataFrame, max_depth: int | None) -> tuple[DataFrame, list[DataFrame]]:
+    """Hop count of every pair (``key, other``) that is connected, and the edges between the levels of each ``key``.
 
-    Level ``n`` holds the edges that lead from a node first met at hop ``n`` to one first
-    met at hop ``n + 1``: all edges that any shortest chain can use, and no others.
+    One search per distinct ``key``, however many pairs it has; it stops once it has
+    met all of their other ends. Level ``n`` holds the edges that lead from a node first
+    met at hop ``n`` to one first met at hop ``n + 1``: all edges that any shortest chain
+    can use. ``ways``: shortest chains between the key and the edge's nearer end.
     """
-    found = Growing(queries.sparkSession, "found")
-    measures = {"hits": F.count_if(F.col("node") == F.col("target"))}
-    start = queries.select("query_id", F.col("source").alias("node")).join(targets, "query_id", "left")
-    frontier, seen = found.add(start.select("query_id", "node", F.lit(0).alias("hop"), "target"), **measures)
+    found = Growing(pairs.sparkSession, "found")
+    ends = pairs.select("key", F.col("other").alias("node"), F.lit(True).alias("_end"))
+    met = lambda nodes: nodes.join(ends, ["key", "node"], "left").withColumn("hit", F.col("_end").isNotNull()).drop("_end")
+    hits = {"hits": F.count_if("hit")}
+    start = pairs.select("key").distinct().select(
+        "key", F.col("key").alias("node"), F.lit(0).alias("hop"), F.lit(1).cast(chains.COUNT).alias("ways")
+    )
+    frontier, seen = found.add(met(start).select(*_MET), **hits)
     levels: list[DataFrame] = []
-    last = [frontier]
+    last, missing = [frontier], pairs
     while max_depth is None or len(levels) < max_depth:
-        grown = walk.expand(_still_open(frontier, seen["hits"])).select(
-            "query_id", "target", F.col("node").alias("prev_id"), F.col("to_id").alias("next_id"), "rel_id", "flag"
-        )
-        met = _seen(found, walk, last).withColumnRenamed("node", "next_id")
-        edges, n = cut_counted(grown.join(met, ["query_id", "next_id"], "left_anti"), "level")
+        if seen["hits"]:
+            done = frontier.where("hit").select("key", F.col("node").alias("other"))
+            missing = cut(missing.join(done, ["key", "other"], "left_anti"), "missing")
+        open_ = frontier.join(missing.select("key").distinct(), "key", "left_semi")
+        grown = walk.expand(open_).select("key", F.col("node").alias("prev_id"), F.col("to_id").alias("next_id"), "rel_id", "flag", "hop", "ways")
+        known = _seen(found, walk, last, "key").withColumnRenamed("node", "next_id")
+        edges, n = cut_counted(grown.join(known, ["key", "next_id"], "left_anti"), "level")
         if n == 0:
             break
-        levels.append(edges.drop("target"))
-        reached = edges.select("query_id", F.col("next_id").alias("node"), F.lit(len(levels)).alias("hop"), "target").distinct()
-        frontier, seen = found.add(reached, **measures)
+        levels.append(edges)
+        reached = edges.groupBy("key", F.col("next_id").alias("node")).agg(chains.capped(F.try_sum("ways")).alias("ways"))
+        frontier, seen = found.add(met(reached).withColumn("hop", F.lit(len(levels))).select(*_MET), **hits)
         last = [last[-1], frontier]
-    length = found.read().where("node = target").select("query_id", F.col("hop").alias("hop_count"))
-    length, seen = cut_observed(length, "length", longest=F.max("hop_count"))
-    # Levels beyond the last target belong to queries that found nothing.
-    return length, levels[: seen["longest"] or 0]
+    length = found.read().where("hit").select("key", F.col("node").alias("other"), F.col("hop").alias("hop_count"), "ways")
+    length, reach = cut_observed(length, "length", longest=F.max("hop_count"))
+    # Levels beyond the last end belong to searches that found nothing.
+    return length, levels[: reach["longest"] or 0]
 
 
 def _attach_steps(hops: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -236,7 +202,7 @@ def neighbors(
     """
     require_depth(max_depth)
     walk = _walk(relationships, direction)
-    found = _search(walk, origins, max_depth).read().where("hop > 0")
+    found = _search(walk, origins, max_depth).where("hop > 0")
     via = found.select("query_id", F.col("node").alias("entity_id"), F.col("hop").alias("hop_count"), "via.flag", "via.rel_id")
     return _attach_steps(via, relationships).orderBy("query_id", "hop_count", "entity_id")
 
@@ -247,60 +213,56 @@ def distances(
     """Hop count per query and entity, the origin included with 0."""
     require_depth(max_depth)
     walk = _walk(relationships, direction)
-    return _search(walk, origins, max_depth).read().select(
+    return _search(walk, origins, max_depth, ordered=False).select(
         "query_id", F.col("node").alias("entity_id"), F.col("hop").alias("hop_count")
     )
 
 
-def _ends(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    queries = cut(queries.select("query_id", "source", "target"), "queries")
-    return queries, queries.select(F.col("query_id"), F.col("target"))
-
-
-def shortest_path(
+def chain_graph(
     relationships: DataFrame,
     queries: DataFrame,
     *,
     max_depth: int | None = None,
     direction: str = "out",
-) -> Paths:
-    """One shortest chain per ``(query_id, source, target)``.
+) -> ChainGraph:
+    """All edges of all chains tied for shortest, with the number of chains, none of them listed.
 
-    Equal ends are found with no hops. A pair that is not connected within
-    ``max_depth`` has ``found`` false and no steps.
+    Queries that share an end share its search: from the targets, against the steps, where
+    there are fewer of them than of sources, else from the sources. Either way only edges
+    that lie on a chain of a query are kept for it, with the number of ways on to its target.
     """
     require_depth(max_depth)
-    queries, targets = _ends(queries)
-    walk = _walk(relationships, direction)
-    reached = _search(walk, queries.withColumnRenamed("source", "origin"), max_depth, targets).read()
-    hit = cut(reached.where("node = target").select("query_id", "node", "hop"), "hit")
-    summary = queries.join(hit.select("query_id", "hop"), "query_id", "left").select(
-        "query_id", "source", "target",
-        F.col("hop").isNotNull().alias("found"),
-        F.col("hop").alias("hop_count"),
+    queries = cut(queries.select("query_id", "source", "target"), "queries")
+    n = queries.agg(F.count_distinct("source").alias("sources"), F.count_distinct("target").alias("targets")).first()
+    near, far = ("target", "source") if n.targets < n.sources else ("source", "target")
+    pairs = cut(queries.select(F.col(near).alias("key"), F.col(far).alias("other")).dropna().distinct(), "pairs")
+    walk = _walk(relationships, direction if near == "source" else reverse_direction(direction))
+    length, levels = _levels(walk, pairs, max_depth)
+    ends = cut(
+        queries.withColumns({"key": F.col(near), "other": F.col(far)}).join(length, ["key", "other"]).select(
+            "query_id", "key", "other", "hop_count", "ways"
+        ),
+        "ends",
     )
-    longest = hit.agg(F.max("hop")).first()[0] or 0
-    hops = _walk_back(reached, hit, longest).withColumn("chain_index", F.lit(0))
-    return Paths(_attach_steps(hops, relationships).orderBy("query_id", "position"), summary.orderBy("query_id"))
+    return chains.from_sources(queries, ends, levels) if near == "source" else chains.from_targets(queries, ends, levels)
 
 
-def chain_graph(
+def shortest_path(
     relationships: DataFrame,
     queries: DataFrame,
     *,
     max_depth: int | None = None,
     direction: str = "out",
-) -> ChainGraph:
-    """All edges of all chains tied for shortest, with the number of chains, none of them listed.
+) -> Paths:
+    """One shortest chain per ``(query_id, source, target)``: the one that a queue-based search meets first.
 
-    A forward search keeps the edges between its levels. From the target back, level by
-    level, only edges that lead on to it stay, with the number of ways they do.
+    Equal ends are found with no hops. A pair that is not connected within
+    ``max_depth`` has ``found`` false and no steps.
     """
-    require_depth(max_depth)
-    queries, targets = _ends(queries)
-    length, levels = _levels(_walk(relationships, direction), queries, targets, max_depth)
-    ends = cut(targets.join(length, "query_id").select("query_id", F.col("target").alias("next_id"), "hop_count"), "ends")
-    return chains.count_ways(queries, length, ends, levels)
+    graph = chain_graph(relationships, queries, max_depth=max_depth, direction=direction)
+    hops = chains.least_chains(graph).withColumn("chain_index", F.lit(0))
+    summary = chains.totals(graph).drop("n_chains")
+    return Paths(_attach_steps(hops, relationships).orderBy("query_id", "position"), summary.orderBy("query_id"))
 
 
 def list_chains(graph: ChainGraph, relationships: DataFrame, *, limit: int | None = None, first: int = 0) -> Paths:

@@ -19,12 +19,12 @@ SLOW = os.environ.get("SLOW_TESTS") == "1"
 
 
 def ladder(rungs, ways):
-    """``rungs`` diamonds in a row, each with one way round per letter of ``ways``."""
+    """``rungs`` diamonds in a row, each with so many ways round."""
     edges = []
     for i in range(rungs):
         a, b = f"n{i:03d}", f"n{i + 1:03d}"
-        for way in ways:
-            edges += [(f"r{i:03d}{way}1", a, f"{way}{i:03d}", [f"e{i}{way}"]), (f"r{i:03d}{way}2", f"{way}{i:03d}", b, [f"e{i}{way}"])]
+        for w in range(ways):
+            edges += [(f"r{i:03d}-{w:04d}-1", a, f"m{w:04d}-{i:03d}", [f"e{i}-{w}"]), (f"r{i:03d}-{w:04d}-2", f"m{w:04d}-{i:03d}", b, [f"e{i}-{w}"])]
     return edges
 
 
@@ -69,11 +69,10 @@ def test_counts_and_pages_match_the_list(spark, monkeypatch, direction):
         assert shown == {q: (len(c[first:last]), last is not None and len(c) > last) for q, c in want.items()}
 
 
-@pytest.mark.parametrize("rungs,ways", [(12, "abcdefghijklmnopqrstuvwxyzABCDEF"), *([(60, "ab")] if SLOW else [])])
+@pytest.mark.parametrize("rungs,ways", [(6, 1024), *([(60, 2)] if SLOW else [])])
 def test_a_ladder_of_diamonds(spark, rungs, ways):
     """2**60 chains: counted, paged and compared by their edges."""
     held = small_shuffles(spark)
-    ways = "".join(sorted(ways))
     try:
         rels = cut(rel_frame(spark, ladder(rungs, ways)), "graph")
         graph = traversal.chain_graph(rels, spark.createDataFrame([("q", "n000", f"n{rungs:03d}")], QUERY))
@@ -81,24 +80,20 @@ def test_a_ladder_of_diamonds(spark, rungs, ways):
         assert (total.hop_count, total.n_chains) == (2 * rungs, Decimal(2**60))
 
         def name(i):
-            digits = []
-            for _ in range(rungs):
-                i, d = divmod(i, len(ways))
-                digits.append(ways[d])
-            return "".join(digits[::-1])
+            return [i // ways**k % ways for k in reversed(range(rungs))]
 
         def shown(page):
-            return {i: "".join(s[0][0] for s in c[::2]) for i, c in listed(page)["q"].items()}
+            return {i: [int(s[0][1:5]) for s in c[::2]] for i, c in listed(page)["q"].items()}
 
         page = traversal.list_chains(graph, rels, limit=3)
         assert shown(page) == {i: name(i) for i in range(3)}
         assert [(r.n_chains, r.truncated) for r in page.summary.collect()] == [(3, True)]
         assert shown(traversal.list_chains(graph, rels, first=2**59 + 2, limit=1)) == {2**59 + 2: name(2**59 + 2)}
         edges = cut(chains.marked_edges(graph), "marked")
-        evidence = spark.createDataFrame([(f"e{i}{w}",) for i in range(rungs) for w in ways], "id string")
+        evidence = spark.createDataFrame([(f"e{i}-{w}",) for i in range(rungs) for w in range(ways)], "id string")
         events = spark.createDataFrame([], "id string, derived_from array<string>")
         overlap = lineage.counted_overlap(graph, edges, rels, events, evidence).first()
-        assert len(overlap.shared_evidence_ids) == rungs * len(ways) and overlap.fully_evidence_independent is False
+        assert len(overlap.shared_evidence_ids) == rungs * ways and overlap.fully_evidence_independent is False
     finally:
         restore(spark, held)
 
@@ -172,23 +167,49 @@ def test_a_long_walk(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("direction", ["out", "in", "both"])
-def test_discovery_order_by_number(spark, monkeypatch, direction):
-    """Levels numbered over range partitions give the same chains as one window."""
-    monkeypatch.setattr(traversal, "ONE_WINDOW", 1)
-    monkeypatch.setattr(traversal, "JOINED_HOPS", 2)
+@pytest.mark.parametrize("fewer", ["sources", "targets"])
+def test_least_chain_from_either_end(spark, direction, fewer):
+    """Searches from the sources and from the targets give the chain that a queue meets first."""
     graphs = many_graphs(21, 6, n_nodes=9, n_edges=16)
     rels = cut(rel_frame(spark, [e for _, edges in graphs for e in edges]), "graph")
-    asked = [(f"{i}-{n}", nodes[0], n) for i, (nodes, _) in enumerate(graphs) for n in nodes]
+    asked = [(f"{i}-{n}", *((nodes[0], n) if fewer == "sources" else (n, nodes[0]))) for i, (nodes, _) in enumerate(graphs) for n in nodes]
+    found = traversal.shortest_path(rels, spark.createDataFrame(asked, QUERY), direction=direction)
     got = defaultdict(list)
-    for r in traversal.shortest_path(rels, spark.createDataFrame(asked, QUERY), direction=direction).chains.collect():
+    for r in found.chains.collect():
         got[r.query_id].append((r.to_id, r.rel_id, r.walked_direction))
+    lengths = {r.query_id: (r.found, r.hop_count) for r in found.summary.collect()}
     for q, src, dst in asked:
         first, node, back = bfs_model(graphs[int(q.split("-")[0])][1], src, 9, direction), dst, []
         while node != src and node in first:
             _, prev, rel, way = first[node]
             back.append((node, rel, way))
             node = prev
-        assert got.get(q, []) == (back[::-1] if dst in first else [])
+        there = src == dst or dst in first
+        assert got.get(q, []) == (back[::-1] if there else []) and lengths[q] == (there, len(back) if there else None)
+
+
+def test_queries_that_share_an_end_share_its_search(spark, monkeypatch):
+    """Forty sources, one target: one search, and nothing beyond what leads to it."""
+    sizes = []
+    real = traversal.cut_counted
+    monkeypatch.setattr(traversal, "cut_counted", lambda df, label="stage": (lambda r: (sizes.append((label, r[1])), r)[1])(real(df, label)))
+    edges = [(f"a{i:02d}", f"s{i:02d}", "m") for i in range(40)] + [("b", "m", "t")] + [(f"x{i:03d}", "s00", f"y{i:03d}") for i in range(300)]
+    q = spark.createDataFrame([(f"q{i:02d}", f"s{i:02d}", "t") for i in range(40)], QUERY)
+    graph = traversal.chain_graph(rel_frame(spark, edges), q)
+    assert [n for label, n in sizes if label == "level"] == [1, 40, 0]
+    assert {(r.hop_count, int(r.n_chains)) for r in chains.totals(graph).collect()} == {(2, 1)}
+
+
+@pytest.mark.parametrize("direction", ["out", "in", "both"])
+def test_levels_numbered_over_range_partitions(spark, monkeypatch, direction):
+    monkeypatch.setattr(traversal, "ONE_WINDOW", 1)
+    graphs = many_graphs(23, 6, n_nodes=9, n_edges=16)
+    rels = cut(rel_frame(spark, [e for _, edges in graphs for e in edges]), "graph")
+    origins = spark.createDataFrame([(f"{i}", nodes[0]) for i, (nodes, _) in enumerate(graphs)], "query_id string, origin string")
+    got = defaultdict(dict)
+    for r in traversal.neighbors(rels, origins, max_depth=None, direction=direction).collect():
+        got[r.query_id][r.entity_id] = (r.hop_count, r.from_id, r.rel_id, r.walked_direction)
+    assert got == {f"{i}": want for i, (nodes, edges) in enumerate(graphs) if (want := bfs_model(edges, nodes[0], 9, direction))}
 
 
 def roots_model(events, evidence):
