@@ -11,6 +11,7 @@ from provenir.functions.text import is_pairwise_question, neutral_label, strip
 from provenir.operators.components import running_totals
 from provenir.operators.digest import ordered_digest
 from provenir.operators.evaluation import ratio
+from provenir.operators.provenance import TREE_DIGITS, tree_hash
 from provenir.session import cut
 
 # Fixed values of the study design.
@@ -253,8 +254,8 @@ def condition_view(chains: DataFrame) -> DataFrame:
     ).withColumn("root_labels", F.when(F.col("condition") == "root_evidence", F.col("root_labels")))
 
 
-def case_manifest_hash(cases: DataFrame) -> DataFrame:
-    """Digest of the study's case list, in ``position`` order.
+def case_documents(cases: DataFrame) -> DataFrame:
+    """``position, doc``: each study case as canonical JSON.
 
     ``cases`` has ``position, case_id, case_type, path_count, chain_count,
     fixture_id, answer_key_version, question_ids``.
@@ -270,5 +271,23 @@ def case_manifest_hash(cases: DataFrame) -> DataFrame:
             "question_ids": json_strings(F.sort_array("question_ids")),
         }
     )
-    rows = cases.select(F.lit("cases").alias("all"), "position", doc.alias("doc"))
-    return ordered_digest(rows, "all", ["position", "doc"], "doc", "[", ",", "]").select(F.col("hash").alias("case_manifest_hash"))
+    return cases.select("position", doc.alias("doc"))
+
+
+def case_tree_hash(cases: DataFrame, digits: int = TREE_DIGITS) -> DataFrame:
+    """Digest of the study's case list as a tree over positions, for studies of any size; its depth is part of it.
+
+    Documents go on as digests, so neither long ones nor many of them meet in one task.
+    """
+    rows = case_documents(cases).select(F.lit("cases").alias("collection"), F.col("position").cast("string").alias("id"), F.sha2("doc", 256).alias("hash"))
+    return tree_hash(rows, ["collection"], digits).select(F.col("hash").alias("case_tree_hash"), F.lit(digits).alias("digits"))
+
+
+def case_manifest_hash(cases: DataFrame) -> DataFrame:
+    """Digest of the study's case list, in ``position`` order, as one list.
+
+    A list hash has to see all documents in order, in one task; it checks lists that were
+    recorded so. ``case_tree_hash`` spreads the work.
+    """
+    rows = case_documents(cases).select(F.lit("cases").alias("all"), "position", F.sha2("doc", 256).alias("tie"), "doc")
+    return ordered_digest(rows, "all", ["position", "tie"], "doc", "[", ",", "]").select(F.col("hash").alias("case_manifest_hash"))

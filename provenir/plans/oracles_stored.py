@@ -147,3 +147,15 @@ ORACLES["chains_to_many_targets"] = f"""WITH {_TRADE.strip()},
 q AS (SELECT 'C' || c_custkey AS query_id, 'S' || (c_custkey % (SELECT count(*) FROM supplier)) AS target FROM customer),
 n AS (SELECT q.query_id, count(*) AS n FROM q JOIN rels a ON a.src = q.query_id AND a.kind = 'placed' JOIN rels b ON b.src = a.dst AND b.dst = q.target GROUP BY 1)
 SELECT q.query_id, target, n IS NOT NULL AS found, CASE WHEN n IS NOT NULL THEN 2 END AS hop_count, coalesce(n, 0) AS n_chains FROM q LEFT JOIN n USING (query_id)"""
+
+_CASE_DOC = """'{"answer_key_version":"v1","case_id":"case-' || c_custkey || '","case_type":"' || c_mktsegment || '","chain_count":2,"fixture_id":"f' ||
+  c_nationkey || '","path_count":' || c_nationkey || ',"question_ids":["a","q-' || c_custkey || '"]}'"""
+ORACLES["case_tree"] = f"""
+WITH t4 AS (SELECT substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 4) AS p,
+  sha256('[' || string_agg('["' || c_custkey || '","' || sha256({_CASE_DOC}) || '"]', ',' ORDER BY CAST(c_custkey AS VARCHAR)) || ']') AS h FROM customer GROUP BY 1),
+t3 AS (SELECT left(p, 3) AS p, sha256(string_agg(p || ':' || h, ',' ORDER BY p)) AS h FROM t4 GROUP BY left(t4.p, 3)),
+t2 AS (SELECT left(p, 2) AS p, sha256(string_agg(p || ':' || h, ',' ORDER BY p)) AS h FROM t3 GROUP BY left(t3.p, 2)),
+t1 AS (SELECT left(p, 1) AS p, sha256(string_agg(p || ':' || h, ',' ORDER BY p)) AS h FROM t2 GROUP BY left(t2.p, 1))
+SELECT sha256(string_agg(p || ':' || h, ',' ORDER BY p)) AS case_tree_hash, 4 AS digits FROM t1"""
+ORACLES["stored_tree_diff"] = ORACLES["manifest_diff"]
+ORACLES["stored_tree_manifest"] = ORACLES["manifest_tree"].replace("'ne-' || event_id FROM events", "'ne-' || event_id FROM events WHERE event_type != 'error'")

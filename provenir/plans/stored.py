@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions import checks
 from provenir.functions.times import micros
-from provenir.operators import evaluation, lookups, merge, provenance, report, study, timeline, tracking, traversal
+from provenir.operators import evaluation, hashtree, lookups, merge, provenance, report, study, timeline, tracking, traversal
 from provenir.operators.chains import totals as chain_totals
 from provenir.operators.components import find_components
 from provenir.plans import views
@@ -119,6 +119,32 @@ def manifest_verdicts(spark, d):
     return out
 
 
+def _stored_tree(spark, d, after: Case) -> hashtree.HashTree:
+    """A stored tree of the event case, brought up to ``after`` by what changed."""
+    tree = hashtree.HashTree(spark, scratch_path(spark, "tree"))
+    before = cut(provenance.object_hashes(views.event_case(spark, d)), "objects")
+    tree.update(before)
+    tree.update(hashtree.changes_between(before, provenance.object_hashes(after)))
+    return tree
+
+
+@query
+def stored_tree_manifest(spark, d):
+    """The manifest of the case without its errors, from a stored tree that had them and was updated."""
+    case = views.event_case(spark, d)
+    tree = _stored_tree(spark, d, replace(case, events=case.events.where("event_type != 'error'")))
+    return tree.manifest().select("collection", "hash")
+
+
+@query
+def stored_tree_diff(spark, d):
+    """What changed between two versions of a stored tree: errors withdrawn, orders in as entities."""
+    case = views.event_case(spark, d)
+    after = replace(case, events=case.events.where("event_type != 'error'"), entities=views.trade_entities(spark, d))
+    tree = _stored_tree(spark, d, after)
+    return hashtree.diff(tree.state(0), tree.state(1)).select("collection", "id", "change")
+
+
 @query
 def custody_growth(spark, d):
     """A second custody record for every item: more custody, the same manifest."""
@@ -330,15 +356,25 @@ def scored_responses(spark, d):
     return scored.select("index", "key_answer", (F.col("answer") == F.col("key_answer")).alias("right"))
 
 
-@query
-def case_manifest(spark, d):
-    """The digest of a study's case list: customers as cases."""
-    cases = views.table(spark, d, "customer").select(
+def _study_cases(spark, d):
+    """Customers as the cases of a study."""
+    return views.table(spark, d, "customer").select(
         F.col("c_custkey").alias("position"), views.key("case-", "c_custkey").alias("case_id"), F.col("c_mktsegment").alias("case_type"),
         F.col("c_nationkey").alias("path_count"), F.lit(2).alias("chain_count"), views.key("f", "c_nationkey").alias("fixture_id"),
         F.lit("v1").alias("answer_key_version"), F.array(views.key("q-", "c_custkey"), F.lit("a")).alias("question_ids"),
     )
-    return study.case_manifest_hash(cases)
+
+
+@query
+def case_manifest(spark, d):
+    """The digest of a study's case list, as one list."""
+    return study.case_manifest_hash(_study_cases(spark, d))
+
+
+@query
+def case_tree(spark, d):
+    """The digest of a study's case list, as a tree."""
+    return study.case_tree_hash(_study_cases(spark, d))
 
 
 @query
