@@ -16,6 +16,8 @@ FILE_BYTES = 1 << 30
 #: Ranges with smaller gaps are fetched in one read, up to this size together.
 READ_BYTES = 4 << 20
 GAP_BYTES = 64 << 10
+#: Bytes that one task reads.
+TASK_BYTES = 8 << 20
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -70,6 +72,11 @@ class RangeReader:
             self._source, self._file = None, ""
 
 
+def read_tasks(size: int | None) -> int:
+    """How many tasks share ``size`` bytes; pointers are too small for Spark to deal them by their own size."""
+    return max(1, -(-int(size or 0) // TASK_BYTES))
+
+
 def coalesced(ranges: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
     """Sorted ranges as (file, start, end, how many of them), near ones together."""
     out: list[tuple[str, int, int, int]] = []

@@ -9,12 +9,13 @@ start and -1 at the end of every assistant text.
 
 A conversation is stored as chunks of ids and mask in shared files, with an index
 of pointers (conversation, chunk, file, place). Turns are dealt out by range of
-(conversation, turn, role, whole text), so a conversation of any length is spread
-over tasks and range bounds keep its order; only its running digest is taken in one
-place, which follows pointers and streams.
+(conversation, turn, role, start of the text, digest of the text), so a conversation
+of any length is spread over tasks and range bounds, which hold no whole texts, keep
+its order; only its running digest is taken in one place, which follows pointers and
+streams.
 
-Results: a null text or role is empty; turns of equal number go by role, then
-text; null ids are one conversation; rows that repeat are turns of their own; an
+Results: a null text or role is empty; turns of equal number go by role, then by the
+first ``TIE_CHARS`` characters of the text, then by the text's SHA-256; null ids are one conversation; rows that repeat are turns of their own; an
 empty table gives an empty index. Other columns play no part.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.blobs import BlobWriter, RangeReader
+from provenir.llm.blobs import BlobWriter, RangeReader, read_tasks
 from provenir.llm.bpe import Vocabulary
 from provenir.llm.words import bounded_batches
 from provenir.session import cut, scratch_path
@@ -37,6 +38,8 @@ from provenir.session import cut, scratch_path
 START, END = "<|im_start|>", "<|im_end|>"
 #: Ids of a chunk before it is written and another begun.
 CHUNK_IDS = 1 << 18
+#: Characters of a text that order turns of equal number and role before its digest does.
+TIE_CHARS = 200
 INDEX = "conv_id long, chunk long, file string, offset long, n_ids long, n_turns long"
 
 
@@ -93,11 +96,12 @@ def format_conversations(rows: DataFrame, vocabulary: Vocabulary, learned_role:
     """Writes ids and masks into the shared scratch folder; returns the written index of chunks."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), blank(role).alias("role"), blank(text).alias("text"))
-    # The row number stands behind the whole text, so it parts only turns that are alike.
-    keys = ["conv_id", "turn", "role", "text", "row"]
+    # The bounds are sampled rows of keys alone: no key is as long as a text. The row number parts only turns that are alike.
+    keys = ["conv_id", "turn", "role", "start", "digest", "row"]
+    start, digest = F.substring("text", 1, TIE_CHARS), F.sha2("text", 256)
     dealt = (
-        turns.withColumn("row", F.monotonically_increasing_id())
-        .repartitionByRange(*keys).sortWithinPartitions("conv_id", "turn", "role", "text")
+        turns.withColumns({"start": start, "digest": digest, "row": F.monotonically_increasing_id()})
+        .repartitionByRange(*keys).sortWithinPartitions(*keys)
         .select(F.spark_partition_id().cast("long").alias("part"), "conv_id", "role", "text")
     )
     folder = scratch_path(rows.sparkSession, "chat")
@@ -144,7 +148,9 @@ def read_digests(index: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Per conversation, from the stored ids and masks: turns, digests and counts."""
     places = index.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "file", "offset", "n_ids"))).alias("chunks"))
     first = F.col("chunks")[0]
-    dealt = places.repartitionByRange(first["file"], first["offset"]).sortWithinPartitions(first["file"], first["offset"])
+    # Five bytes for each id and its mask.
+    tasks = read_tasks(index.agg(F.sum(5 * F.col("n_ids"))).first()[0])
+    dealt = places.repartitionByRange(tasks, first["file"], first["offset"]).sortWithinPartitions(first["file"], first["offset"])
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
                         ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 

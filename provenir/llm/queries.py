@@ -61,9 +61,9 @@ WITH c AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, left(text, 200), sha256(text))) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, left(text, 200), sha256(text)), '')) AS loss_sha256,
   CAST(sum(length('<|im_start|><|im_end|>') + 2 + length(replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), '%', '%25'))
     + 2 * (length(role) - length(replace(role, chr(10), ''))) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
@@ -124,14 +124,15 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS point FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS HUGEINT)) AS point FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.point, c.point) AS BIGINT) AS score
+s AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.point, c.point), lambda p: p[1] * p[2])), 0) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.point) = len(q.point)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+SELECT query_id, rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5
 """
 
+
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
     # A deviation beyond 64 bits is null.
@@ -188,7 +189,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
-w AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
 f AS (SELECT w.part, CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
   || CASE WHEN 100 * list_unique(words) < 80 * len(words) THEN 'B' ELSE '' END
   || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END

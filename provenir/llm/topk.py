@@ -6,14 +6,16 @@ smallest id of its vectors. The largest inner product that a query can have in a
 box is the sum of the better corner in each dimension, so leaves are visited best
 bound first and left out once the bound is below the kth score found so far; a
 leaf whose bound equals it is visited only if it holds a smaller id. The kth score
-is handed on: a first round over each query's most promising shard gives every
-query a floor that all other shards start from.
+is handed on: a first round over one shard of its length gives every query a floor
+that all other shards start from.
 
 Queries go in blocks against all shards, one task for a block and a run of
-shards; only the best k of each run are shuffled. Scores are integers, so results
-do not depend on the order of additions.
+shards; only the best k of each run are shuffled. Scores are whole numbers and exact at
+any size: a block and a run of shards are worked on as doubles while no sum can pass
+2**53, as 64-bit integers up to 2**62, and as Python integers beyond.
 
-Results: a vector that is null, or has a null or non-finite component, takes no
+Results: a component beyond 64 bits counts as the nearest 64-bit number; scores are
+ranked exactly up to 38 digits, and one beyond 64 bits is given as the nearest; a vector that is null, or has a null or non-finite component, takes no
 part; vectors are compared with those of their own length; an empty vector scores
 0; equal scores go by smaller id; null ids take no part; rows that repeat an id
 are candidates of their own except for the query with that id, and of rows that
@@ -23,6 +25,7 @@ share a query's id the smallest vector asks; an empty table gives an empty resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -37,7 +40,9 @@ QUERY_ROWS = 512
 LEAF_ROWS = 128
 #: Runs of shards that a block of queries meets: at least so many, of about so many shards.
 RUNS, RUN_SHARDS = 8, 8
-FOUND = "block long, query_id long, vec_id long, score long"
+#: ``down`` is the score with its sign turned, so that the best come first.
+FOUND = "block long, query_id long, vec_id long, down decimal(38,0)"
+MOST = 10**38 - 1
 
 
 def whole_numbers(vector: Column, scale: float = 256.0) -> Column:
@@ -59,7 +64,7 @@ class Tree:
                 edges.append((a, z))
                 continue
             middle = (z - a) // 2
-            order[a:z] = order[a:z][np.argpartition(part[:, spread.argmax()], middle, kind="introselect")]
+            order[a:z] = order[a:z][np.argpartition(part[:, spread.argmax()].astype(np.float64), middle, kind="introselect")]
             todo += [(a, a + middle), (a + middle, z)]
         for a, z in edges:
             order[a:z] = order[a:z][np.argsort(ids[order[a:z]], kind="stable")]
@@ -73,14 +78,25 @@ class Tree:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
 
+def exact_type(queries: np.ndarray, points: list[np.ndarray]) -> np.dtype:
+    """The fastest type in which no inner product of whole numbers loses a digit."""
+    far = lambda a: max(int(a.max()), -int(a.min())) if a.size else 0
+    most = far(queries) * max(map(far, points), default=0) * max(1, queries.shape[1])
+    return np.dtype(np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object)
+
+
+#: Below every score of a type.
+LOWEST = {"f": -np.inf, "i": np.iinfo(np.int64).min, "O": -(10**60)}
+
+
 class Best:
     """The k best (score, id) of each query of a block, and the floors that leaves are held against."""
 
-    def __init__(self, query_ids: np.ndarray, k: int, floor: np.ndarray | None = None):
-        self.query_ids, self.k = query_ids, k
-        self.floor = np.full(len(query_ids), -np.inf) if floor is None else floor.copy()
+    def __init__(self, query_ids: np.ndarray, k: int, floor: np.ndarray | None = None, kind: np.dtype | type = np.float64):
+        self.query_ids, self.k, kind = query_ids, k, np.dtype(kind)
+        self.floor = np.full(len(query_ids), LOWEST[kind.kind], dtype=kind) if floor is None else floor.copy()
         self.last_id = np.full(len(query_ids), np.iinfo(np.int64).max)
-        self.q, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.q, self.score, self.id = np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, np.int64)
 
     def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         q, score, ids = np.concatenate([self.q, q]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
@@ -143,14 +159,14 @@ def _packed(rows: DataFrame, per: int, name: str) -> DataFrame:
     def packed(task, seq, dims, a):
         yield pa.RecordBatch.from_pylist([{
             name: (task << 32) + seq, "dims": dims, "ids": np.array(a[0], dtype=np.int64).tobytes(),
-            "points": np.array(a[1], dtype=np.float64).reshape(len(a[0]), dims).tobytes()}], schema=schema)
+            "points": np.array(a[1], dtype=np.int64).reshape(len(a[0]), dims).tobytes()}], schema=schema)
 
     return cut(rows.mapInArrow(run, f"{name} long, dims long, ids binary, points binary"), f"topk-{name}")
 
 
 def _unpacked(ids: bytes, points: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
     found = np.frombuffer(ids, dtype=np.int64)
-    return found, np.frombuffer(points, dtype=np.float64).reshape(len(found), dims)
+    return found, np.frombuffer(points, dtype=np.int64).reshape(len(found), dims)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -168,14 +184,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
                          F.col("ids").alias("row_ids"), F.col("points").alias("row_points"))
     home = runs.groupBy("dims").agg(F.min("shard").alias("shard")).join(runs, ["dims", "shard"])
     first = blocks.join(home, "dims").groupBy("block").applyInPandas(_search(k), FOUND)
-    floors = first.groupBy("block", "query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor")).groupBy("block").agg(
+    floors = first.groupBy("block", "query_id").agg(F.when(F.count("*") == k, F.max("down")).alias("floor")).groupBy("block").agg(
         F.map_from_entries(F.collect_list(F.struct("query_id", "floor"))).alias("floors"))
     ready = cut(blocks.join(floors, "block", "left"), "topk-ready")
     pairs = ready.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_runs - 1).cast("long")))).join(runs, ["dims", "run"])
     found = pairs.groupBy("block", "run").applyInPandas(_search(k), FOUND)
-    merged = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))).alias("all"))
+    merged = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("down", "vec_id"))).alias("all"))
+    low, high = (F.lit(v).cast("decimal(38,0)") for v in (1 - (1 << 63), 1 << 63))
+    down = F.least(F.greatest(F.col("col.down"), low), high)
     return merged.select("query_id", F.posexplode(F.slice("all", 1, k))).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.down")).alias("score"))
+        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-down).cast("long").alias("score"))
 
 
 def _search(k: int):
@@ -183,11 +201,19 @@ def _search(k: int):
         dims, block = int(frame["dims"].iloc[0]), int(frame["block"].iloc[0])
         qids, queries = _unpacked(frame["ids"].iloc[0], frame["points"].iloc[0], dims)
         floors = dict(frame["floors"].iloc[0] or {}) if "floors" in frame else {}
-        floor = np.array([-np.inf if (f := floors.get(q)) is None else f for q in qids.tolist()], dtype=np.float64)
-        best = Best(qids, k, floor)
-        trees = [Tree(*_unpacked(i, p, dims)) for i, p in zip(frame["row_ids"], frame["row_points"], strict=True)]
-        for tree in sorted(trees, key=lambda t: -t.bounds(queries).max(initial=-np.inf)):
+        shards = [_unpacked(i, p, dims) for i, p in zip(frame["row_ids"], frame["row_points"], strict=True)]
+        kind = exact_type(queries, [p for _, p in shards])
+        lowest = LOWEST[kind.kind]
+        # A floor is a score of another shard; where it has more digits than a type of this run, no score here reaches it.
+        reach = {"f": 1 << 53, "i": 1 << 62, "O": 10**60}[kind.kind]
+        known = [None if (f := floors.get(q)) is None else max(-reach, min(reach, -int(f))) for q in qids.tolist()]
+        floor = np.array([lowest if f is None else f for f in known], dtype=kind)
+        queries = queries.astype(kind)
+        best = Best(qids, k, floor, kind)
+        trees = [Tree(ids, points.astype(kind)) for ids, points in shards]
+        for tree in sorted(trees, key=lambda t: -max(t.bounds(queries).max(axis=None), lowest) if len(queries) else 0):
             best.visit(tree, queries)
-        return pd.DataFrame({"block": block, "query_id": qids[best.q], "vec_id": best.id, "score": best.score.astype(np.int64)})
+        down = [Decimal(max(-MOST, min(MOST, -int(s)))) for s in best.score.tolist()]
+        return pd.DataFrame({"block": block, "query_id": qids[best.q], "vec_id": best.id, "down": pd.Series(down, dtype=object)})
 
     return search

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.blobs import BlobWriter, RangeReader, coalesced
+from provenir.llm.blobs import BlobWriter, RangeReader, coalesced, read_tasks
 from provenir.llm.words import bounded_batches, slices
 from provenir.session import cut, scratch_path
 
@@ -121,7 +121,8 @@ def read_records(selected: DataFrame, columns: tuple[str, ...] = ("page_id", "ur
     """
     kinds = dict(c.split() for c in RECORDS.split(", "))
     schema = pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[kinds[c]]) for c in columns])
-    placed = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    tasks = read_tasks(selected.agg(F.sum("length")).first()[0])
+    placed = selected.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = RangeReader()

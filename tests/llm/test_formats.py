@@ -127,6 +127,26 @@ def test_chat_ties_beyond_a_prefix_go_by_text(spark):
     assert got == digests(rows)
 
 
+def test_chat_bounds_hold_no_whole_texts(spark):
+    """Long turns over many partitions: what the driver samples for range bounds is far below the texts; long ties go by digest."""
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    known = bpe.Vocabulary(spark, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    same = "b" * 300
+    rows = [(i % 40, i, "assistant", "a" * 6000 + f" {i}", 1) for i in range(400)] + [(50, 1, "user", same + f" {i}", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chunk int").repartition(6)
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = chat.format_conversations(df, known)
+        got = {r.conv_id: r.turns_sha256 for r in chat.read_digests(index, known).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    order = sorted((x for c, _, _, x, _ in rows if c == 50), key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    assert got[50] == hashlib.sha256("".join(f"user\n{x}\n" for x in order).encode()).hexdigest()
+    assert {c: h for c, h in got.items() if c != 50} == {c: d[1] for c, d in digests([r for r in rows if r[0] != 50]).items()}
+
+
 def test_mask_covers_the_text_alone():
     make = chat.Assembler(bpe.Encoder(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN))
     ids, mask = make.turn("assistant", "hello there", True)

@@ -296,6 +296,25 @@ def test_top_k(spark, shard):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+@pytest.mark.parametrize("size", [2.0**20, 2.0**24, 2.0**40, 1e30])
+@pytest.mark.parametrize("shard", [4096, 7])
+def test_top_k_of_large_components(spark, size, shard):
+    """Products beyond 53 bits, 64 bits and 38 digits: neighbours differ in their last digits."""
+    rng = random.Random(int(size))
+    rows = [(i, [size + rng.randrange(-3, 4) / 256, -size + rng.randrange(-3, 4) / 256, rng.randrange(-3, 4) * size]) for i in range(60)]
+    rows += [(i, [rng.random(), rng.random(), 0.0]) for i in range(60, 80)] + [(100, [0.0, 0.0, 0.0])]
+    least, most = -(2**63), 2**63 - 1
+    held = [(i, [min(max(math.floor(x * 256), least), most) for x in v]) for i, v in rows]
+    want = []
+    for q, own in held:
+        if q % 50 == 0:
+            scored = sorted((-min(max(sum(a * b for a, b in zip(own, v, strict=True)), -topk.MOST), topk.MOST), i) for i, v in held if i != q)[:5]
+            want += [(q, n + 1, i, min(max(-s, least), most)) for n, (s, i) in enumerate(scored)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard, query_rows=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_boxes_bound_the_scores():
     rng = np.random.default_rng(2)
     points, queries = rng.integers(-9, 9, (200, 5)).astype(float), rng.integers(-9, 9, (7, 5)).astype(float)
