@@ -127,6 +127,8 @@ class Best:
             return
         a, z = tree.edges[leaf]
         scores = queries[at] @ tree.points[a:z].T
+        if scores.dtype == object:
+            scores = np.clip(scores, -MOST, MOST)
         ids = tree.ids[a:z]
         good = (scores >= self.floor[at, None]) & (ids[None, :] != self.query_ids[at, None])
         good &= (scores > self.floor[at, None]) | (ids[None, :] <= self.last_id[at, None])
@@ -190,7 +192,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     pairs = ready.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_runs - 1).cast("long")))).join(runs, ["dims", "run"])
     found = pairs.groupBy("block", "run").applyInPandas(_search(k), FOUND)
     merged = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("down", "vec_id"))).alias("all"))
-    low, high = (F.lit(v).cast("decimal(38,0)") for v in (1 - (1 << 63), 1 << 63))
+    low, high = (F.lit(str(v)).cast("decimal(38,0)") for v in (1 - (1 << 63), 1 << 63))
     down = F.least(F.greatest(F.col("col.down"), low), high)
     return merged.select("query_id", F.posexplode(F.slice("all", 1, k))).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-down).cast("long").alias("score"))
