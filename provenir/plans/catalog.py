@@ -393,19 +393,33 @@ def gap_tracking(spark, d):
     )
 
 
-@query
-def gap_still_reproduced(spark, d):
-    """Findings tracked before the errors arrived: do they still hold with all events?"""
+def _tracked_without_errors(spark: SparkSession, d: str) -> tuple[Case, DataFrame]:
+    """The event case, and the findings that were tracked before its errors arrived."""
     from dataclasses import replace
 
     case = views.event_case(spark, d)
     quiet = replace(case, assertions=case.assertions.join(
         case.events.where("event_type = 'error'").select(F.col("id").alias("subject_event_id")), "subject_event_id", "left_anti"
     ))
-    tracked = cut(tracking.gap_rows(quiet, min_gap_seconds=GAP_SECONDS), "tracked")
+    return case, cut(tracking.gap_rows(quiet, min_gap_seconds=GAP_SECONDS), "tracked")
+
+
+@query
+def gap_still_reproduced(spark, d):
+    """Findings tracked before the errors arrived: do they still hold with all events?"""
+    case, tracked = _tracked_without_errors(spark, d)
     return tracking.still_reproduced(case, tracked).select("id", "absent_source", "present_source", "still_reproduced")
 
 
+@query
+def gap_parameter_sets(spark, d):
+    """The same findings under three parameter sets each: as found, twice as long, and three claims or more."""
+    case, tracked = _tracked_without_errors(spark, d)
+    sets = F.array(*[F.struct(F.lit(float(GAP_SECONDS * k)).alias("s"), F.lit(n).alias("n")) for k, n in ((1, 2), (2, 2), (1, 3))])
+    rows = tracked.withColumn("p", F.explode(sets)).withColumns({"min_gap_seconds": F.col("p.s"), "min_corroborating_events": F.col("p.n")})
+    return tracking.still_reproduced(case, rows.drop("p")).select("id", "min_gap_seconds", "min_corroborating_events", "still_reproduced")
+
+
 @query
 def contradiction_annotations(spark, d):
     """Annotate every tracked contradiction twice; the later note stands."""

@@ -421,6 +421,12 @@ _QUIET = _QUIET.replace("AND event_id % 5 = 0)", "AND event_id % 5 = 0) AND even
 ORACLES["gap_still_reproduced"] = f"""WITH {_points(_DAY2).strip()} {_MATCHED}, {_QUIET}
 SELECT {_GAP_ID} AS id, source AS absent_source, present AS present_source,
   {_GAP_ID} IN (SELECT {_GAP_ID} FROM findings) AS still_reproduced FROM q_findings"""
+ORACLES["gap_parameter_sets"] = f"""WITH {_points(_DAY2).strip()} {_MATCHED}, {_QUIET},
+fresh AS (SELECT {_GAP_ID} AS id, (gap_end - gap_start) / 1000000.0 AS seconds, n FROM findings),
+old AS (SELECT {_GAP_ID} AS id FROM q_findings),
+sets AS (SELECT unnest([{_DAY2}, {2 * _DAY2}, {_DAY2}])::DOUBLE AS g, unnest([2, 2, 3]) AS c)
+SELECT old.id, g AS min_gap_seconds, c AS min_corroborating_events,
+  EXISTS (SELECT 1 FROM fresh f WHERE f.id = old.id AND f.seconds >= g AND f.n >= c) AS still_reproduced FROM old, sets"""
 
 # --- graph ------------------------------------------------------------------------------------------------
 
