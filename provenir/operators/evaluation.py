@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provenir.operators import chains as counting
 from provenir.operators.lineage import shared_members
+from provenir.session import cut
 
 METHODS = ("path_count", "structure", "direct_refs", "root_evidence")
 # Fixture classes scored apart from the binary group.
@@ -141,16 +142,32 @@ def group_metrics(evaluated: DataFrame) -> DataFrame:
 def overlapping_pairs(members: DataFrame, member: str) -> DataFrame:
     """``query_id, n``: how many chain pairs of a query share a member.
 
-    Pairs are only formed where a member is shared; chains per query are at
-    most the path limit.
+    Chains with the same members are one class with a count. All chains that hold a
+    query's commonest member share it with each other, which is a number, not a list of
+    pairs; pairs of classes are only formed where one of the two lacks that member.
     """
-    left = members.select("query_id", member, F.col("chain_index").alias("i"))
-    right = members.select("query_id", member, F.col("chain_index").alias("j"))
-    return (
-        left.join(right, ["query_id", member]).where("i < j")
-        .select("query_id", "i", "j").distinct()
-        .groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    sets = members.groupBy("query_id", "chain_index").agg(F.sort_array(F.collect_set(member)).alias("held"))
+    classes = cut(
+        sets.groupBy("query_id", "held").agg(F.count(F.lit(1)).alias("size")).withColumn("class", F.sha2(F.to_json("held"), 256)), "classes"
+    )
+    each = classes.select("query_id", "class", "size", F.explode("held").alias("m"))
+    common = each.groupBy("query_id", "m").agg(F.sum("size").alias("c")).groupBy("query_id").agg(
+        F.max(F.struct("c", "m")).alias("top")
+    ).select("query_id", F.col("top.m").alias("top"), F.col("top.c").alias("c"))
+    each = each.join(common.select("query_id", "top"), "query_id")
+    pairs = F.col("size") * (F.col("size") - 1) / 2
+    in_top = common.select("query_id", (F.col("c") * (F.col("c") - 1) / 2).cast("bigint").alias("n"))
+    placed = cut(
+        classes.join(common.select("query_id", "top"), "query_id").select("query_id", "class", "size", F.array_contains("held", F.col("top")).alias("topped")), "placed"
     )
+    inside = placed.where("NOT topped").select("query_id", pairs.cast("bigint").alias("n"))
+    each = each.select("query_id", "class", "size", "m").join(placed.select("query_id", "class", "topped"), ["query_id", "class"])
+    left = each.where("NOT topped").select("query_id", "m", F.col("class").alias("a"), F.col("size").alias("size_a"))
+    right = each.select("query_id", "m", F.col("class").alias("b"), F.col("size").alias("size_b"), "topped")
+    between = left.join(right, ["query_id", "m"]).where("topped OR a < b").select("query_id", "a", "b", "size_a", "size_b").distinct()
+    across = between.select("query_id", (F.col("size_a") * F.col("size_b")).alias("n"))
+    total = in_top.unionByName(inside).unionByName(across).groupBy("query_id").agg(F.sum("n").alias("n"))
+    return total.where("n > 0")
 
 
 def pair_accounting(summary: DataFrame, roots: DataFrame, chains: DataFrame, overlap: DataFrame) -> DataFrame:

@@ -77,6 +77,22 @@ def test_published_pairs_and_discriminator(scored):
     assert (c.discriminator_count, c.correct_discriminator_count, c.root_evidence_error_count) == (6, 6, 0)
 
 
+def test_pairs_are_counted_over_classes(spark):
+    rng = random.Random(9)
+    rows = [(f"q{q}", c, f"m{m}") for q in range(12) for c in range(14) for m in rng.sample(range(9), rng.choice([1, 1, 2, 3])) if rng.random() < 0.8]
+    rows += [("all", c, m) for c in range(40) for m in ("common", f"own{c}")] + [("one", 0, "m"), ("two", 0, "a"), ("two", 1, "b")]
+    held = {}
+    for q, c, m in rows:
+        held.setdefault(q, {}).setdefault(c, set()).add(m)
+    want = {q: n for q, by in held.items() if (n := sum(bool(by[i] & by[j]) for i in by for j in by if i < j))}
+    frame = spark.createDataFrame(rows, "query_id string, chain_index long, ref string")
+    got = {r.query_id: r.n for r in evaluation.overlapping_pairs(frame, "ref").collect()}
+    assert got == want and got["all"] == 780
+    # Ten thousand chains on one root: a number, and no pair of classes.
+    many = spark.range(10_000).select(F.lit("q").alias("query_id"), F.col("id").alias("chain_index"), F.explode(F.array(F.lit("root"), F.concat(F.lit("own"), "id"))).alias("ref"))
+    assert [(r.query_id, r.n) for r in evaluation.overlapping_pairs(many, "ref").collect()] == [("q", 10_000 * 9_999 // 2)]
+
+
 def test_questions_and_answers(scored):
     key = {r.question_id: r.correct_answer for r in study.answer_key(scored["summary"], scored["roots"]).collect()}
     assert key["single-path-01-q-single"] == "indeterminate"
