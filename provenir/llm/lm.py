@@ -132,7 +132,7 @@ def write_blocks(docs: DataFrame, doc_id: str, text: str, trained: Column, block
 
 
 def count_words(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Training counts of all words (word, total, id; written), and each block's words with them (block, code, word, total, id)."""
+    """Training counts of all words (word, total, id; written), and each block's words (block, code, word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +144,28 @@ def count_words(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = blocks.select("block", "words", "counts").mapInArrow(run, "block long, code int, word binary, count long")
     summed = rows.groupBy("word").agg(F.sum("count").alias("total"))
     totals = cut(summed.withColumn("id", F.monotonically_increasing_id()), "lm-totals")
-    return totals, rows.drop("count").join(totals, "word")
+    return totals, rows.drop("count")
+
+
+def labelled(totals: DataFrame, core: dict[bytes, int], member: np.ndarray) -> DataFrame:
+    """Every word once, with the class of its unit and its half (word, total, id, class, half)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            classes = member[[unit_of(x, core) for x in words]] if words else np.zeros(0, np.int64)
+            halves = np.array([xxhash.xxh3_64_intdigest(x) >> 63 for x in words], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes.astype(np.int32)), pa.array(halves)], names=["word", "total", "id", "class", "half"])
+
+    return totals.select("word", "total", "id").mapInArrow(run, "word binary, total long, id long, class int, half int")
+
+
+def known_words(words: DataFrame) -> np.ndarray:
+    """Known words of each class; at most ``CLASSES`` rows reach the driver."""
+    kinds = np.zeros(CLASSES, np.int64)
+    for r in words.filter("total > 0").groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect():
+        kinds[r["class"]] = r.n
+    return kinds
 
 
 def core_words(totals: DataFrame) -> dict[bytes, int]:
@@ -258,7 +279,7 @@ class Model:
     def __init__(self, bigrams: np.ndarray, member: np.ndarray, core: dict[bytes, int], totals: DataFrame):
         self.member, self.core = member, core
         onehot = np.eye(CLASSES + 1)[member]
-        self.kinds_by_class = self._known_words(totals)
+        self.kinds_by_class = known_words(labelled(totals, core, member))
         self.fit(onehot.T @ bigrams @ onehot, self.kinds_by_class)
 
     def fit(self, pairs: np.ndarray, kinds: np.ndarray) -> None:
@@ -270,23 +291,6 @@ class Model:
         self.kinds = int(kinds.sum()) + (self.texts > 0)
         self.bottom = np.log10(size + 0.5 * (kinds + 1))
 
-    def _known_words(self, totals: DataFrame) -> np.ndarray:
-        """Known words of each class; CLASSES rows reach the driver."""
-        core, member = self.core, self.member
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kinds = np.zeros(CLASSES, np.int64)
-            for batch in batches:
-                if batch.num_rows:
-                    kinds += np.bincount(member[[unit_of(x, core) for x in batch.column(0).to_pylist()]], minlength=CLASSES)[:CLASSES]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(kinds)], names=["class", "kinds"])
-
-        rows = totals.filter("total > 0").select("word").mapInArrow(run, "class long, kinds long").groupBy("class").agg(F.sum("kinds").alias("kinds")).collect()
-        kinds = np.zeros(CLASSES, np.int64)
-        for r in rows:
-            kinds[r["class"]] = r["kinds"]
-        return kinds
-
     def score(self, block: Block, total: np.ndarray, member: np.ndarray) -> dict[str, np.ndarray]:
         """Of every text: tokens, known tokens, unigram base and class score. ``total`` and ``member``: of the block's words."""
         base = np.log10(total + 0.5) - np.log10(self.tokens + 0.5 * (self.kinds + 1))
@@ -531,24 +535,23 @@ def score_texts(docs: DataFrame, trained: Column, doc_id: str = "doc_id", text:
     bigrams = unit_bigrams(blocks, core)
     member = exchange(bigrams)
     model = Model(bigrams, member, core, totals)
+    words = labelled(totals, core, member)
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             found = np.zeros(batch.num_rows, LOOKED)
-            found["code"], found["total"] = batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            own = batch.column(2).to_pylist()
-            found["id"] = batch.column(4).to_numpy()
-            found["class"] = member[[unit_of(x, core) for x in own]]
-            found["half"] = [xxhash.xxh3_64_intdigest(x) >> 63 for x in own]
+            for at, name in enumerate(("code", "total", "id", "class", "half"), 1):
+                found[name] = batch.column(at).to_numpy()
             block = batch.column(0).to_numpy()
             order = np.argsort(block, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0]))
             parts = np.split(found[order], first[1:])
             yield pa.RecordBatch.from_arrays([pa.array(block[order][first]), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "found"])
 
-    looked = per_block.select("block", "code", "word", "total", "id").mapInArrow(classed, "block long, found binary")
+    # What is known of a word is found out once, before its blocks meet it.
+    looked = per_block.join(words, "word").select("block", "code", "total", "id", "class", "half").mapInArrow(classed, "block long, found binary")
     folder, tasks = scratch_path(docs.sparkSession, "lm-files"), blocks.count() // 2 + 1
     slim = blocks.select("block", "doc_ids", "trained", "lengths", "codes")
     state = cut(slim.groupBy("block").cogroup(looked.groupBy("block")).applyInPandas(lambda left, right: stored(left, right, folder), STATE), "lm-state")
