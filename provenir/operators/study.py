@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from provenir.functions.checks import first_problem
 from provenir.functions.hashing import hash_mod3, json_object, json_strings, json_text
 from provenir.functions.text import is_pairwise_question, neutral_label, strip
-from provenir.operators.components import running_totals
 from provenir.operators.digest import ordered_digest
 from provenir.operators.evaluation import ratio
 from provenir.operators.provenance import TREE_DIGITS, tree_hash
@@ -106,11 +105,41 @@ def validate_responses(
     return valid.drop("fields", "response_time_kind"), final.where("reason IS NOT NULL").select(*responses.columns, "reason")
 
 
+def _coarse(value: Column) -> Column:
+    """A number that does not fall as ``value`` rises: its sign, its number of bits and the six bits after the first."""
+    size = F.abs(value)
+    bits = F.length(F.bin(size))
+    lead = F.call_function("shiftright", size, F.greatest(bits - 7, F.lit(0))) % 64
+    return F.signum(value.cast("double")).cast("int") * F.when(size < 64, size).otherwise(bits * 64 + lead).cast("int")
+
+
+def exact_medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """``by, median``: the mean of the middle one or two whole numbers of each group.
+
+    Counts per coarse range tell which ranges hold the middle, and running counts are
+    taken inside those alone: windows see a few thousand ranges and the distinct numbers
+    of two of them, never a whole group.
+    """
+    v = F.col(value)
+    counted = rows.where(v.isNotNull()).groupBy(by, v.alias("v")).agg(F.count(F.lit(1)).alias("f"))
+    held = cut(counted.withColumn("range", _coarse(F.col("v"))), "times")
+    ahead = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = held.groupBy(by, "range").agg(F.sum("f").alias("n")).select(
+        by, "range", "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy(by)).alias("total")
+    )
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    holds = lambda rank, before, n: (F.col(before) <= rank) & (rank < F.col(before) + F.col(n))
+    middle = ranges.where(holds(low, "base", "n") | holds(high, "base", "n")).drop("n")
+    inside = Window.partitionBy(by, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = held.join(middle, [by, "range"]).withColumn("before", F.col("base") + F.coalesce(F.sum("f").over(inside), F.lit(0)))
+    found = lambda rank: F.max(F.when(holds(rank, "before", "f"), F.col("v")))
+    return ranked.groupBy(by).agg(((found(low) + found(high)) / 2).alias("median"))
+
+
 def condition_metrics(responses: DataFrame, *, expected_per_condition: int | None = None) -> DataFrame:
     """Descriptive metrics per condition; developer rows never count.
 
-    All three conditions are listed. The median is found by running counts over the
-    distinct times in range partitions, so no condition is gathered in one place.
+    All three conditions are listed.
     """
     spark = responses.sparkSession
     real = responses.where(~F.col("is_developer_validation"))
@@ -131,17 +160,7 @@ def condition_metrics(responses: DataFrame, *, expected_per_condition: int | Non
         ),
         ratio(F.count_if(F.col("answer") == "indeterminate"), n).alias("indeterminate_rate"),
     )
-    histogram = real.groupBy("condition", "response_time_ms").agg(F.count(F.lit(1)).alias("f"))
-    timed = histogram.where("response_time_ms IS NOT NULL")
-    ranked = cut(running_totals(timed, "condition", "response_time_ms", "f", "before"), "ranked")
-    totals = ranked.groupBy("condition").agg(F.sum("f").alias("total"))
-    # The middle one or two of the sorted times: each stands in the row whose ranks hold it.
-    holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("f"))
-    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    value = lambda rank: F.max(F.when(holds(rank), F.col("response_time_ms")))
-    medians = ranked.join(F.broadcast(totals), "condition").groupBy("condition").agg(
-        ((value(low) + value(high)) / 2).alias("median_response_time_ms")
-    )
+    medians = exact_medians(real, "condition", "response_time_ms").withColumnRenamed("median", "median_response_time_ms")
     listed = spark.createDataFrame([(i, c) for i, c in enumerate(CONDITIONS)], "position int, condition string")
     count = F.coalesce("response_count", F.lit(0))
     if expected_per_condition:

@@ -101,6 +101,15 @@ def test_questions_and_answers(scored):
     assert sum(q.startswith("path-count-deception-01") for q in key) == 28
 
 
+def test_exact_medians(spark):
+    rng = random.Random(12)
+    held = {f"g{g}": [rng.choice([1, -1]) * rng.randrange(2 ** rng.randrange(1, 45)) for _ in range(rng.randrange(1, 60))] for g in range(25)}
+    held |= {"one": [7], "two": [63, 64], "same": [5] * 40, "zero": [0, 0, 1], "wide": [-(2**62), 2**62]}
+    rows = [(g, v) for g, own in held.items() for v in own] + [("one", None), ("none", None)]
+    got = {r.g: r["median"] for r in study.exact_medians(spark.createDataFrame(rows, "g string, t long"), "g", "t").collect()}
+    assert got == {g: pytest.approx(median(own)) for g, own in held.items()}
+
+
 def test_condition_metrics(spark):
     rng = random.Random(4)
     rows = [(f"p{i}", "path_only" if i % 3 else "direct_evidence", f"c{i}", rng.choice(["q-1", "x-q-single"]),
