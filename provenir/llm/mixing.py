@@ -6,7 +6,9 @@ cumulative demand: how many of its words training has taken by then. A document
 stands at the time at which the demand reaches its place in its source's stream,
 so positions are the inverse of the cumulative demand, and sorting by range of
 position deals the documents out in training order. A source whose target is more
-than its words starts its stream again.
+than its words starts its stream again: its documents have a pass each round. Training
+takes the passes that have a position, and of the last one the words that the demand
+still reaches.
 
 Places in the streams are running sums in range partitions of (source, order
 key): each part is summed by itself and shifted by what stands before it, so a
@@ -16,7 +18,7 @@ of the document's id, so reruns agree.
 Results: a null text has no words and a null source is a source of its own, last
 in order; documents without words are never taken; rows that repeat are documents
 of their own; sources without words get no target; an empty table gives an empty
-result. Columns other than those named are kept.
+result. ``training_order`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ WORDS = r"[^\x20\x09-\x0D]+"
 CYCLE = (3, 1, 2)
 SHARE = (3, 2)
 MOST_TIMES = 2
+#: Weight over training time for the sources in turn, as (time, weight) points. Each integrates to 1,
+#: so over the whole training a source keeps the weight that ``CYCLE`` gives it.
+SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.5), (0.5, 1.5), (1.0, 0.5)))
 #: Sources up to which their targets (a row of some 60 bytes each) are broadcast.
 MAX_BROADCAST_SOURCES = 10_000
 
@@ -42,7 +47,7 @@ def word_count(text: str) -> Column:
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = CYCLE, share: tuple[int, int] = SHARE, most: int = MOST_TIMES) -> DataFrame:
-    """``sizes``: source, source_size, one row per source. Adds weight and target.
+    """``sizes``: source, source_size, one row per source. Adds turn (its place among the sources), weight and target.
 
     All targets together are ``share`` of all sizes; none is above ``most`` times its
     source; what is cut off goes to the others by weight, until none is above. The
@@ -66,7 +71,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = CYCLE, share: tuple[int,
     leveled = summed.withColumn("place_by_ratio", F.row_number().over(by_ratio)).withColumn("level", level)
     shared = F.col("weight") * F.col("level.col2") / F.col("level.open")
     return leveled.select(
-        "source", "source_size", "weight",
+        "source", "source_size", "weight", F.col("place").alias("turn"),
         F.when(F.col("level").isNull() | (F.col("place_by_ratio") < -F.col("level.col1")), F.col("limit").cast("double"))
         .otherwise(shared.cast("double")).alias("target"))
 
@@ -81,9 +86,10 @@ def streams(docs: DataFrame) -> DataFrame:
     """Narrow rows (doc_id, source, size, key) with ``place``: words of the same source before the document in its stream."""
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     keyed = docs.withColumn("order_key", order).withColumn("row", F.monotonically_increasing_id())
-    dealt = keyed.repartitionByRange("source", "order_key", "size", "row").select("*", F.spark_partition_id().alias("part"))
+    # Of rows with equal id and size those alike in all columns are left to the row number, which only splits them.
+    dealt = keyed.repartitionByRange("source", "order_key", "size", "key", "row").select("*", F.spark_partition_id().alias("part"))
     rows = cut(dealt, "mix-streams")
-    own = Window.partitionBy("part", "source").orderBy("order_key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("part", "source").orderBy("order_key", "size", "key", "row").rowsBetween(Window.unboundedPreceding, -1)
     # A part has few sources, and a source's parts are the rows of a small table.
     parts = rows.groupBy("part", "source").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,30 +99,10 @@ def streams(docs: DataFrame) -> DataFrame:
     return joined.select("r.doc_id", "r.source", "r.size", "r.key", (F.col("place") + F.col("ahead")).alias("place"))
 
 
-def taken_words(place: Column, size: Column, source_size: Column, target: Column) -> Column:
-    """Words taken of a document: all words of its source's whole rounds, then what the last round reaches."""
-    demand = F.round(target).cast("long")
-    rounds = F.when(source_size > 0, F.floor(demand / F.greatest(source_size, F.lit(1)))).otherwise(0).cast("long")
-    rest = demand - rounds * source_size
-    return rounds * size + F.greatest(F.lit(0), F.least(size, rest - place))
-
-
 def source_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.sum("size").alias("source_size"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = CYCLE,
-        share: tuple[int, int] = SHARE, most: int = MOST_TIMES) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, weight, place, key (``row_key``), taken."""
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), row_key(docs.columns).alias("key"))
-    rows = streams(sized)
-    goal = cut(targets(source_sizes(rows), weights, share, most), "mix-targets")
-    few = goal.count() <= MAX_BROADCAST_SOURCES
-    joined = rows.alias("r").join((F.broadcast(goal) if few else goal).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-    return joined.select("r.doc_id", "r.source", "r.size", "t.source_size", "t.target", "t.weight", "r.place", "r.key",
-                         taken_words(F.col("r.place"), F.col("r.size"), F.col("t.source_size"), F.col("t.target")).alias("taken"))
-
-
 def position(demanded: Column, target: Column, schedule: Sequence[tuple[float, float]] = ((0.0, 1.0), (1.0, 1.0))) -> Column:
     """Training time at which the cumulative demand of a source reaches ``demanded`` of its ``target`` words.
 
@@ -139,21 +125,63 @@ def position(demanded: Column, target: Column, schedule: Sequence[tuple[float, f
     return out
 
 
+def position_in_turn(demanded: Column, target: Column, turn: Column, schedules: Sequence[Sequence[tuple[float, float]]]) -> Column:
+    """``position`` under the schedule whose turn it is."""
+    at = position(demanded, target, schedules[0])
+    for n, points in enumerate(schedules[1:], 1):
+        at = F.when(turn % len(schedules) == n, position(demanded, target, points)).otherwise(at)
+    return at
+
+
+def source_passes(schedules: Sequence[Sequence[tuple[float, float]]]) -> Column:
+    """The passes of a document that training meets: start (words its source has given before), position, words taken.
+
+    ``targets`` ends a source at ``most`` times its words, so a document has at most that many passes, rounded up.
+    """
+    demand = F.round("target").cast("long")
+    rounds = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.ceil(demand / F.greatest("source_size", F.lit(1)))).otherwise(0)
+    starts = F.when(rounds > 0, F.transform(F.sequence(F.lit(0), rounds.cast("int") - 1), lambda k: k * F.col("source_size") + F.col("place")))
+    reached = F.filter(F.coalesce(starts, F.array().cast("array<long>")), lambda start: start < demand)
+    return F.transform(reached, lambda start: F.struct(
+        start.alias("start"),
+        position_in_turn(start, F.col("target"), F.col("turn"), schedules).alias("position"),
+        F.least(F.col("size"), demand - start).alias("words")))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = CYCLE,
+        share: tuple[int, int] = SHARE, most: int = MOST_TIMES, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, weight, place, key (``row_key``), passes,
+    taken (the words of its passes) and position (of its first pass; null without any)."""
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), row_key(docs.columns).alias("key"))
+    rows = streams(sized)
+    goal = cut(targets(source_sizes(rows), weights, share, most), "mix-targets")
+    few = goal.count() <= MAX_BROADCAST_SOURCES
+    joined = rows.alias("r").join((F.broadcast(goal) if few else goal).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
+    flat = joined.select("r.doc_id", "r.source", "r.size", "t.source_size", "t.target", "t.weight", "t.turn", "r.place", "r.key")
+    return flat.withColumn("passes", source_passes(schedules)).select(
+        "doc_id", "source", "size", "source_size", "target", "weight", "place", "key", "passes",
+        F.aggregate("passes", F.lit(0).cast("long"), lambda sum_, p: sum_ + p["words"]).alias("taken"),
+        F.try_element_at("passes", F.lit(1))["position"].alias("position"))
+
+
+def by_position(mixed: DataFrame) -> DataFrame:
+    """The documents of ``mix`` in the order in which training first meets them; those it never meets come first."""
+    return mixed.repartitionByRange("position", "key").sortWithinPartitions("position", "key")
+
+
 def training_order(docs: DataFrame, mixed: DataFrame, schedules: dict[str, Sequence[tuple[float, float]]] | None = None) -> DataFrame:
-    """Documents as training meets them: a row per document and round, range-sorted by position.
+    """Documents as training meets them: a row per document and pass, range-sorted by position.
 
-    ``mixed`` is ``mix(docs)`` of the same columns; ``schedules`` has the weight points of sources whose weight
-    changes over time. Only whole documents are passed on: a round that reaches less than
-    half of one leaves it out.
+    ``mixed`` is ``mix(docs)`` of the same columns; ``schedules`` has the weight points of sources that take others
+    than those in turn. Only whole documents are passed on: a pass that reaches less than
+    half of one leaves it out. Rows alike in all columns share a key, and each has its own passes.
     """
-    passes = mixed.filter("size > 0").withColumn("rounds", F.round(F.col("taken") / F.col("size")).cast("int")).filter("rounds > 0")
-    each = passes.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
-    demanded = F.col("pass") * F.col("source_size") + F.col("place")
-    at = position(demanded, F.col("target"))
+    each = mixed.select("source", "target", "key", F.explode("passes").alias("pass"), "size").filter("2 * pass.words >= size")
+    at = F.col("pass.position")
     for name, points in (schedules or {}).items():
-        at = F.when(F.col("source").eqNullSafe(F.lit(name)), position(demanded, F.col("target"), points)).otherwise(at)
+        at = F.when(F.col("source").eqNullSafe(F.lit(name)), position(F.col("pass.start"), F.col("target"), points)).otherwise(at)
     placed = each.select(F.col("key").alias("mix_key"), at.alias("mix_position"))
-    # Rows that repeat are alike in all columns; each of their passes is a row of ``placed``.
-    texts = docs.withColumn("mix_key", row_key(docs.columns)).dropDuplicates(["mix_key"])
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    texts = docs.select(row_key(docs.columns).alias("mix_key"), F.struct(*columns).alias("mix_row")).dropDuplicates(["mix_key"])
     joined = texts.join(placed, "mix_key")
-    return joined.repartitionByRange("mix_position", "mix_key").sortWithinPartitions("mix_position", "mix_key").drop("mix_key", "mix_position")
+    return joined.repartitionByRange("mix_position", "mix_key").sortWithinPartitions("mix_position", "mix_key").select("mix_row.*")

@@ -78,7 +78,7 @@ def op4_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.by_position(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 OP5_SQL = r"""
@@ -90,14 +90,20 @@ r AS (SELECT *, row_number() OVER o AS n, sum(source_size) OVER () * 1.5::DOUBLE
     sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS open FROM w
     WINDOW o AS (ORDER BY lim::DOUBLE / weight, place), b AS (ORDER BY lim::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT min(n) AS n FROM r WHERE lim * open > remaining * weight),
-t AS (SELECT r.source, CAST(r.source_size AS BIGINT) AS source_size, CASE WHEN f.n IS NULL OR r.n < f.n THEN CAST(r.lim AS DOUBLE)
+t AS (SELECT r.source, r.place AS turn, CAST(r.source_size AS BIGINT) AS source_size, CASE WHEN f.n IS NULL OR r.n < f.n THEN CAST(r.lim AS DOUBLE)
     ELSE r.weight * l.remaining / l.open END AS target FROM r CROSS JOIN f LEFT JOIN r l ON l.n = f.n),
-c AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS demand,
+c AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.turn, CAST(round(t.target) AS BIGINT) AS demand,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, least(1::DOUBLE, before::DOUBLE / greatest(target, 1::DOUBLE)) AS x FROM c)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size > 0 THEN demand // source_size ELSE 0 END * size
-  + greatest(0, least(size, demand - CASE WHEN source_size > 0 THEN demand // source_size ELSE 0 END * source_size - before)) AS BIGINT) AS taken
-FROM c
+  + greatest(0, least(size, demand - CASE WHEN source_size > 0 THEN demand // source_size ELSE 0 END * source_size - before)) AS BIGINT) AS taken,
+  CASE WHEN size > 0 AND before < demand THEN CASE
+    WHEN turn % 3 = 0 THEN 2 * x / (1.5::DOUBLE + sqrt(greatest(0::DOUBLE, 2.25::DOUBLE - 2 * x)))
+    WHEN turn % 3 = 1 THEN 2 * x / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * x))
+    WHEN x < 0.5 THEN 2 * x / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 4 * x))
+    ELSE 0.5::DOUBLE + 2 * (x - 0.5::DOUBLE) / (1.5::DOUBLE + sqrt(greatest(0::DOUBLE, 2.25::DOUBLE - 4 * (x - 0.5::DOUBLE)))) END END AS position
+FROM g
 """
 
 

@@ -181,6 +181,43 @@ def test_training_order(spark):
     assert out.columns == docs.columns
 
 
+def test_mix_takes_the_passes_that_have_a_position(spark):
+    """A plain walk through each source's stream, its positions found by halving the integrated schedule."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(["w"] * rng.randrange(9)), "s" if i % 3 else rng.choice(["t", "u", None])) for i in range(120)]
+    mixed = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    got = {r.doc_id: r for r in mixed.collect()}
+    areas = [lambda t: 1.5 * t - t * t / 2, lambda t: 0.5 * t + t * t / 2, lambda t: 0.5 * t + t * t if t < 0.5 else 0.5 + 1.5 * (t - 0.5) - (t - 0.5) ** 2]
+    for turn, source in enumerate(["s", "t", "u", None]):
+        stream = sorted((d for d in docs if d[2] == source), key=lambda d: hashlib.md5(str(d[0]).encode()).hexdigest())
+        demand, given, taken, first = round(got[stream[0][0]].target), 0, Counter(), {}
+        while given < demand:
+            for i, text, _ in stream:
+                size = len(text.split())
+                if size and given < demand:
+                    low, high = 0.0, 1.0
+                    for _ in range(60):
+                        middle = (low + high) / 2
+                        low, high = (middle, high) if areas[turn % 3](middle) < given / got[i].target else (low, middle)
+                    first.setdefault(i, high)
+                    taken[i] += min(size, demand - given)
+                given += size
+        for i, _, _ in stream:
+            assert got[i].taken == taken[i] and (got[i].position is None) == (i not in first)
+            assert i not in first or abs(got[i].position - first[i]) < 1e-9
+    order = [r.position for r in mixing.by_position(mixed).collect()]
+    assert order == sorted(order, key=lambda p: -1 if p is None else p)
+
+
+def test_training_order_keeps_clashing_columns(spark):
+    rows = [(1, "a b c", "s", "k", 0.5, "r"), (1, "a b c", "s", "k", 0.5, "r"), (1, "a b d", "s", None, 0.5, "r"), (2, None, None, "k", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_key string, mix_position double, mix_row string")
+    out = mixing.training_order(docs, mixing.mix(docs))
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == set(rows[:3])
+    other = mixing.training_order(docs.repartition(3), mixing.mix(docs.repartition(3)))
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, other.collect()))
+
+
 def test_fingerprints_of_edited_texts(spark):
     rows = sorted(((r[0], r[1] or "") for r in documents()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     for parts in ("1", "3", "40"):
