@@ -4,18 +4,20 @@ A lexicon of words and word beginnings is learned from labelled texts: those tha
 occur in many more toxic texts than others, by a smoothed log-odds ratio. The
 trees read densities of lexicon words, how often a second-person pronoun stands
 near one, capitals, punctuation and disguised spellings, and never the labels,
-language, source or id of a text. Labelled rows are dealt by a digest of their id
-into three folds. A labelled row is measured with a lexicon learned on the other
+language, source or id of a text. The labelled rows of each label are dealt in the
+order of a digest of their id into three folds. A labelled row is measured with a lexicon learned on the other
 two folds, the trees are fitted on two of the folds so measured and the calibration
 on the third; other rows are measured with the lexicon of all three.
 
-``FIT_ROWS`` bounds the labelled rows used for fitting: beyond it a share of them
-is taken by digest. Scoring covers every row and the whole text.
+``FIT_ROWS`` bounds the labelled rows used for fitting: beyond it shares of them are
+taken by digest, per label, so that the rarer label has up to half of the places, and
+weights restore the labels' rate. Scoring covers every row and the whole text.
 
 Results: a null text is an empty text and is scored; labels that are null or have
 no id are left out, and of an id's labels the highest counts; a null id is not
-held out; rows that repeat get equal scores; where either label is missing from a
-fold, every score is the labelled rows' rate of label 1 (0 without labels); an
+held out; rows that repeat get equal scores; where a label has fewer rows than there
+are folds, all rows fit lexicon and trees and the trees' probability is the score; where
+no row has one of the labels, every score is the rate of label 1 (0 without labels); an
 empty table gives an empty result. Other columns are kept, whatever their names.
 """
 
@@ -30,7 +32,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.llm.toxic_features import FEATURES, bare, measures, terms
@@ -97,13 +99,26 @@ def learn_lexicons(labelled: DataFrame, most: int = LEXICON_TERMS) -> list[dict[
 
 
 def fit_rows(labels: DataFrame, trained: Column, doc_id: str = "doc_id", label: str = "toxic", most: int = FIT_ROWS) -> DataFrame:
-    """doc_id, toxic and fold (0 to 2) of at most about ``most`` of the labelled rows that may be trained on."""
+    """fit_id, toxic, fold (0 to 2) and weight of at most about ``most`` of the labelled rows that may be trained on.
+
+    The rarer label keeps up to half of ``most``, the other what is left; a row's weight is the number of
+    labelled rows that it stands for.
+    """
     known = labels.select(F.col(doc_id).alias("fit_id"), F.col(label).cast("int").alias("toxic")).filter("fit_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.withColumn("trained", trained_on(trained, "fit_id")).filter("trained").groupBy("fit_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, most / max(1, known.count()))
+    found = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    rare = min(found, key=lambda y: (found[y], y), default=None)
+    places = {y: max(most // 2, most - sum(n for x, n in found.items() if x != y)) for y in found}
+    places = {y: min(found[y], places[y] if y == rare else most - min(found[rare], places[rare])) for y in found}
     digest = F.md5(F.col("fit_id").cast("string"))
     place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return known.filter(place < share).withColumn("fold", (F.conv(F.substring(digest, 9, 8), 16, 10).cast("long") % FOLDS).cast("int"))
+    share = F.lit(0.0)
+    for y, n in found.items():
+        share = F.when(F.col("toxic") == y, places[y] / n).otherwise(share)
+    # At most about ``most`` rows are left for the window.
+    dealt = Window.partitionBy("toxic").orderBy(F.substring(digest, 9, 24), "fit_id")
+    return known.withColumn("share", share).filter(place < F.col("share")).select(
+        "fit_id", "toxic", ((F.row_number().over(dealt) - 1) % FOLDS).cast("int").alias("fold"), F.try_divide(F.lit(1.0), F.col("share")).alias("weight"))
 
 
 def trained_on(rule: Column | None, name: str) -> Column:
@@ -146,21 +161,29 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column | None = None, doc_i
         most: int = FIT_ROWS, rounds: int = 20, depth: int = 3) -> Model:
     """Learns from the labelled rows of ``docs`` whose id is trained on."""
     rows = fit_rows(labels, trained, most=most)
-    # At most about ``most`` rows of (id, label, fold): a few hundred kB.
+    # At most about ``most`` rows of (id, label, fold, weight): a few hundred kB.
     fitted = cut(docs.select(F.col(doc_id).alias("fit_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-                 .join(F.broadcast(rows), "fit_id").select("text", "toxic", "fold"), "toxicity-fit")
-    found = {(r.fold, r.toxic): r["count"] for r in fitted.groupBy("fold", "toxic").count().collect()}
+                 .join(F.broadcast(rows), "fit_id").select("text", "toxic", "fold", "weight"), "toxicity-fit")
+    found = {(r.fold, r.toxic): r.weight for r in fitted.groupBy("fold", "toxic").agg(F.sum("weight").alias("weight")).collect()}
     total = sum(found.values())
     rate = sum(n for (_, y), n in found.items() if y == 1) / total if total else 0.0
-    if any(not found.get((fold, y)) for fold in range(FOLDS) for y in (0, 1)):
+    if not 0 < rate < 1:
+        release(fitted)
         return Model(rate)
+    # With too few rows of a label for a part of its own in each fold, all rows fit everything.
+    whole = any((fold, y) not in found for fold in range(FOLDS) for y in (0, 1))
     lexicons = learn_lexicons(fitted)
-    taken = cut(fitted.select("toxic", "fold", measured(lexicons)("text", "fold").alias("measures")), "toxicity-measures")
-    parts = taken.coalesce(4).select(F.col("toxic").cast("double").alias("label"), "fold", *[F.col("measures")[i].alias(f"m_{i}") for i in range(len(FEATURES))])
-    vectors = VectorAssembler(inputCols=[f"m_{i}" for i in range(len(FEATURES))], outputCol="m_all").transform(parts).select("label", "fold", "m_all")
-    trees = GBTClassifier(featuresCol="m_all", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, maxBins=64, seed=7).fit(vectors.filter("fold > 0"))
-    held = trees.transform(vectors.filter("fold = 0")).select("label", vector_to_array("probability")[1].alias("raw_score"))
-    steps = IsotonicRegression(featuresCol="raw_score", labelCol="label").fit(held)
+    lexicon_of = F.lit(FOLDS) if whole else F.col("fold")
+    taken = cut(fitted.select("toxic", "fold", "weight", measured(lexicons)("text", lexicon_of).alias("measures")), "toxicity-measures")
+    parts = taken.coalesce(4).select(F.col("toxic").cast("double").alias("label"), "fold", "weight", *[F.col("measures")[i].alias(f"m_{i}") for i in range(len(FEATURES))])
+    vectors = VectorAssembler(inputCols=[f"m_{i}" for i in range(len(FEATURES))], outputCol="m_all").transform(parts).select("label", "fold", "weight", "m_all")
+    learner = GBTClassifier(featuresCol="m_all", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.3, maxBins=64, seed=7)
+    trees = learner.fit(vectors if whole else vectors.filter("fold > 0"))
+    if whole:
+        release(fitted, taken)
+        return Model(rate, lexicons[-1], trees, ([0.0, 1.0], [0.0, 1.0]))
+    held = trees.transform(vectors.filter("fold = 0")).select("label", "weight", vector_to_array("probability")[1].alias("raw_score"))
+    steps = IsotonicRegression(featuresCol="raw_score", labelCol="label", weightCol="weight").fit(held)
     release(fitted, taken)
     return Model(rate, lexicons[-1], trees, thinned(list(steps.boundaries), list(steps.predictions)))
 

@@ -296,6 +296,49 @@ def test_toxicity_without_labels(spark):
     assert toxicity.classify(frame(spark, []), none).collect() == []
 
 
+def test_few_labels_still_fit_trees(spark):
+    """A label that would miss a fold by chance does not; with two rows of a label all rows fit everything."""
+    rows = toxic_rows(600)
+    docs = frame(spark, rows)
+    trained = [r for r in rows if fold(r[0], 4) != 2]
+    few = [r for r in trained if r[6]][:8] + [r for r in trained if not r[6]][:52]
+    got = toxicity.classify(docs, spark.createDataFrame([(r[0], r[6]) for r in few], "doc_id long, toxic int")).collect()
+    assert sum(r.predicted == r.label for r in got) >= 0.9 * len(got)
+    four = [r for r in trained if r[6]][:2] + [r for r in trained if not r[6]][:2]
+    got = toxicity.classify(docs, spark.createDataFrame([(r[0], r[6]) for r in four], "doc_id long, toxic int")).collect()
+    assert 0 < sum(r.predicted for r in got) < len(got) and all(0 <= r.score <= 1 for r in got)
+    one = toxicity.classify(docs, spark.createDataFrame([(r[0], 0) for r in few], "doc_id long, toxic int")).collect()
+    assert {r.score for r in one} == {0.0}
+
+
+def test_fit_rows_keep_the_rarer_label(spark):
+    """Beyond the bound the rarer label is kept first; weights restore the rate; every fold has both labels."""
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(20_000)], "doc_id long, toxic int")
+    for most, rare in [(1000, None), (100, 50)]:
+        got = toxicity.fit_rows(labels, F.lit(True), most=most).collect()
+        toxic = [r for r in got if r.toxic]
+        assert len(toxic) == 200 if rare is None else abs(len(toxic) - rare) < 30
+        assert abs(len(got) - most) < 5 * most**0.5 + 30
+        assert abs(sum(r.weight for r in toxic) / sum(r.weight for r in got) - 0.01) < 0.005
+        assert {(r.toxic, r.fold) for r in got} == {(y, k) for y in (0, 1) for k in range(3)}
+    every = toxicity.fit_rows(labels, F.lit(True), most=10**6)
+    assert every.count() == 20_000 and every.filter("weight <> 1").count() == 0
+    assert toxicity.fit_rows(labels.limit(0), F.lit(True)).collect() == []
+
+
+def test_held_out_accuracy(spark, sf_dir):
+    """On the next larger tables: the smallest hold out two toxic texts."""
+    from provenir.llm.queries import op9_toxicity
+
+    sf_dir = f"{sf_dir.rsplit('/', 1)[0]}/sf0.01"
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    got = [r for r in op9_toxicity(spark, sf_dir).collect() if r.held_out and marks.get(r.doc_id) is not None]
+    one, other = ([r.score for r in got if marks[r.doc_id] == y] for y in (1, 0))
+    assert one and other
+    above = sum((a > b) + (a == b) / 2 for a in one for b in other) / (len(one) * len(other))
+    assert above > 0.8, above
+
+
 def test_disguised_words_are_hits():
     lexicon = {b"=idiot": 3.0, b"^idio": 2.0}
     plain, hidden, clean = (toxic_features.measures(t, lexicon, {}) for t in ("you idiot", "you 1d!ot###", "you there"))
