@@ -10,7 +10,11 @@ are confirmed on their full sets, and a confirmed pair is a link. A pair is left
 out only where links found before already connect it. The links connect nodes to
 the final components in the same way.
 
-A group of more than ``TILE`` nodes is cut into slots of about that many, and every
+A group of more than ``TILE`` nodes is first taken apart: texts on one template share
+a bucket now and then, and such chance meetings join many of them. Two sets that link
+share one of their first n / 4 + 1 shingles in any common order of shingles, and rare
+ones come first here, so template passages bring nobody together. What still is above
+``TILE`` is cut into slots of about that many, and every
 two slots meet in a task of their own, so no task holds more than two slots; from a
 task come only the links of a spanning forest.
 
@@ -42,6 +46,8 @@ BANDS, ROWS = 50, 5
 #: Share of equal minima below which a pair is not confirmed: six standard deviations under 0.75.
 SCREEN = 0.58
 TILE = 256
+#: Counters (a power of two) of shingles per group: they order the shingles, so that meeting in one only weakens the order.
+COUNTERS = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 #: The universal hashes x -> (a * x + b) mod 2**32, a odd.
@@ -164,6 +170,61 @@ def _confirm(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [nodes[i] for i, _ in pairs], "b": [nodes[j] for _, j in pairs]}, dtype="int64")
 
 
+def _counters(group: int, shingles: np.ndarray) -> np.ndarray:
+    """The counter of each shingle in its group."""
+    salt = mixed(np.array([group], dtype=np.int64).view(np.uint64) + np.uint64(1))
+    return (mixed(shingles ^ salt) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets of (group, shingles) hold a shingle of each counter: ``COUNTERS`` numbers, however many sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for group, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                np.add.at(held, _counters(group, np.frombuffer(shingles, dtype=np.uint64)), 1)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[some], pa.int64())], names=["counter", "n"])
+
+    found = sets.select("group", "shingles").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def first_shingles(group: int, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set: as many as a set that links with it cannot all lack."""
+    most = len(shingles) - -(-PERCENT * len(shingles) // 100) + 1
+    return shingles[np.lexsort((shingles, counts[_counters(group, shingles)]))[:most]]
+
+
+def taken_apart(sets: DataFrame) -> DataFrame:
+    """``sets`` (group, node, slots, shingles, signature) by groups of nodes that first shingles connect; nodes that meet nobody are left out."""
+    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, nodes, sets_ = (batch.column(i).to_pylist() for i in range(3))
+            if not nodes:
+                continue
+            first = [first_shingles(g, np.frombuffer(s, dtype=np.uint64), counts.value).view(np.int64) for g, s in zip(groups, sets_, strict=True)]
+            sizes = [len(f) for f in first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.array(groups, np.int64), sizes)), pa.array(np.repeat(np.array(nodes, np.int64), sizes)), pa.array(np.concatenate(first))],
+                names=["group", "node", "shingle"])
+
+    entries = cut(sets.select("group", "node", "shingles").mapInArrow(run, "group long, node long, shingle long"), "minhash-first")
+    shared = entries.groupBy("group", "shingle").agg(F.min("node").alias("center"), F.max("node").alias("other")).filter("other > center").drop("other")
+    stars = entries.join(shared, ["group", "shingle"]).filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    apart = cut(components(stars), "minhash-apart")
+    sizes = apart.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("slots"))
+    placed = apart.join(sizes, "component").select("node", F.col("component").alias("group"), "slots")
+    out = cut(sets.select("node", "shingles", "signature").join(placed, "node").select("group", "node", "slots", "shingles", "signature"), "minhash-regrouped")
+    release(entries, apart)
+    return out
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_key (digest of the text) of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -186,6 +247,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = groups.join(sizes, "component").join(named, "node").select("node", F.col("component").alias("group"), "slots", "own_id", "own_key")
     members = cut(members, "minhash-members")
     sets = cut(_with_sets(rows.join(members, (F.col("doc_id") == F.col("own_id")) & (F.col("text_key") == F.col("own_key")))), "minhash-sets")
+    held = [sets]
+    if not sizes.filter("slots > 1").isEmpty():
+        held.append(taken_apart(sets.filter("slots > 1")))
+        sets = sets.filter("slots = 1").unionByName(held[1])
     slot = F.pmod(F.xxhash64("node"), F.col("slots")).cast("int")
     # Slot s meets every slot: the tile of (low, high) gets the nodes of both.
     tiles = sets.withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
@@ -196,7 +261,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = ends.groupBy("component").agg(F.min("own_id").alias("component_id"))
     found = ends.join(least, "component").select("node", "component_id")
     by_set = cut(nodes.join(found, "node", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id")), "minhash-found")
-    release(groups, sizes, members, sets, links, linked, nodes)
+    release(groups, sizes, members, *held, links, linked, nodes)
     out = keys.join(by_set, "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_key")
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), "text_key")

@@ -99,6 +99,41 @@ def test_near_duplicates_chains_and_tiles(spark, tile, monkeypatch):
     assert got == components(rows)
 
 
+def test_texts_on_one_template_are_taken_apart(spark, monkeypatch):
+    """Sets of resemblance 0.33 meet in buckets by chance and form large groups; their first shingles part them."""
+    monkeypatch.setattr(minhash, "TILE", 32)
+    seen, plain = [], minhash.taken_apart
+
+    def spy(sets):
+        out = plain(sets)
+        seen.append((sets.count(), out.count(), out.agg({"slots": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(minhash, "taken_apart", spy)
+    rng = random.Random(12)
+    template = sentence(rng, 84, 10**6)
+    rows = [(i, f"{template} {sentence(rng, 80, 10**6)}") for i in range(300)]
+    for i in range(300, 320):
+        w = rows[i - 300][1].split()
+        w[150] = "changed"
+        rows.append((i, " ".join(w)))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == components(rows) and sum(k[3] for k in got) == 300
+    (before, after, slots), = seen
+    assert before > 200 and after <= 40 and slots == 1
+
+
+def test_linked_sets_share_a_first_shingle():
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 40), 400]:
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for cut_at in range(len(a)):
+            b = np.unique(np.concatenate([a[cut_at:], rng.integers(0, 1 << 63, rng.integers(0, 4), dtype=np.uint64)]))
+            if len(b) and minhash.alike(a, b):
+                counts = rng.integers(0, 3, minhash.COUNTERS)
+                assert np.intersect1d(minhash.first_shingles(9, a, counts), minhash.first_shingles(9, b, counts)).size
+
+
 def test_stars(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(5, 5), (7, 6), (6, 7)]
