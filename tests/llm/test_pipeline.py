@@ -109,4 +109,4 @@ def test_run_and_registration(spark, sf_dir):
 
     assert entry.queries()["pipeline"](spark, sf_dir).count() > 0
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
