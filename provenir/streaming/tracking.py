@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from provenir.operators.merge import fresh_rows
@@ -39,13 +40,13 @@ def start_tracking(
             return
         with scratch_scope(session):
             known = store.read(before=batch_id)
-            batch = cut(batch, "batch")
-            fresh = fresh_rows(known["assertions"], batch.selectExpr("*", "0 AS seq"))
-            touched = batch.select("subject_event_id").distinct()
-            about = known["assertions"].join(touched, "subject_event_id", "left_semi").unionByName(fresh)
-            found = contradiction_rows(cut(about, "touched"))
-            new = fresh_rows(known["tracked"], found.selectExpr("*", "0 AS seq"))
-            store.append(batch_id, {"assertions": fresh, "tracked": new})
+            fresh = fresh_rows(known["assertions"], batch.selectExpr("*", "0 AS seq")).withColumn("fresh", F.lit(True))
+            fresh = cut(fresh, "fresh")
+            touched = fresh.select("subject_event_id").distinct()
+            before = known["assertions"].join(touched, "subject_event_id", "left_semi").withColumn("fresh", F.lit(False))
+            # Pairs of claims that were there before are tracked; one with a fresh claim cannot be.
+            found = contradiction_rows(before.unionByName(fresh), "fresh")
+            store.append(batch_id, {"assertions": fresh.drop("fresh"), "tracked": found})
             store.compact(compact_after)
 
     reader = spark.readStream.schema(ASSERTIONS)
