@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.checks import require_positive
-from provenir.operators.skew import MAX_BROADCAST_KEYS
+from provenir.operators.skew import MAX_BROADCAST_KEYS, hot_keys
 from provenir.session import cut, cut_counted, cut_observed, release
 
+# Links of one node above which they are not dealt by it. At most as many nodes have them as
+# the graph has links / HOT_LINKS, so their rows are few.
+HOT_LINKS = 100_000
+
 
 @dataclass(frozen=True)
 class Components:
@@ -51,14 +55,19 @@ def labels(edges: DataFrame) -> DataFrame:
 
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the least of the node and its neighbours."""
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("v > u")
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    # A star's center is in very many links: those meet its one row by broadcast, not in one task.
+    hot = hot_keys(pairs.select(F.col("v").alias("u")), ["u"], HOT_LINKS)
+    if hot is None:
+        met = both.join(least, "u", "left")
+    else:
+        centers = F.broadcast(least.join(hot, "u", "left_semi"))
+        met = both.join(hot, "u", "left_anti").join(least, "u", "left").unionByName(
+            both.join(hot, "u", "left_semi").join(centers, "u", "left")
+        )
     # A node without a smaller neighbour is its own least; its links stay as they are.
-    return (
-        both.where("v > u").join(least, "u", "left")
-        .select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
-        .distinct()
-    )
+    return met.select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:

@@ -265,3 +265,18 @@ def test_running_totals(spark):
         want[k, t] = sums[k]
         sums[k] += w
     assert {(r.k, r.t): r.before for r in components.running_totals(df, "k", "t", "w", "before").collect()} == want
+
+
+def test_star_centers_meet_their_least_by_broadcast(spark, monkeypatch):
+    edges = [(f"r{i}", "a" if i % 3 else "b", f"n{i:02}") for i in range(40)] + [("x", "b", "n01"), ("y", "p", "q"), ("z", "n00", "q")]
+    whole = {(r.node, r.component) for r in components.labels(_pairs(spark, edges)).collect()}
+    found, real = [], components.hot_keys
+    monkeypatch.setattr(components, "HOT_LINKS", 3)
+    monkeypatch.setattr(components, "hot_keys", lambda *a: (found.append(out := real(*a)), out)[1])
+    assert {(r.node, r.component) for r in components.labels(_pairs(spark, edges)).collect()} == whole
+    assert whole == {(n, "a") for n in ["a", "b", "p", "q", *[f"n{i:02}" for i in range(40)]]}
+    assert any(h is not None for h in found)
+
+
+def _pairs(spark, edges):
+    return spark.createDataFrame([(a, b) for _, a, b in edges], "a string, b string")
