@@ -48,6 +48,8 @@ SCREEN = 0.58
 TILE = 256
 #: Counters (a power of two) of shingles per group: they order the shingles, so that meeting in one only weakens the order.
 COUNTERS = 1 << 20
+#: 64-bit words of the bits that tell which ids may be members (4 MB, whatever the input): ids that share a bit only move a text in vain.
+BIT_WORDS = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 #: The universal hashes x -> (a * x + b) mod 2**32, a odd.
@@ -111,6 +113,30 @@ def sketched(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id long, text_key string, n_shingles long, set_key binary, buckets array<bigint>")
 
 
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """``BIT_WORDS`` words in which the bit of every doc_id of ``ids`` is set."""
+    at = F.xxhash64("doc_id")
+    words = ids.groupBy(F.shiftrightunsigned(at, 6).bitwiseAND(BIT_WORDS - 1).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(xxhash64(doc_id) & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(BIT_WORDS, dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def with_id_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ``ids``, and a few others: few texts go into the join that follows."""
+    bits = rows.sparkSession.sparkContext.broadcast(id_bits(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
+            word = bits.value[(at >> np.uint64(6)) & np.uint64(BIT_WORDS - 1)]
+            yield batch.filter(pa.array(((word >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)))
+
+    dealt = rows.withColumn("_at", F.xxhash64("doc_id"))
+    return dealt.mapInArrow(run, dealt.schema).drop("_at")
+
+
 def _with_sets(rows: DataFrame) -> DataFrame:
     """(group, node, text, tiles) to group, node, tiles, set and signature as bytes."""
 
@@ -227,8 +253,8 @@ def taken_apart(sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_key (digest of the text) of every row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("text_key", F.md5("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = texts.withColumn("text_key", F.md5("text"))
     bounded_batches(docs.sparkSession)
     sketches = cut(sketched(rows), "minhash-sketches")
     # One node per distinct set, stood for by its smallest document.
@@ -246,7 +272,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sizes = cut(groups.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("slots")), "minhash-sizes")
     members = groups.join(sizes, "component").join(named, "node").select("node", F.col("component").alias("group"), "slots", "own_id", "own_key")
     members = cut(members, "minhash-members")
-    sets = cut(_with_sets(rows.join(members, (F.col("doc_id") == F.col("own_id")) & (F.col("text_key") == F.col("own_key")))), "minhash-sets")
+    wanted = with_id_among(texts, members.select(F.col("own_id").alias("doc_id"))).withColumn("text_key", F.md5("text"))
+    sets = cut(_with_sets(wanted.join(members, (F.col("doc_id") == F.col("own_id")) & (F.col("text_key") == F.col("own_key")))), "minhash-sets")
     held = [sets]
     if not sizes.filter("slots > 1").isEmpty():
         held.append(taken_apart(sets.filter("slots > 1")))

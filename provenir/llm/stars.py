@@ -2,7 +2,7 @@
 
 Large-star links every larger neighbour of a node to the smallest of the node and
 its neighbours; small-star does so with the node and its smaller neighbours. Both
-keep the components; when nothing changes, every node hangs on its smallest.
+keep the components; in the end every node hangs on its smallest.
 A node's smallest neighbour comes from an aggregate that is combined before the
 shuffle, and goes back to its edges by a join whose heavy keys Spark can split.
 """
@@ -12,35 +12,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.session import cut, release
+from provenir.session import cut, cut_observed, release
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-
-
-def _settled(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], int(row[1] or 0)
+    return edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"), F.max("b").alias("most"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: every node of an edge and the smallest node it can reach (written)."""
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
-    now, seen = cut(now, "stars"), None
-    while (state := _settled(now)) != seen:
-        seen = state
-        # Large-star: from both sides of every edge, larger neighbours go to the smallest.
-        both = cut(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), "stars-both")
-        least = cut(_least(both), "stars-least")
-        larger = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+    now = cut(now, "stars")
+    while True:
+        turned = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        # All is settled when each node is the least of its neighbours or has but one, a smaller one.
+        least, seen = cut_observed(_least(now.unionByName(turned)), "stars-least", open=F.count_if(F.expr("least < a AND least < most")))
+        if not seen["open"]:
+            release(least)
+            break
+        # Large-star: larger neighbours go to the smallest. An edge gives one row at most.
+        larger = turned.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         large = cut(larger, "stars-large")
         # Small-star: a node and its smaller neighbours go to the smallest of them.
         small = cut(_least(large), "stars-least")
         moved = large.join(small, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         own = small.select("a", F.col("least").alias("b"))
         new = cut(moved.unionByName(own).filter("a <> b").distinct(), "stars")
-        release(now, both, least, large, small)
+        release(now, least, large, small)
         now = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -174,3 +174,21 @@ def test_queries_on_the_small_tables(spark, sf_dir):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op6_substrings(spark, sf_dir).collect()} == want
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in op7_near_duplicates(spark, sf_dir).collect())
     assert got == components(rows)
+
+
+def test_finished_stars_take_no_further_round(spark, monkeypatch):
+    labels, cut = [], stars.cut
+    monkeypatch.setattr(stars, "cut", lambda df, label="stage": (labels.append(label), cut(df, label))[1])
+    edges = spark.createDataFrame([(b, a) for a in (1, 100) for b in range(a + 1, a + 20)], "a long, b long")
+    got = {r.node: r.component for r in stars.components(edges).collect()}
+    assert got == {n: a for a in (1, 100) for n in range(a, a + 20)}
+    assert "stars-large" not in labels
+
+
+def test_only_texts_of_candidates_go_into_the_join(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(-500, 500)] + [(None, "n")], "doc_id long, text string")
+    wanted = [*range(-500, 500, 7), 10**12]
+    got = {r.doc_id for r in minhash.with_id_among(rows, spark.createDataFrame([(i,) for i in wanted], "doc_id long")).collect()}
+    assert got >= {i for i in wanted if i < 500}
+    assert len(got) <= len(wanted) + 20
+    assert minhash.with_id_among(rows, spark.createDataFrame([], "doc_id long")).collect() == []
