@@ -287,3 +287,12 @@ def test_responses_source(spark, tmp_path):
     assert study.study_summary(stored).first().total_participant_responses == 1
     none = study.study_summary(stored.where("is_developer_validation")).first()
     assert not none.has_participant_data
+
+
+def test_package_files_are_opened_once(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"schema_version": 1, "package_version": "1", "case_metadata": {}, "entities": []}))
+    declared, shape = read_packages(spark, str(tmp_path))
+    for df in [*declared.values(), shape]:
+        assert not [f for f in df.inputFiles() if f.startswith(f"file://{tmp_path}")]
+    assert shape.collect() == []
