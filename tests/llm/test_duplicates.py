@@ -192,3 +192,25 @@ def test_only_texts_of_candidates_go_into_the_join(spark):
     assert got >= {i for i in wanted if i < 500}
     assert len(got) <= len(wanted) + 20
     assert minhash.with_id_among(rows, spark.createDataFrame([], "doc_id long")).collect() == []
+
+
+@pytest.mark.parametrize("seed, chunk", [(1, 7), (2, 40), (3, None)])
+def test_components_contracted_in_chunks(spark, seed, chunk):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1120)] + [(2000, i) for i in range(2001, 2060)]
+    want = {x: x for edge in edges if edge[0] != edge[1] for x in edge}
+    while any(want[a] != want[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = [(r.node, r.component) for r in stars.components(df, chunk=chunk).collect()]
+    assert sorted(got) == sorted(want.items())
+
+
+def test_few_edges_take_no_round(spark, monkeypatch):
+    labels, cut = [], stars.cut
+    monkeypatch.setattr(stars, "cut", lambda df, label="stage": (labels.append(label), cut(df, label))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long").repartition(4)
+    assert {r.component for r in stars.components(edges).collect()} == {0}
+    assert labels == []
