@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from provenir.operators.merge import fresh_rows
 from provenir.operators.tracking import contradiction_rows
 from provenir.schemas import ASSERTIONS, TRACKED_CONTRADICTIONS
-from provenir.session import cut, scratch_scope
+from provenir.session import cut, drop_finished, scratch_scope
 from provenir.sources.tables import Deltas
 
 
@@ -30,7 +30,7 @@ def start_tracking(
     A batch appends its new assertions and its new findings as one version, numbered
     by the batch. Findings are inserted once by content id, so annotations made
     meanwhile are never overwritten and a repeated batch changes nothing. Every
-    ``compact_after`` versions become one.
+    ``compact_after`` versions become one. A batch's shuffle files go before the next one's come.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -38,6 +38,7 @@ def start_tracking(
         store = Deltas(session, root, STORE)
         if store.holds(batch_id):
             return
+        drop_finished(session)
         with scratch_scope(session):
             known = store.read(before=batch_id)
             fresh = fresh_rows(known["assertions"], batch.selectExpr("*", "0 AS seq")).withColumn("fresh", F.lit(True))

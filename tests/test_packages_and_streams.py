@@ -296,3 +296,30 @@ def test_package_files_are_opened_once(spark, tmp_path):
     for df in [*declared.values(), shape]:
         assert not [f for f in df.inputFiles() if f.startswith(f"file://{tmp_path}")]
     assert shape.collect() == []
+
+
+def test_tracked_pairs_deal_ids_and_times_alone(spark):
+    from provenir.operators import contradictions
+    from provenir.schemas import ASSERTIONS
+    from tests.models import T0, at
+
+    claims = spark.createDataFrame(
+        [(f"a{i}", f"n{i % 3}", at(i * 500_000), "day", f"e{i}", "x", T0) for i in range(20)], ASSERTIONS)
+    narrow, wide = contradictions.detect(claims, ids_only=True), contradictions.detect(claims)
+    assert narrow.schema["a"].dataType.names == ["id"] and "source_evidence_id" in wide.schema["a"].dataType.names
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    assert "source_evidence_id" in plan(wide) and "source_evidence_id" not in plan(narrow).split("RepartitionByExpression")[0]
+    pairs = lambda df: sorted((r.subject_event_id, r.a.id, r.b.id) for r in df.collect())
+    assert pairs(narrow) == pairs(wide) and len(pairs(wide)) > 20
+
+
+def test_a_batch_is_not_dealt_again_for_what_is_known(spark):
+    from provenir.operators.merge import fresh_rows
+
+    ids = ["0f" * 32, "F" * 64, "é", "x", "x"]
+    batch = spark.createDataFrame([(x, i, str(i)) for i, x in enumerate(ids)], "id string, n int, seq string")
+    empty = batch.drop("seq").limit(0).rdd.toDF(batch.drop("seq").schema)
+    fresh = fresh_rows(empty, batch)
+    assert "Exchange hashpartitioning" not in fresh._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.n) for r in fresh.collect()) == sorted(zip(ids[:4], range(4)))
+    assert [r.id for r in fresh_rows(fresh.where("n < 3"), batch).collect()] == ["x"]
