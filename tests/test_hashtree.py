@@ -85,3 +85,19 @@ def test_empty_trees(spark):
     assert [tuple(r) for r in moved.collect()] == [("entities", "a", "h")]
     assert [r.hash for r in hashtree.changes_between(one, none).collect()] == [None]
     assert hashtree.changes_between(one, one.withColumn("hash", F.lit("h"))).count() == 0
+
+
+def test_leaves_deal_digests_as_bytes_and_sort_them_as_texts(spark):
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+
+    from provenir.operators import provenance
+
+    ids = ["0f" * 32, "zz", "F" * 64, "é", "1", ""]
+    rows = spark.createDataFrame([(i, h) for i, h in zip(ids, reversed(ids))], "id string, hash string")
+    leaf = provenance.leaf_hash(rows.withColumn("c", F.lit("x")), ["c"])
+    want = json.dumps(sorted(map(list, zip(ids, reversed(ids))), key=lambda p: p[0].encode()), separators=(",", ":"))
+    assert leaf.first()["hash"] == hashlib.sha256(want.encode()).hexdigest()
+    assert "01" in leaf._jdf.queryExecution().optimizedPlan().toString() and "unhex" in leaf._jdf.queryExecution().optimizedPlan().toString()
