@@ -323,3 +323,16 @@ def test_a_batch_is_not_dealt_again_for_what_is_known(spark):
     assert "Exchange hashpartitioning" not in fresh._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.id, r.n) for r in fresh.collect()) == sorted(zip(ids[:4], range(4)))
     assert [r.id for r in fresh_rows(fresh.where("n < 3"), batch).collect()] == ["x"]
+
+
+def test_report_sections_are_compressed_lines(spark, tmp_path):
+    import glob
+
+    from provenir.operators import report
+
+    rows = spark.createDataFrame([("f" * 64, None, ["é", "b"]), ("0" * 64, 1, [])], "id string, n int, a array<string>")
+    assert report.write_report({"one": rows, "none": None}, f"{tmp_path}/r/") == ["one"]
+    assert glob.glob(f"{tmp_path}/r/one/*") and all(f.endswith(".json.gz") for f in glob.glob(f"{tmp_path}/r/one/part-*"))
+    back = spark.read.schema(rows.schema).json(f"{tmp_path}/r/one")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+    assert '"n":null' in spark.read.text(f"{tmp_path}/r/one").orderBy("value").collect()[-1].value
