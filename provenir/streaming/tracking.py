@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from provenir.operators.merge import fresh_rows
+from provenir.operators.skew import MAX_BROADCAST_KEYS
 from provenir.operators.tracking import contradiction_rows
 from provenir.schemas import ASSERTIONS, TRACKED_CONTRADICTIONS
-from provenir.session import cut, drop_finished, scratch_scope
+from provenir.session import cut, cut_counted, drop_finished, scratch_scope
 from provenir.sources.tables import Deltas
 
 
@@ -43,8 +44,11 @@ def start_tracking(
             known = store.read(before=batch_id)
             fresh = fresh_rows(known["assertions"], batch.selectExpr("*", "0 AS seq")).withColumn("fresh", F.lit(True))
             fresh = cut(fresh, "fresh")
-            touched = fresh.select("subject_event_id").distinct()
-            before = known["assertions"].join(touched, "subject_event_id", "left_semi").withColumn("fresh", F.lit(False))
+            touched, n = cut_counted(fresh.select("subject_event_id").distinct(), "touched")
+            before = known["assertions"].withColumn("fresh", F.lit(False))
+            # A batch that touches few events leaves the others out unread; with many, all claims are dealt once, not twice.
+            if n <= MAX_BROADCAST_KEYS:
+                before = before.join(F.broadcast(touched), "subject_event_id", "left_semi")
             # Pairs of claims that were there before are tracked; one with a fresh claim cannot be.
             found = contradiction_rows(before.unionByName(fresh), "fresh")
             store.append(batch_id, {"assertions": fresh.drop("fresh"), "tracked": found})

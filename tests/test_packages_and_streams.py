@@ -336,3 +336,23 @@ def test_report_sections_are_compressed_lines(spark, tmp_path):
     back = spark.read.schema(rows.schema).json(f"{tmp_path}/r/one")
     assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
     assert '"n":null' in spark.read.text(f"{tmp_path}/r/one").orderBy("value").collect()[-1].value
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_large_batches_meet_the_store_in_one_shuffle(spark, tmp_path, monkeypatch, most):
+    """A batch that touches many events takes no semi-join with the store; the pairs are the same either way."""
+    from provenir.operators.tracking import contradiction_rows
+    from provenir.streaming import tracking as streaming
+
+    claims = [(f"a{i:02d}", f"s{i % 7}", datetime(2024, 1, 1 + i % 20, tzinfo=UTC), "second", "e", "t", datetime(2024, 1, 1, tzinfo=UTC)) for i in range(30)]
+    claims = spark.createDataFrame(claims, ASSERTIONS)
+    for part in (claims.where("id < 'a12'"), claims.where("id >= 'a12' AND id < 'a16'"), claims.where("id >= 'a10'")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen, real = [], streaming.contradiction_rows
+    monkeypatch.setattr(streaming, "MAX_BROADCAST_KEYS", most)
+    monkeypatch.setattr(streaming, "contradiction_rows", lambda rows, *a: (seen.append(rows._jdf.queryExecution().optimizedPlan().toString()), real(rows, *a))[1])
+    streaming.start_tracking(
+        spark, str(tmp_path / "in"), root=str(tmp_path / "out"), checkpoint=str(tmp_path / "c"), files_per_batch=1).awaitTermination()
+    assert len(seen) == 3 and ("LeftSemi" in seen[-1]) == bool(most)
+    got = [r.id for r in streaming.read_tracked(spark, str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted(r.id for r in contradiction_rows(claims).collect()) and got
